@@ -10,6 +10,6 @@ g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM k WHERE n > 1),
 gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
-    ELSE array_to_string(list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), x -> x IS NOT NULL), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL), ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """

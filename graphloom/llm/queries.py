@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, rules, substrings
+from . import common, langid, linechunks, packing, rules, substrings
 from .oracles import ORACLES
 
 table = common.table
@@ -24,6 +24,11 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linechunks.dedup(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +41,7 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op4_adaptive_rules, op8_cost_balanced_packing, op9_repeated_windows)
+    f.__name__: f for f in (op1_language_bitmask, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows)
 }
 
 
