@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUNDLE_BYTES = 24 << 20
 
@@ -192,3 +193,9 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
         if j % 8 == 7:
             out ^= out >> np.uint64(29)
     return mixed(out)
+
+
+def arrow_schema(kind: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linechunks, packing, rules, substrings
+from . import common, langid, linechunks, packing, ppm, rules, substrings
 from .oracles import ORACLES
 
 table = common.table
@@ -19,6 +19,11 @@ def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", common.is_remainder("doc_id", 5, 1))
+    return ppm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
 def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = common.checkpointed(rules.features(table(spark, sf_dir, "documents")))
     return rules.judged(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
@@ -41,7 +46,7 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows)
+    f.__name__: f for f in (op1_language_bitmask, op3_partial_matching, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows)
 }
 
 

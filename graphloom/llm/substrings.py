@@ -186,12 +186,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 kept += words.kept(gone)
             columns = [rows.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             out.append(pa.table(columns, names=kind.names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], f.type) for f in _arrow(kind)], names=kind.names)
+        return pa.concat_tables(out) if out else common.arrow_schema(kind).empty_table()
 
     return again.groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(cut, kind)
 
-
-def _arrow(kind: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(kind)
