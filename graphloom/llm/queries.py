@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linechunks, packing, ppm, rules, substrings
+from . import common, langid, linechunks, lshforest, packing, ppm, rules, substrings
 from .oracles import ORACLES
 
 table = common.table
@@ -45,8 +45,12 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.groups(table(spark, sf_dir, "documents")).drop("__row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op3_partial_matching, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows)
+    f.__name__: f for f in (op1_language_bitmask, op3_partial_matching, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
 }
 
 
