@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linechunks, lshforest, packing, ppm, rules, substrings
+from . import common, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
 from .oracles import ORACLES
 
 table = common.table
@@ -19,6 +19,12 @@ def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segment.sample(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), emit_ids=False)
+
+
 def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", common.is_remainder("doc_id", 5, 1))
     return ppm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
@@ -29,6 +35,10 @@ def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(counted).select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linechunks.dedup(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -50,7 +60,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op3_partial_matching, op4_adaptive_rules, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
+    f.__name__: f for f in (op1_language_bitmask, op2_gumbel_segmentations, op3_partial_matching, op4_adaptive_rules, op5_multi_index, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
 }
 
 
