@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
+from . import common, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
 from .oracles import ORACLES
 
 table = common.table
@@ -39,6 +39,12 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    scored = kneser_ney.perplexities(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), keep=("doc_id", "lang"))
+    return kneser_ney.judged(common.checkpointed(scored)).select("doc_id", "is_trusted", "n_bytes", "perplexity", "threshold", "kept")
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linechunks.dedup(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -60,7 +66,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op2_gumbel_segmentations, op3_partial_matching, op4_adaptive_rules, op5_multi_index, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
+    f.__name__: f for f in (op1_language_bitmask, op2_gumbel_segmentations, op3_partial_matching, op4_adaptive_rules, op5_multi_index, op6_kneser_ney, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
 }
 
 

@@ -93,12 +93,12 @@ def sketches(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def fences(merged: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(groups, measure, rows, q05, q50, q95) of merged sketches."""
+    """(groups, measure, rows, q05, q50, q75, q95) of merged sketches."""
     merged = merged.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*groups, "measure")
     upto = merged.withColumns({"rows": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()))})
     quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value_of(F.col("bucket"))))
-    return upto.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *(quantile(q / 100).alias(f"q{q:02}") for q in (5, 50, 95)))
+    return upto.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *(quantile(q / 100).alias(f"q{q:02}") for q in (5, 50, 75, 95)))
 
 
 def judged(counted: DataFrame, language: str = "lang", source: str = "source", min_group: int = MIN_GROUP, slack: float = SLACK) -> DataFrame:
