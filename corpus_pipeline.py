@@ -1,5 +1,82 @@
-"""The corpus pipeline; stages are filled in as their operators are."""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: five stages from ``documents`` to packed sequences.
+
+Each stage works on all that its predecessor kept.  A stage's result is written and read again before the next.
+
+1. ``language``: documents of no learned language go: those without a letter, and those of whose letter n-grams
+   the best language holds under ``LEAST_SHARE``.
+2. ``lines``: runs of lines that some document has had before go; documents stay.
+3. ``near``: one document of each group of near duplicates stays, that of least id.
+4. ``substrings``: words covered by a run of 35 words that occurs elsewhere too go; documents stay.
+5. ``pack``: the rest is packed into sequences.
+
+A document whose text a stage empties stays, with an empty text; null texts stay out after stage 1.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom import ship
+from graphloom.llm import common, langid, linechunks, lshforest, packing, substrings
+
+LEAST_SHARE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shaped(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = langid.train(docs)
+    found = langid.predict(docs, model, keep=COLUMNS)
+    return shaped(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return shaped(linechunks.dedup(docs, keep=COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return shaped(lshforest.kept(docs))
+
+
+def substrings_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    cut = substrings.dedup(docs, keep=COLUMNS)
+    return shaped(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("lines", lines),
+    ("near", near),
+    ("substrings", substrings_),
+    ("pack", pack),
+]
+#: None: rolling hashes, MinHash and a tokenizer are beyond SQL; the stages are tested against brute force
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

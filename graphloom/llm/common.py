@@ -21,11 +21,17 @@ from pyspark.sql import types as T
 BUNDLE_BYTES = 24 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder in ``spark.checkpoint.dir``; a local one is set only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: the one the cluster names in ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

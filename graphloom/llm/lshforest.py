@@ -220,3 +220,17 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     alone = described.where("node is null").select("__id", "__row", F.col("__id").alias("class_id"), F.col("__id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     out = salted(described.where("node is not null").select("__id", "__row", "node"), grouped, "node").select("__id", "__row", "class_id", "copy_id", "n_copies", "n_links")
     return out.union(alone).withColumnRenamed("__id", id_column)
+
+
+def kept(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near duplicates keeps one row: that of least id (then text).
+    Of rows that repeat id and text one stays; rows without words are in no group and all stay."""
+    key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("\1")), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
+    found = groups(docs, text, id_column, **options).select("__row", F.col(id_column).alias("__id"), "class_id", "n_copies", "n_links", "copy_id")
+    found = common.checkpointed(found.distinct())
+    alone = (F.col("n_links") == 0) & (F.col("n_copies") == 1)
+    first = found.where(~alone).groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
+    stay = found.where(alone).select("__row").union(first)
+    rows = docs.withColumn("__row", F.unhex(F.md5(key)))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return rows.where(~wordless).join(stay.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(wordless))
