@@ -100,7 +100,7 @@ def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
             yield number.as_py(), unpack(payload.as_buffer())
 
 
-def spans(texts: list, size: int = 4 << 20) -> Iterator[slice]:
+def spans(texts: list, size: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of some ``size`` together; a longer text is a run of its own."""
     start = held = 0
     for i, x in enumerate(texts):
@@ -168,6 +168,13 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def take(self, which: np.ndarray) -> pa.Array:
+        """These words as a binary array."""
+        size = self.ends[which] - self.starts[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.starts[which] - upto[:-1], size) + np.arange(upto[-1])
+        return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(self.data[at])])
+
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each distinct hash, number of each row's hash), by all 128 bits."""

@@ -34,6 +34,7 @@ ORDER = 5
 MIN_SHARE = 5e-7
 END = 0xFF  # never a byte of UTF-8: before and after each text
 SYMBOLS = 256
+BUNDLE = 16 << 20  # bytes of text whose words are looked up together
 
 
 def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ class Trie:
 class Scorer:
     """Remembers the code length of packed bytes in a table of fixed size."""
 
-    def __init__(self, trie: Trie, bits: int = 21):
+    def __init__(self, trie: Trie, bits: int = 20):
         self.trie, self.shift = trie, np.uint64(64 - bits)
         self.keys, self.values = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits)
 
@@ -195,25 +196,26 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
     new = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     keep = tuple(c for c in keep if c not in new)
     rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
-    held = common.bundles(rows, "__text")
+    held = common.bundles(rows, "__text", BUNDLE)
     spark = docs.sparkSession
     trie = spark.sparkContext.broadcast(train(held, "__learn", order, min_share) if mode == "pretrained" else None)
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in common.opened(batches):
             own, learned = [x.lower() for x in common.texts(rows.column("__text"))], rows.column("__learn").to_numpy(zero_copy_only=False)
-            h, n, texts = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], []
-            for some in common.spans(own, 4 << 20):
+            h, n, words = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], [pa.array([], pa.binary())]
+            for some in common.spans(own):
                 w = common.Words(own[some])
                 first, kind = common.distinct(w.h)
                 h.append(w.h[first])
                 n.append(np.bincount(kind, weights=np.repeat(learned[some], w.counts), minlength=len(first)).astype(np.int64))
-                texts += [w.word(i) for i in first]
+                words.append(w.take(first))
             first, kind = common.distinct(np.concatenate(h))
             count = np.bincount(kind, weights=np.concatenate(n), minlength=len(first)).astype(np.int64)
+            every = pa.concat_arrays(words)
             for i in range(0, len(first), 100_000):
                 part = first[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([texts[j] for j in part], pa.binary()), pa.array(np.full(len(part), number)), pa.array(count[i : i + len(part)])], ["token", "bundle", "n"])
+                yield pa.RecordBatch.from_arrays([every.take(pa.array(part)), pa.array(np.full(len(part), number)), pa.array(count[i : i + len(part)])], ["token", "bundle", "n"])
 
     found = held.mapInArrow(tokens, "token binary, bundle long, n long")
     c = F.sum("n").over(Window.partitionBy("token"))  # a token has one row for each bundle at most
@@ -225,11 +227,14 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
     below = math.log10(n_all + 0.5 * (n_kinds + 1))
 
     def judge(table: pa.Table, bundle: pa.Table) -> pa.Table:
-        words = [x.as_py() for x in table.column("token")]
-        count = np.asarray(table.column("c"), np.float64)
-        ends_at = np.cumsum([0, *map(len, words)]).astype(np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        h = np.concatenate([common.hashed(data[ends_at[i] : ends_at[j]], ends_at[i:j] - ends_at[i], ends_at[i + 1 : j + 1] - ends_at[i]) for i, j in ((i, min(i + 100_000, len(words))) for i in range(0, len(words), 100_000))]) if words else np.empty((0, 2), np.uint64)
+        h = [np.empty((0, 2), np.uint64)]
+        for chunk in table.column("token").chunks:
+            stops = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+            data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+            for i in range(0, len(chunk), 50_000):
+                own = stops[i : i + 50_001]
+                h.append(common.hashed(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]))
+        h, count = np.concatenate(h), np.asarray(table.column("c"), np.float64)
         order = np.lexsort((h[:, 1], h[:, 0]))
         h, count, out = h[order], count[order], []
         scorer = Scorer(trie.value) if trie.value is not None else None
