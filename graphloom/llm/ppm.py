@@ -2,7 +2,7 @@
 
 The trie of byte contexts is kept level by level: for each order ``k`` the counts of (context of k bytes, next
 byte).  A byte is coded at the longest context known; if it was never seen there, an escape is coded (method D:
-half a count for each distinct follower) and the next shorter context is tried with the followers of the longer
+half a count for each distinct follower, and the whole counts of followers left out of the trie) and the next shorter context is tried with the followers of the longer
 one excluded; below order 0 the bytes not excluded are equally likely.  Since every follower of a context also
 follows its suffix, what is excluded at each level is a fixed sum, so a byte's code length depends on its last
 ``ORDER`` + 1 bytes alone and is worked out for whole arrays.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 5
-MIN_SHARE = 5e-7
+MIN_SHARE = 2e-7
 END = 0xFF  # never a byte of UTF-8: before and after each text
 SYMBOLS = 256
 BUNDLE = 16 << 20  # bytes of text whose words are looked up together
@@ -63,23 +63,25 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Trie:
-    """For each order: (context, follower) pairs and their counts, contexts with their totals, and what a context excludes one level below."""
+    """For each order: (context, follower) pairs and their counts; contexts with their occurrences, the part of these that is
+    kept, the number of followers kept, and the counts that a context excludes one level below."""
 
     pairs: list[np.ndarray]
     counts: list[np.ndarray]
     contexts: list[np.ndarray]
     totals: list[np.ndarray]
+    kept: list[np.ndarray]
     kinds: list[np.ndarray]
     excluded: list[np.ndarray]
 
     @classmethod
-    def of(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """From each order's packed pairs and counts, from order 0 on."""
-        out = cls([], [], [], [], [], [])
-        for k, (pairs, counts) in enumerate(levels):
+    def of(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
+        """From each order's packed pairs, counts, and occurrences of the pairs' contexts, from order 0 on."""
+        out = cls([], [], [], [], [], [], [])
+        for k, (pairs, counts, totals) in enumerate(levels):
             at = np.argsort(pairs)
-            pairs, counts = pairs[at].astype(np.uint64), counts[at].astype(np.float64)
-            contexts, owner, kinds = np.unique(pairs >> np.uint64(8), return_inverse=True, return_counts=True)
+            pairs, counts, totals = pairs[at].astype(np.uint64), counts[at].astype(np.float64), totals[at].astype(np.float64)
+            contexts, first, owner, kinds = np.unique(pairs >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
             below = np.zeros(len(pairs))
             if k:
                 at, known = find(out.pairs[k - 1], pairs & np.uint64((1 << 8 * k) - 1))
@@ -87,7 +89,8 @@ class Trie:
             out.pairs.append(pairs)
             out.counts.append(counts)
             out.contexts.append(contexts)
-            out.totals.append(np.bincount(owner, weights=counts, minlength=len(contexts)))
+            out.totals.append(totals[first])
+            out.kept.append(np.bincount(owner, weights=counts, minlength=len(contexts)))
             out.kinds.append(kinds.astype(np.float64))
             out.excluded.append(np.bincount(owner, weights=below, minlength=len(contexts)))
         return out
@@ -103,11 +106,12 @@ class Trie:
             if not len(self.contexts[k]):
                 continue
             n, q = self.totals[k][c] - minus_n[open_], self.kinds[k][c] - minus_q[open_]
+            spare = self.totals[k][c] - self.kept[k][c] + q / 2  # what is left for an escape
             coded = known & seen
             out[open_[coded]] += np.log10((self.counts[k][p[coded]] - 0.5) / n[coded])
             escaped = known & ~seen
-            paid = escaped & (q > 0)
-            out[open_[paid]] += np.log10(q[paid] / (2 * n[paid]))
+            paid = escaped & (spare < n)
+            out[open_[paid]] += np.log10(np.maximum(spare[paid], 0.5) / n[paid])
             minus_n[open_[escaped]], minus_q[open_[escaped]] = self.excluded[k][c[escaped]], self.kinds[k][c[escaped]]
             open_ = open_[~coded]
         out[open_] -= np.log10(SYMBOLS - minus_q[open_])
@@ -175,18 +179,22 @@ def train(held: DataFrame, learn: str, order: int = ORDER, min_share: float = MI
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in common.opened(batches):
-            own = [x.lower() for x in common.texts(rows.filter(rows.column(learn)).column("__text"))]
+            own, keys, n = [x.lower() for x in common.texts(rows.filter(rows.column(learn)).column("__text"))], np.empty(0, np.uint64), np.empty(0, np.int64)
             for some in common.spans(own):
-                keys, n = np.unique(windows(own[some], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["pair", "n"])
+                new, m = np.unique(windows(own[some], order)[0], return_counts=True)
+                keys, number = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                n = np.bincount(number, weights=np.concatenate([n, m])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["pair", "n"])
 
     level = common.checkpointed(held.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     total = level.agg(F.sum("n")).first()[0] or 0
     levels = []
     for k in range(order, -1, -1):
         own = level.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n"))
-        found = own.where(F.col("n") >= max(1, math.ceil(min_share * total))).toPandas()  # 1 / min_share rows at most
-        levels.append((found["pair"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)))
+        own = own.withColumn("context", F.shiftright("pair", 8))
+        occurs = own.groupBy("context").agg(F.sum("n").alias("total"))
+        found = own.where(F.col("n") >= max(1, math.ceil(min_share * total))).join(occurs, "context").select("pair", "n", "total").toPandas()  # 1 / min_share rows at most
+        levels.append((found["pair"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), found["total"].to_numpy(np.int64)))
     return Trie.of(levels[::-1])
 
 
