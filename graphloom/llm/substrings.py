@@ -4,7 +4,8 @@ Two equal windows of ``width`` words hold the same ``anchor``-word run at the sa
 hash (the first of these).  Pass 1 counts anchors: each partition makes a count-min sketch, sketches are
 merged slice by slice, and what is kept is whether a counter reached two.  An anchor's estimate is never
 under its count, and that is never under the count of any window it stands for, so pass 2, which groups
-exactly (by 128 bits of hash) only windows whose anchor is estimated repeated, loses none.
+exactly (by 128 bits of hash) only windows whose anchor is estimated repeated, loses none.  Most of these do
+repeat, so it is the others that are sent back to their bundles: what was grouped and isn't among them goes.
 The sketch has ``width_bits`` counters at most (16 MB of bits on the driver and in each worker); beyond some
 10^8 anchors it lets more windows through to the exact pass but still loses none.
 
@@ -159,7 +160,7 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                     yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(np.full(len(n), number)), pa.array(n)], ["h1", "h2", "bundle", "n"])
 
     total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    again = held.mapInArrow(candidates, "h1 long, h2 long, bundle long, n int").withColumn("total", total).where("total >= 2").select("bundle", "h1", "h2")
+    single = held.mapInArrow(candidates, "h1 long, h2 long, bundle long, n int").withColumn("total", total).where("total < 2").select("bundle", "h1", "h2")
     kind = T.StructType([f for f in rows.schema.fields if f.name != "__text"] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(found: pa.Table, bundle: pa.Table) -> pa.Table:
@@ -173,13 +174,17 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
             for some in common.spans(parts):
                 words = Windows(parts[some], width)
                 edge = np.zeros(len(words) + 1, np.int64)
-                if len(known) and len(words.first):
-                    w = words.windows(words.first)
-                    at, hit = np.searchsorted(known[:, 0], w[:, 0]), np.zeros(len(w), bool)
-                    for step in range(run):
-                        hit |= (known[np.minimum(at + step, len(known) - 1)] == w).all(axis=1)
-                    edge[words.first[hit]] += 1
-                    edge[words.first[hit] + width] -= 1
+                runs, at = words.anchors(anchor)
+                first = words.first[repeated(runs[at], sent.value, bits)] if len(at) else at
+                if len(first):
+                    w = words.windows(first)
+                    hit = np.ones(len(w), bool)
+                    if len(known):
+                        at = np.searchsorted(known[:, 0], w[:, 0])
+                        for step in range(run):
+                            hit &= (known[np.minimum(at + step, len(known) - 1)] != w).any(axis=1)
+                    edge[first[hit]] += 1
+                    edge[first[hit] + width] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 n_words += words.counts.tolist()
                 removed += np.diff(np.concatenate([[0], np.cumsum(gone)])[words.offsets]).tolist()
@@ -188,5 +193,5 @@ def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
             out.append(pa.table(columns, names=kind.names))
         return pa.concat_tables(out) if out else common.arrow_schema(kind).empty_table()
 
-    return again.groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(cut, kind)
+    return single.groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(cut, kind)
 
