@@ -1,0 +1,425 @@
+"""Each operator against brute force on a small fixture with nulls, empties, copies, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import common, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string"
+
+
+def words(x):
+    return WORD.findall(x or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    vocabulary = {"en": "the of and to in is that with for as was on are by this be at from it".split(), "de": "der die das und ist nicht ein eine mit für auf dem den von zu über".split()}
+    def sentence(lang, n):
+        return " ".join(rng.choice(vocabulary[lang]) + rng.choice(["", "", "er", "ing", "ung"]) for _ in range(n)).capitalize() + "."
+    out = []
+    for i in range(60):
+        lang = ("en", "de")[i % 2]
+        out.append([i, "\n".join(sentence(lang, rng.randint(4, 30)) for _ in range(rng.randint(1, 9))), lang, f"src{i % 3}"])
+    shared = "\n".join(sentence("en", 20) for _ in range(6))
+    out[3][1] = f"{out[3][1]}\n{shared}\n{out[5][1]}"
+    out[8][1] = f"{shared}\nand more of it"
+    out[10][1] = out[4][1]
+    out[12][1] = out[4][1].replace(out[4][1].split()[0], "Other", 1)
+    out += [[100, None, "en", "src0"], [101, "", None, None], [102, "  \n\t ", "en", None], [103, "123 456 !!", "de", "src1"], [104, "wort " * 20_000, "de", "src1"], [105, "x" * 50_000, None, "src1"], [106, "日本語   ▁ tab\there  two", "en", "src0"], [None, "a null id of the and", "en", "src0"], [107, "é à the ones", "en", "src0"], [4, out[4][1], "en", "src2"]]
+    return [(i, t, lang, source, len(t or ""), "clash", "clash") for i, t, lang, source in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_language(docs, empty):
+    learn = ~common.is_remainder("doc_id", 4, 2)
+    model = langid.train(docs, learn=learn)
+    assert model.languages == ["de", "en"] and (model.false_share < 0.01).all()
+    found = {r.doc_id: r for r in langid.predict(docs, model, keep=("doc_id", "lang", "score")).collect()}
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (100, 101, 102, 103))
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and sum(found[i].lang_pred == found[i].lang for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in found.values())
+    # the filter holds every member, and for one text hits are those of sets
+    members = {x: set() for x in model.languages}
+    for text, lang in [(r.text, r.lang) for r in docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()]:
+        members[lang] |= set(langid.gram_keys([text])[0].tolist())
+    exact = langid.BitSliced.of({x: np.array(sorted(m), np.uint64).view(np.int64) for x, m in members.items()})
+    keys, _ = langid.gram_keys(["Der und that über"])
+    n, hits = exact.hits(["Der und that über"])
+    assert n[0] == len(keys) and all(h >= sum(k in members[x] for k in keys.tolist()) for x, h in zip(exact.languages, hits[0], strict=True))
+    assert langid.predict(docs, langid.train(empty)).where("lang_pred <> 'und'").isEmpty()
+    assert langid.predict(empty, model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def model():
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_segmentations(docs, empty, model):
+    import sentencepiece
+
+    made = segment.sample(docs.where("doc_id <> 104 or doc_id is null"), model, k=3).collect()
+    by = defaultdict(list)
+    for r in made:
+        by[r.doc_id, r.n_pieces and r.sample].append(r)
+        assert r.round_trip and r.log_prob - 5 < r.log_inclusion <= 0 and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32
+    processor = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in made:
+        if r.doc_id in range(10) and r.ids:
+            assert processor.decode(r.ids) == texts[r.doc_id]
+    own = defaultdict(set)
+    for r in made:
+        if r.doc_id is not None and r.doc_id != 4:
+            assert tuple(r.ids) not in own[r.doc_id]
+            own[r.doc_id].add(tuple(r.ids))
+    again = {(r.doc_id, r.sample): r.ids_crc32 for r in segment.sample(docs.where("doc_id < 20").repartition(5), model, k=3).collect()}
+    assert all(again[r.doc_id, r.sample] == r.ids_crc32 for r in made if (r.doc_id, r.sample) in again)
+    assert segment.sample(empty, model).count() == 0
+
+
+def test_segmentations_are_drawn_without_replacement(model):
+    """Against all segmentations of a short text: first samples follow their probabilities, pairs those of drawing without replacement."""
+    v = segment.Vocabulary(model)
+    lattice = segment.Lattice([b"the cat"], v)
+    pieces = {x: i for i, x in enumerate(v.bytes) if x and i >= 259}
+    def every(text):
+        return [[]] if not text else [[p, *rest] for n in range(1, len(text) + 1) if (p := text[:n]) in pieces for rest in every(text[n:])]
+    paths = [tuple(pieces[p] for p in [*a, *b]) for a in every(b" the") for b in every(b" cat")]
+    weight = np.exp([sum(v.weight[i] for i in p) for p in paths])
+    p = dict(zip(paths, weight / weight.sum(), strict=True))
+    first, second, n = Counter(), Counter(), 4000
+    for i in range(n):
+        a, b = lattice.samples(0, 2, np.random.Generator(np.random.Philox(key=i)))
+        first[tuple(lattice.ids[a[3]].tolist())] += 1
+        second[tuple(lattice.ids[b[3]].tolist())] += 1
+        assert a[1] >= b[1] and a[0] == pytest.approx(np.log(p[tuple(lattice.ids[a[3]].tolist())]), abs=1e-6)
+    top = sorted(p, key=p.get, reverse=True)[:4]
+    for x in top:
+        assert first[x] / n == pytest.approx(p[x], abs=4 * (p[x] / n) ** 0.5 + 0.004)
+        q = sum(p[y] * p[x] / (1 - p[y]) for y in p if y != x)
+        assert second[x] / n == pytest.approx(q, abs=4 * (q / n) ** 0.5 + 0.004)
+
+
+def test_partial_matching(docs, rows, empty):
+    learn = ~common.is_remainder("doc_id", 5, 1)
+    found = ppm.score(docs, learn, keep=("doc_id", "score")).collect()
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x or "")
+    train = [low(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in words(t))
+    n, kinds, ends = sum(c.values()) + len(train), len(c) + 1, len(train)
+    log = lambda k: np.log10((k + 0.5) / (n + 0.5 * (kinds + 1)))
+    expected = {}
+    for i, t, *_ in rows:
+        w = words(low(t))
+        expected[i] = (len(w) + 1, sum(x in c for x in w) + 1, sum(log(c[x]) for x in w) + log(ends))
+    for r in found:
+        a, b, base = expected[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (a, b, n) and r.base_score == pytest.approx(base, rel=1e-9)
+    # the trie's probabilities, by the definition
+    def probability(history, symbol):
+        excluded, p = set(), 1.0
+        for k in range(ppm.ORDER, -1, -1):
+            seen = followers[k].get(history[len(history) - k :], {})
+            left = {s: m for s, m in seen.items() if s not in excluded}
+            total = sum(left.values())
+            if symbol in left:
+                return p * (left[symbol] - 0.5) / total
+            if left:
+                p *= len(left) / (2 * total)
+            excluded |= seen.keys()
+        return p / (256 - len(excluded))
+    followers = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    padded = lambda t: bytes([ppm.END]) * ppm.ORDER + low(t).encode() + bytes([ppm.END])
+    for t in train:
+        x = padded(t)
+        for i in range(ppm.ORDER, len(x)):
+            for k in range(ppm.ORDER + 1):
+                followers[k][x[i - k : i]][x[i]] += 1
+    texts = {i: t for i, t, *_ in rows}
+    for r in found:
+        if r.doc_id in (0, 1, 6, 100, 103, 106):
+            x = padded(texts[r.doc_id])
+            assert r.score == pytest.approx(sum(np.log10(probability(x[:i], x[i])) for i in range(ppm.ORDER, len(x))), rel=1e-6)
+    adaptive = ppm.score(docs.where("doc_id in (0, 100)"), learn, mode="adaptive").collect()
+    assert {r.doc_id: r.score for r in adaptive}[100] == pytest.approx(-np.log10(256)) and all(r.score < 0 for r in adaptive)
+    assert ppm.score(empty, learn).count() == 0
+
+
+def test_rules(docs, rows, empty):
+    def base(t):
+        w = words(t)
+        runs = Counter(zip(w, w[1:], w[2:]))
+        covered = {j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+    counted = common.checkpointed(rules.features(docs))
+    found = rules.judged(counted, min_group=5).collect()
+    expected = {i: base(t) for i, t, *_ in rows}
+    assert len(found) == len(rows)
+    for r in found:
+        n, *_, repeat = expected[r.doc_id]
+        assert tuple(r[c] for c in rules.COUNTS) == expected[r.doc_id]
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.base_failed and r.kept)
+    assert rules.judged(common.checkpointed(rules.features(empty))).count() == 0
+
+
+def test_fences_follow_quantiles(spark):
+    rng = np.random.default_rng(1)
+    values = rng.lognormal(1, 0.5, 3000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    own = df.select(F.lit("x").alias("measure"), rules.bucket(F.col("v")).alias("bucket")).groupBy("measure", "bucket").agg(F.count("*").alias("n"))
+    f = rules.fences(own.union(own), ()).first()  # merged with itself
+    assert f.rows == 6000
+    for name, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)):
+        assert f[name] == pytest.approx(np.quantile(values, q), rel=0.02)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    x[7] = x[100]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 32), (2002, [float("nan")] * 32), (2003, [None] * 32), (2004, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = mih.search(df, F.col("vec_id") % 100 == 0, sample=500, shard=400).collect()
+    hit = 0
+    for q in range(0, 1500, 100):
+        own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [a for a, *_ in own] == list(range(1, 11))
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        hit += len({i for _, i, _ in own} & set(best))
+        assert all(s == pytest.approx(d[i]) for _, i, s in own) and [s for *_, s in own] == sorted(s for *_, s in own)
+    assert hit >= 0.9 * 150
+    assert {r.query_id for r in found} == set(range(0, 1500, 100))
+    few = mih.search(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()
+    assert len(few) == 4
+    assert mih.search(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
+
+
+def test_pigeonhole_finds_every_code():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    codes[:500] = codes[0] ^ (np.uint16(1) << rng.integers(0, 16, (500, 8)).astype(np.uint16))
+    index = mih.Index(np.arange(3000), np.zeros((3000, 1)), codes)
+    bits = np.unpackbits(codes.view(np.uint8), axis=1).astype(int)
+    for radius in (0, 5, 16, 31, 50, 128):
+        assert index.within(codes[3], radius).tolist() == np.flatnonzero((bits != bits[3]).sum(axis=1) <= radius).tolist()
+
+
+def test_kneser_ney(spark, docs, empty):
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40)], "doc_id long")
+    found = kneser_ney.perplexities(docs, trusted, keep=("doc_id", "lang"))
+    found = {r.doc_id: r for r in kneser_ney.judged(common.checkpointed(found), min_group=10).collect()}
+    assert all(found[i].perplexity is None and not found[i].kept for i in (100, 101, 102))
+    assert found[103].perplexity > 5 * found[0].perplexity and found[0].is_trusted and not found[50].is_trusted
+    # probabilities by the definition, and that they sum to one
+    texts = [r.text.encode() for r in docs.where("doc_id between 0 and 39").collect()]
+    n = kneser_ney.ORDER
+    counts = [None] * (n + 1)
+    counts[n] = Counter(k for t in texts for k in ppm.windows([t], n - 1)[0].tolist())
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g & ((1 << 8 * k) - 1) for g in counts[k + 1])
+    d = [None, *(kneser_ney.discounts([sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]) for k in range(1, n + 1))]
+    def p(gram, k):
+        lower = p(gram & ((1 << 8 * (k - 1)) - 1), k - 1) if k > 1 else 1 / 256
+        own = [(g, c) for g, c in by[k].get(gram >> 8, ())]
+        if not own:
+            return lower
+        cut = lambda c: d[k][min(c, 3) - 1]
+        c = counts[k].get(gram, 0)
+        return (max(c - cut(c), 0) if c else 0) / sum(c for _, c in own) + sum(cut(c) for _, c in own) / sum(c for _, c in own) * lower
+    by = [defaultdict(list) for _ in range(n + 1)]
+    for k in range(1, n + 1):
+        for g, c in counts[k].items():
+            by[k][g >> 8].append((g, c))
+    for i in (0, 41):
+        text = docs.where(f"doc_id = {i}").first().text.encode()
+        logs = [np.log(p(g, n)) for g in ppm.windows([text], n - 1)[0].tolist()]
+        assert found[i].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4)
+    context = next(iter(by[n]))
+    assert sum(p(context << 8 | s, n) for s in range(256)) == pytest.approx(1)
+    assert kneser_ney.perplexities(empty, trusted).count() == 0
+
+
+def cut_lines(rows, span=2, divisor=2, bits=64):
+    """Line dedup by brute force on the operator's chunks."""
+    unique = {}
+    for i, t, *_ in rows:
+        unique[(i is not None, i or 0, t or "")] = (i, t)
+    def first_key(i, t, number):
+        data = (("\1" if i is None else str(i)) + "\0" + (t or "")).encode()
+        return (i is not None, i or 0, hashlib.md5(data).digest(), number)
+    seen = defaultdict(list)
+    for i, t in unique.values():
+        c = linechunks.Chunks([(t or "").encode()], span, divisor)
+        for k in range(len(c.lines)):
+            if c.multi[k]:
+                seen[c.bytes(k)].append((first_key(i, t, k), (i, t, k)))
+    gone = {place for v in seen.values() for _, place in sorted(v, key=lambda x: x[0])[1:]}
+    out = {}
+    for i, t in unique.values():
+        if t is None:
+            out[i, t] = None
+            continue
+        c, lines, kept, at = linechunks.Chunks([t.encode()], span, divisor), t.split("\n"), [], 0
+        for k, size in enumerate(c.lines.tolist()):
+            if (i, t, k) not in gone:
+                kept += lines[at : at + size]
+            at += size
+        out[i, t] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("hash_bits", [64, 3])
+def test_line_chunks(docs, rows, empty, hash_bits):
+    found = linechunks.dedup(docs.withColumn("before", F.col("text")), hash_bits=hash_bits).collect()
+    expected = cut_lines(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.text == expected[r.doc_id, r.before]
+        assert r.n_removed_lines <= r.n_lines
+    if hash_bits == 64:
+        assert sum(r.n_removed_lines > 0 for r in found) >= 2
+        assert linechunks.dedup(empty).count() == 0
+
+
+def test_chunks_move_with_their_lines():
+    lines = [f"line {i} {i * 7919 % 101}".encode() for i in range(200)]
+    a, b = linechunks.Chunks([b"\n".join(lines)]), linechunks.Chunks([b"\n".join([b"new", *lines])])
+    of = lambda c: {c.bytes(i) for i in range(len(c.lines))}
+    assert len(of(a) - of(b)) <= 2
+
+
+def test_packing(docs, rows, empty):
+    import tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    reference = tokenizers.Tokenizer.from_file(vocabulary)
+    extra = ["a <|endoftext|> b", " x", "x ", "a\n b  c", "it's    q　 z é", "   ", "é é", "かな かな", "a\u0085 b"]
+    encoder = packing.Encoder(vocabulary)
+    ids, offsets = encoder.batch([x.encode() for x in extra], 0)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*e.ids, 0] for e in reference.encode_batch(extra, add_special_tokens=False)]
+    found = packing.pack(docs, vocabulary, emit_ids=True, block_tokens=5000).collect()
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        documents[r.doc_id].append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)  # no padding at all
+    texts = {i: t for i, t, *_ in rows}
+    for i, own in documents.items():
+        if i == 4:  # a repeated row
+            continue
+        joined = [x for r in sorted(own, key=lambda r: r.start) for x in r.ids]
+        assert joined == [*reference.encode(texts[i] or "", add_special_tokens=False).ids, 0] and own[0].doc_tokens == len(joined)
+    assert packing.pack(empty, vocabulary).count() == 0
+
+
+def test_packing_is_balanced():
+    rng = random.Random(1)
+    lengths = [rng.choice([50, 200, 700, 1000, 1500]) for _ in range(400)]
+    cost, filled = Counter(), Counter()
+    for _, _, n, q, _ in packed(lengths):
+        cost[q] += packing.cost(n)
+        filled[q] += n
+    whole = [cost[q] for q in filled if filled[q] == 1024]
+    assert sum(filled.values()) == sum(lengths) and max(whole) <= 2.1 * min(whole)
+
+
+packed = packing.packed
+
+
+@pytest.mark.parametrize("width,anchor,bits", [(35, 8, 26), (6, 3, 16)])
+def test_repeated_windows(docs, rows, empty, width, anchor, bits):
+    n = Counter(tuple(w[i : i + width]) for _, t, *_ in rows for w in (words(t),) for i in range(len(w) - width + 1))
+    expected = defaultdict(list)
+    for i, t, *_ in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - width + 1) if n[tuple(w[k : k + width])] > 1 for j in range(k, k + width)}
+        expected[i].append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    found = substrings.dedup(docs, width=width, anchor=anchor, width_bits=bits).collect()
+    assert len(found) == len(rows)
+    assert all((r.n_words, r.n_removed, r.kept_text) in expected[r.doc_id] for r in found)
+    assert any(0 < r.n_removed < r.n_words for r in found)
+    assert substrings.dedup(empty).count() == 0
+
+
+def test_sketch_overestimates():
+    rng = np.random.default_rng(6)
+    runs = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    runs[:300] = runs[300:600]
+    import pyarrow as pa
+
+    batches = []
+    for part in np.array_split(runs, 4):
+        made = list(zip(*substrings.sketch_rows(part, 16), strict=True))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.binary())], ["slice", "once", "twice"]))
+    table = np.zeros((substrings.DEPTH, substrings.SLICE // 8), np.uint8)
+    for b in substrings.merged(batches):
+        for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            table[part] = np.frombuffer(bits, np.uint8)
+    assert substrings.repeated(runs[:600], table.reshape(-1), 16).all()
+
+
+def test_near_duplicates(docs, rows, empty):
+    sets = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        sets[i, t] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
+    distinct = sorted({s for s in sets.values() if s}, key=lambda s: min(map(str, s)))
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = {s: {o for o in distinct if o is not s and near(s, o)} for s in distinct}
+    def group(s):
+        out, todo = {s}, [s]
+        while todo:
+            for o in links[todo.pop()] - out:
+                out.add(o)
+                todo.append(o)
+        return out
+    least = lambda ids: None if any(i is None for i in ids) else min(ids)
+    texts = {i: t for i, t, *_ in rows}
+    for block in (1024, 3):
+        for r in lshforest.groups(docs, block=block).collect():
+            s = sets[r.doc_id, texts[r.doc_id]]
+            if s is None:
+                assert r.class_id == r.doc_id and r.n_links == 0
+                continue
+            own = group(s)
+            assert r.n_links == len(links[s])
+            assert r.class_id == least([i for (i, _), o in sets.items() if o in own])
+    kept = lshforest.kept(docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert 4 in ids and ids.count(4) == 1 and 10 not in ids and 12 not in ids and {100, 101, 102} <= set(ids) and None in ids
+    assert lshforest.groups(empty).count() == 0 and lshforest.kept(empty).count() == 0
+
+
+def test_forest_shortens_to_its_target():
+    k = lshforest.prefix_length(0.8, 24, 8, 0.999)
+    assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
