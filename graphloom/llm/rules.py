@@ -3,8 +3,9 @@
 Each measure of a document is sketched in logarithmic buckets: a value x > 0 counts in bucket
 ``ceil(log(x) / log(GAMMA))`` and 0 in its own, so a quantile is right to within 1 % of its value.  Sketches are
 added bucket by bucket, so partial sketches merge in any order and a group of any size is a bounded number of
-counts.  From a group's sketch come fences: ``q95 + SLACK * (q95 - q50)`` above and, for measures with a lower
-side, the mirrored one below.  A group of fewer than ``MIN_GROUP`` documents takes its language's sketch, and one
+counts.  From a group's sketch come fences: ``q50 + WIDTH * (q75 - q50)`` above and, for measures with a lower
+side, the mirrored one below (quartiles, as a group may hold many bad documents), each at least so far from the
+median as the measure's own least distance.  A group of fewer than ``MIN_GROUP`` documents takes its language's sketch, and one
 of these the sketch of all documents.  A document fails when a measure lies beyond its group's fence.
 
 Null text has no words (so it fails the base rules); a null language or source is a group of its own; repeated
@@ -29,13 +30,13 @@ from . import common
 
 GAMMA = 1.02
 MIN_GROUP = 200
-SLACK = 3.0
+WIDTH = 6.0
 #: measure -> (expression, least distance from the median at which a fence stands, whether there is a lower fence)
 MEASURES: dict[str, tuple[str, float, bool]] = {
-    "word_length": ("word_chars / n_words", 1.0, True),
+    "word_length": ("word_chars / n_words", 2.0, True),
     "symbol_share": ("n_symbols / n_words", 0.05, False),
-    "dup_line_share": ("n_dup_lines / n_words", 0.02, False),
-    "repeat_share": ("n_repeat_words / n_words", 0.10, False),
+    "dup_line_share": ("n_dup_lines / n_words", 0.05, False),
+    "repeat_share": ("n_repeat_words / n_words", 0.30, False),
 }
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -93,22 +94,22 @@ def sketches(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def fences(merged: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(groups, measure, rows, q05, q50, q75, q95) of merged sketches."""
+    """(groups, measure, rows, q05, q25, q50, q75, q95) of merged sketches."""
     merged = merged.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*groups, "measure")
     upto = merged.withColumns({"rows": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()))})
     quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value_of(F.col("bucket"))))
-    return upto.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *(quantile(q / 100).alias(f"q{q:02}") for q in (5, 50, 75, 95)))
+    return upto.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *(quantile(q / 100).alias(f"q{q:02}") for q in (5, 25, 50, 75, 95)))
 
 
-def judged(counted: DataFrame, language: str = "lang", source: str = "source", min_group: int = MIN_GROUP, slack: float = SLACK) -> DataFrame:
+def judged(counted: DataFrame, language: str = "lang", source: str = "source", min_group: int = MIN_GROUP, width: float = WIDTH) -> DataFrame:
     """``counted`` with base_failed, and kept: whether neither the base rules nor its group's fences reject it."""
     own = sketches(counted.withColumnsRenamed({language: "__lang", source: "__source"}), ("__lang", "__source"))
     levels = (("__lang", "__source"), ("__lang",), ())
     wide = []
     for groups in levels:
         f = fences(own, groups)
-        q = F.struct("rows", "q05", "q50", "q95")
+        q = F.struct("rows", "q25", "q50", "q75")
         wide.append(f.groupBy(*groups).agg(*(F.max(F.when(F.col("measure") == m, q)).alias(m) for m in MEASURES)))
     out = counted.withColumn("__one", F.lit(1))
     for i, (groups, side) in enumerate(zip(levels, wide, strict=True)):
@@ -122,9 +123,9 @@ def judged(counted: DataFrame, language: str = "lang", source: str = "source", m
         level = lambda i: F.col(f"__level{i}.{m}")  # noqa: B023, E731
         at = F.when(level(0)["rows"] >= min_group, level(0)).when(level(1)["rows"] >= min_group, level(1)).otherwise(level(2))
         x = F.expr(expression)
-        failed = failed | (x > at["q50"] + F.greatest((1 + slack) * (at["q95"] - at["q50"]), F.lit(least)))
+        failed = failed | (x > at["q50"] + F.greatest(width * (at["q75"] - at["q50"]), F.lit(least)))
         if lower:
-            failed = failed | (x < at["q50"] - F.greatest((1 + slack) * (at["q50"] - at["q05"]), F.lit(least)))
+            failed = failed | (x < at["q50"] - F.greatest(width * (at["q50"] - at["q25"]), F.lit(least)))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(~failed, F.lit(True))))
