@@ -1,15 +1,50 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
+r"""DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["op9_repeated_windows"] = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WORDS = r"SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
+
+ORACLES["op4_adaptive_rules"] = rf"""
+WITH d AS ({WORDS}),
+wins AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w[s], w[s + 1], w[s + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
+reps AS (SELECT doc_id, count(DISTINCT i) AS r FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS i FROM wins WHERE n > 1) GROUP BY 1),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dl FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+f AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dl, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words
+  FROM d LEFT JOIN reps USING (doc_id) LEFT JOIN dups USING (doc_id)),
+m AS (SELECT doc_id, lang, source, unnest(['length', 'symbols', 'lines', 'repeats']) AS measure, unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_words, n_repeat_words / n_words]) AS x FROM f WHERE n_words > 0),
+b AS (SELECT *, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.02)) END AS bucket FROM m),
+g AS (SELECT 0 AS level, lang AS l, source AS s, measure, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM b GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, measure) AS total, sum(n) OVER (PARTITION BY level, l, s, measure ORDER BY bucket NULLS FIRST) AS upto, coalesce(2 * pow(1.02, bucket) / 2.02, 0) AS v FROM g),
+q AS (SELECT level, l, s, measure, any_value(total) AS total, min(v) FILTER (WHERE upto >= 0.25 * total) AS q25, min(v) FILTER (WHERE upto >= 0.5 * total) AS q50, min(v) FILTER (WHERE upto >= 0.75 * total) AS q75 FROM c GROUP BY ALL),
+t AS (SELECT m.doc_id, m.measure, m.x, CASE WHEN q0.total >= 200 THEN q0 WHEN q1.total >= 200 THEN q1 ELSE q2 END AS ref FROM m
+  JOIN q q0 ON q0.level = 0 AND q0.measure = m.measure AND q0.l IS NOT DISTINCT FROM m.lang AND q0.s IS NOT DISTINCT FROM m.source
+  JOIN q q1 ON q1.level = 1 AND q1.measure = m.measure AND q1.l IS NOT DISTINCT FROM m.lang JOIN q q2 ON q2.level = 2 AND q2.measure = m.measure),
+bad AS (SELECT DISTINCT doc_id FROM t WHERE x > ref.q50 + greatest(6 * (ref.q75 - ref.q50), CASE measure WHEN 'length' THEN 2.0 WHEN 'symbols' THEN 0.05 WHEN 'lines' THEN 0.05 ELSE 0.3 END)
+  OR measure = 'length' AND x < ref.q50 - greatest(6 * (ref.q50 - ref.q25), 2.0))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
+ORACLES["op9_repeated_windows"] = rf"""
+WITH d AS ({WORDS}),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
 k AS (SELECT doc_id, s, count(*) OVER (PARTITION BY array_to_string(list_slice(w, s, s + 34), ' ')) AS n FROM p),
 g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM k WHERE n > 1),
-gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
-    ELSE array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL), ' ') END) AS kept_sha256
-FROM d LEFT JOIN gone USING (doc_id)
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op10_lsh_forest"] = rf"""
+WITH RECURSIVE d AS ({WORDS}),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM d WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM sh GROUP BY doc_id),
+cls AS (SELECT k, min(doc_id) AS copy_id, count(*) AS n_copies, any_value(n) AS n FROM sets GROUP BY k),
+reps AS (SELECT doc_id, g, cls.n FROM sh JOIN cls ON doc_id = copy_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM reps a JOIN reps b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-6),
+reach AS (SELECT copy_id AS root, copy_id AS node FROM cls UNION SELECT root, b FROM reach JOIN links ON node = a),
+class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN cls USING (k) LEFT JOIN class ON node = copy_id LEFT JOIN degree ON a = copy_id
 """
