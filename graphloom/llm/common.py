@@ -54,8 +54,18 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def bundles(rows: DataFrame, text: str, limit: int = BUNDLE_BYTES) -> DataFrame:
-    """(bundle long, size long, payload binary): all columns of ``rows`` in compressed runs, with the bytes of text; checkpointed."""
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` over the partitions it has been planned with, so that each use computes the same partitions."""
+    session, query = df.sparkSession, df._jdf.queryExecution()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(query.toRdd(), df._jdf.schema(), False), session)
+
+
+def bundles(rows: DataFrame, text: str, limit: int = BUNDLE_BYTES, stored: bool = True, level: int = 1) -> DataFrame:
+    """(bundle long, size long, payload binary): all columns of ``rows`` in compressed runs, with the bytes of text.
+
+    Bundles are checkpointed; with ``stored`` false they are computed anew at each use, which saves disk, if the rows
+    come straight from files, whose partitions and order of rows don't change.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,7 +76,7 @@ def bundles(rows: DataFrame, text: str, limit: int = BUNDLE_BYTES) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as to:
                 for x in held:
                     to.write_batch(x)
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "size", "payload"])
@@ -86,7 +96,9 @@ def bundles(rows: DataFrame, text: str, limit: int = BUNDLE_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return checkpointed(rows.mapInArrow(pack, "bundle long, size long, payload binary"))
+    made = rows.mapInArrow(pack, "bundle long, size long, payload binary")
+    from_files = "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    return pinned(made) if from_files and not stored else checkpointed(made)
 
 
 def unpack(payload: bytes) -> pa.Table:
