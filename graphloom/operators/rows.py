@@ -61,3 +61,33 @@ def resolved(routes: DataFrame, queries: DataFrame) -> DataFrame:
 def document(rows: DataFrame, key: str, line: Column, order: str) -> DataFrame:
     """(key, body): the lines of each key in order, joined by newlines."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x")).select(key, F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
+
+
+def confirmed(mappings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcome of decisions (mapping_id, expected_version, decision) on mappings (mapping_id, version, status): accepted when
+    the version is as expected and no stale mapping is to be confirmed; then the decision is the status, one version on."""
+    out = requests.join(mappings, "mapping_id", "left")
+    ok = F.coalesce((F.col("version") == F.col("expected_version")) & ((F.col("status") != "stale") | (F.col("decision") != "confirmed")) & F.col("decision").isin("confirmed", "rejected"), F.lit(False))
+    return out.select("mapping_id", ok.alias("accepted"), F.when(ok, F.col("decision")).otherwise(F.col("status")).alias("status"), F.when(ok, F.col("version") + 1).otherwise(F.col("version")).alias("version"))
+
+
+def evidence_links(mappings: DataFrame) -> DataFrame:
+    """(mapping_id, evidence_id): one row for each evidence reference."""
+    return mappings.select("mapping_id", F.explode("evidence_refs").alias("evidence_id"))
+
+
+def longest_suffix(paths: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(path, suffix) of the longest of ``suffixes`` (a few rows) that a path's name ends with, in any case; null if none does."""
+    low = F.lower(F.col("path"))
+    hit = paths.join(F.broadcast(suffixes), low.endswith(F.col("suffix")), "left")  # parsers' suffixes are a fixed few
+    return hit.groupBy("path").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+
+
+def expired(tokens: DataFrame, now: int) -> DataFrame:
+    """Tokens past their expiry; at the very second they still hold."""
+    return tokens.where(F.col("expires_at") < now)
+
+
+def undeclared(declared: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(skill, tool) declared but not allowed."""
+    return declared.select("skill", "tool").distinct().join(allowed, ["skill", "tool"], "left_anti")

@@ -380,9 +380,87 @@ def change_feed(spark, d):
     return changes.parsed(raw, "value", "line").withColumn("status", F.when(F.col("status") == "R", "F").otherwise("O"))
 
 
-@query("SELECT url FROM pages WHERE url LIKE 'https://example.org/%' OR starts_with(url, 'http')")
+FILES_SQL = "f AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.d.TS' WHEN 2 THEN '.ts' WHEN 3 THEN '/__init__.py' ELSE '.md' END AS path FROM documents)"
+
+
+def d_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: a path each, of five kinds."""
+    end = F.element_at(F.array(*map(F.lit, (".py", ".d.TS", ".ts", "/__init__.py", ".md"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM f WHERE (starts_with(path, 'src1/') OR starts_with(path, 'src2/en/')) AND NOT starts_with(path, 'src1/de/')")
 def scoped_files(spark, d):
-    return table(spark, d, "pages").where(text.under(F.col("url"), ["."]) & ~text.under(F.col("url"), ["nowhere"])).where("url like 'http%'").select("url")
+    return d_files(spark, d).where(text.under(F.col("path"), ["src1", "src2/en/"]) & ~text.under(F.col("path"), ["src1/de"])).select("path")
+
+
+@query(f"WITH {FILES_SQL} SELECT path, CASE WHEN path LIKE '%.py' THEN '.py' WHEN lower(path) LIKE '%.d.ts' THEN '.d.ts' WHEN path LIKE '%.ts' THEN '.ts' END AS suffix FROM f")
+def parser_selection(spark, d):
+    return rows.longest_suffix(d_files(spark, d).select("path"), spark.createDataFrame([(".py",), (".ts",), (".d.ts",)], "suffix string"))
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, replace(regexp_replace(regexp_replace(path, '\\.py$', ''), '/__init__$', ''), '/', '.') AS module FROM f WHERE path LIKE '%.py'")
+def module_names(spark, d):
+    return d_files(spark, d).where(F.col("path").endswith(".py")).select("doc_id", F.translate(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), "/", ".").alias("module"))
+
+
+@query("""SELECT event_id, '{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS payload, sha256('{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS content_hash FROM events""")
+def canonical_payload(spark, d):
+    return table(spark, d, "events").select("event_id", text.canonical("props").alias("payload")).withColumn("content_hash", F.sha2("payload", 256))
+
+
+@query("SELECT doc_id AS mapping_id, unnest([doc_id, doc_id * 2 + quality]) AS evidence_id FROM labels")
+def mapping_evidence(spark, d):
+    return rows.evidence_links(table(spark, d, "labels").select(F.col("doc_id").alias("mapping_id"), F.array(F.col("doc_id"), F.col("doc_id") * 2 + F.col("quality")).alias("evidence_refs")))
+
+
+@query("""WITH m AS (SELECT doc_id AS mapping_id, doc_id % 3 AS version, CASE quality WHEN 1 THEN 'candidate' ELSE 'stale' END AS status FROM labels),
+r AS (SELECT doc_id AS mapping_id, doc_id % 2 AS expected_version, CASE toxic WHEN 0 THEN 'confirmed' ELSE 'rejected' END AS decision FROM labels),
+j AS (SELECT *, version = expected_version AND (status <> 'stale' OR decision <> 'confirmed') AS accepted FROM r JOIN m USING (mapping_id))
+SELECT mapping_id, accepted, CASE WHEN accepted THEN decision ELSE status END AS status, version + CAST(accepted AS INT) AS version FROM j""")
+def confirm_mappings(spark, d):
+    labels = table(spark, d, "labels")
+    mappings = labels.select(F.col("doc_id").alias("mapping_id"), (F.col("doc_id") % 3).alias("version"), F.when(F.col("quality") == 1, "candidate").otherwise("stale").alias("status"))
+    requests = labels.select(F.col("doc_id").alias("mapping_id"), (F.col("doc_id") % 2).alias("expected_version"), F.when(F.col("toxic") == 0, "confirmed").otherwise("rejected").alias("decision"))
+    return rows.confirmed(mappings, requests)
+
+
+@query(f"WITH {GOLDEN_SQL} SELECT l_orderkey, len(expected) AS n_expected, len(actual) AS n_actual FROM g WHERE expected <> actual")
+def failure_cases(spark, d):
+    return evaluate.judged(golden(spark, d)).where("not passed").select("l_orderkey", F.size("expected").cast("long").alias("n_expected"), F.size("actual").cast("long").alias("n_actual"))
+
+
+@query(f"""WITH {G_SQL}, b AS (SELECT kind, '---' || chr(10) || '{{"kind": "' || kind || '"}}' || chr(10) || '---' || chr(10) || chr(10) || string_agg('- ' || node_id || ' ' || name, chr(10) ORDER BY node_id) || chr(10) AS content FROM g_nodes GROUP BY kind)
+SELECT 'technical:' || kind || ':1' AS document_id, content, sha256(content) AS content_hash FROM b""")
+def document_artifacts(spark, d):
+    body = rows.document(g_nodes(spark, d), "kind", F.concat(F.lit("- "), F.col("node_id").cast("string"), F.lit(" "), "name"), "node_id")
+    content = F.concat_ws("\n", F.lit("---"), F.concat(F.lit('{"kind": "'), "kind", F.lit('"}')), F.lit("---"), F.lit(""), "body", F.lit(""))
+    return body.select(F.concat_ws(":", F.lit("technical"), "kind", F.lit("1")).alias("document_id"), content.alias("content")).withColumn("content_hash", F.sha2("content", 256))
+
+
+@query("SELECT event_id FROM events WHERE user_id + 300 < 305")
+def expired_tokens(spark, d):
+    return rows.expired(table(spark, d, "events").select("event_id", (F.col("user_id") + 300).alias("expires_at")), 305).select("event_id")
+
+
+@query("SELECT DISTINCT p_brand AS skill, p_type AS tool FROM part WHERE p_size < 10 AND (p_brand, p_type) NOT IN (SELECT p_brand, p_type FROM part WHERE p_size > 40)")
+def undeclared_tools(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("skill"), F.col("p_type").alias("tool"), "p_size")
+    return rows.undeclared(part.where("p_size < 10"), part.where("p_size > 40").select("skill", "tool"))
+
+
+@query(f"WITH {G_SQL} SELECT node_id FROM g_nodes WHERE canonical_key IN ('nation:' || (SELECT min(n_name) FROM nation), 'region:AFRICA') AND file_path LIKE 'nation/%'")
+def node_scope(spark, d):
+    first = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    return graph.in_scope(g_nodes(spark, d), [f"nation:{first}", "region:AFRICA"], [f"nation/{first}.py"])
+
+
+@query("SELECT o_orderstatus AS status, max_by(o_orderkey, o_orderkey) AS snapshot_id, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def active_published(spark, d):
+    snapshots = table(spark, d, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderstatus").alias("status"))
+    active = rows.latest(snapshots, ["status"], F.col("snapshot_id")).withColumnRenamed("snapshot_id", "active")
+    own = active.join(snapshots.select(F.col("snapshot_id").alias("active")), "active").where("status <> 'P'")
+    return own.join(snapshots.groupBy("status").agg(F.count("*").alias("n")), "status").select("status", F.col("active").alias("snapshot_id"), "n")
 
 
 @query()
