@@ -7,6 +7,7 @@ reach; ``expand`` obeys budgets edge by edge, so it takes at most ``edge_budget`
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from dataclasses import dataclass, field
 
@@ -65,7 +66,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
         own = steps(edges, frontier, direction, edge_types)
         if scope is not None:
             own = own.join(scope.unionByName(seen.select("node_id")).distinct().withColumnRenamed("node_id", "other"), "other", "left_semi")
-        own = saved(own.withColumn("level", F.lit(level)))
+        own = own.withColumn("level", F.lit(level))
         met = own if met is None else met.unionByName(own)
         first = own.groupBy(F.col("other").alias("node_id")).agg(F.min_by("current", "edge_id").alias("current")).join(seen.select("node_id"), "node_id", "left_anti")
         frontier = saved(first.join(frontier.select(F.col("node_id").alias("current"), F.col("path").alias("before")), "current").select("node_id", F.lit(level).alias("level"), F.concat("before", F.array("node_id")).alias("path")))
@@ -138,12 +139,14 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     both = edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b"))
     both = both.union(both.select("b", "a")).where("a <> b").distinct()
     reached = frontier = saved(seeds.select("node_id").distinct())
-    while True:
+    for round_ in itertools.count(1):
         new = both.join(frontier.withColumnRenamed("node_id", "a"), "a", "left_semi").select(F.col("b").alias("node_id")).distinct().join(reached, "node_id", "left_anti")
         frontier = saved(new)
         if frontier.isEmpty():
             return reached
-        reached = saved(reached.union(frontier))
+        reached = reached.union(frontier)
+        if round_ % 8 == 0:  # a union of few saved parts stays as it is
+            reached = saved(reached)
 
 
 def affected_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
