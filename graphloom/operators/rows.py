@@ -34,9 +34,9 @@ def latest(rows: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
 def swapped(pointer: DataFrame, requests: DataFrame) -> DataFrame:
     """Outcome of compare-and-swap requests (request_id, expected_parent, snapshot_id) against one pointer row (active):
     with no active row any parent is accepted, else it must be equal, null included."""
-    active = pointer.agg(F.max("active").alias("active"), F.count("*").alias("rows"))
+    active = pointer.agg(F.max("active").alias("active"), F.count("*").alias("rows"), F.lit(1).alias("one"))
     ok = (F.col("rows") == 0) | F.col("active").eqNullSafe(F.col("expected_parent"))
-    return requests.crossJoin(F.broadcast(active)).select("request_id", ok.alias("accepted"), F.when(ok, F.col("snapshot_id")).otherwise(F.col("active")).alias("active"))
+    return requests.withColumn("one", F.lit(1)).join(F.broadcast(active), "one").select("request_id", ok.alias("accepted"), F.when(ok, F.col("snapshot_id")).otherwise(F.col("active")).alias("active"))
 
 
 def differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -291,7 +291,8 @@ def evaluate_accuracy(spark, d):
 @query(f"WITH {GOLDEN_SQL}, s AS (SELECT len(list_distinct(expected)) AS r, len(list_distinct(actual)) AS n, len(list_intersect(list_distinct(expected), list_distinct(actual))) AS h, greatest(len(expected), 1) AS q FROM g) SELECT sum(h) / sum(n) AS precision, sum(h) / sum(r) AS recall, sum(h) / sum(q) AS business_precision FROM s")
 def precision_recall(spark, d):
     g = golden(spark, d)
-    return evaluate.metrics(g).select("precision", "recall").crossJoin(F.broadcast(evaluate.metrics(g, "business").select(F.col("precision").alias("business_precision"))))  # one row each
+    judged, divided = evaluate.judged(g), lambda c: F.coalesce(F.try_divide(F.sum("hits"), F.sum(c)), F.lit(1.0))
+    return judged.agg(divided("returned").alias("precision"), divided("relevant").alias("recall"), divided("asked").alias("business_precision"))
 
 
 @query("WITH m AS (SELECT o_orderpriority AS metric, avg(o_totalprice) AS value FROM orders GROUP BY 1), t AS (SELECT DISTINCT o_orderpriority AS metric, 250000.0 AS threshold FROM orders UNION ALL SELECT 'absent', 0.5) SELECT t.metric, round(coalesce(value, 0.0), 4) AS value, threshold FROM t LEFT JOIN m USING (metric) WHERE coalesce(value, 0.0) < threshold")
