@@ -115,9 +115,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, roots: bool = False) -> DataFrame:
     """For each row: the id, __row (a key of id and text), class_id (least id of its group of near duplicates), copy_id (least id
-    of texts with its shingle set), n_copies (rows with that set), n_links (other sets linked to it)."""
+    of texts with its shingle set), n_copies (rows with that set), n_links (other sets linked to it); with ``roots`` also
+    __root, the key of its group (ids may be null or repeat, so class_id may be that of several groups; null without words)."""
     prefix = prefix_length(threshold)
     key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("\1")), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(text).alias("__text"), F.col(id_column).alias("__id"), F.unhex(F.md5(key)).alias("__row"))
@@ -216,9 +217,10 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     near = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
     grouped = classes.join(near, "node", "left").join(links, "node", "left").select("node", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    grouped = salted(grouped, least, "root").select("node", "class_id", "copy_id", "n_copies", "n_links")
-    alone = described.where("node is null").select("__id", "__row", F.col("__id").alias("class_id"), F.col("__id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    out = salted(described.where("node is not null").select("__id", "__row", "node"), grouped, "node").select("__id", "__row", "class_id", "copy_id", "n_copies", "n_links")
+    root = [F.col("root").alias("__root")] if roots else []
+    grouped = salted(grouped, least, "root").select("node", "class_id", "copy_id", "n_copies", "n_links", *root)
+    alone = described.where("node is null").select("__id", "__row", F.col("__id").alias("class_id"), F.col("__id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), *([F.col("node").alias("__root")] if roots else []))
+    out = salted(described.where("node is not null").select("__id", "__row", "node"), grouped, "node").select("__id", "__row", "class_id", "copy_id", "n_copies", "n_links", *(["__root"] if roots else []))
     return out.union(alone).withColumnRenamed("__id", id_column)
 
 
@@ -226,10 +228,10 @@ def kept(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **optio
     """The rows of ``docs`` that stay when each group of near duplicates keeps one row: that of least id (then text).
     Of rows that repeat id and text one stays; rows without words are in no group and all stay."""
     key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("\1")), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
-    found = groups(docs, text, id_column, **options).select("__row", F.col(id_column).alias("__id"), "class_id", "n_copies", "n_links", "copy_id")
+    found = groups(docs, text, id_column, roots=True, **options).select("__row", F.col(id_column).alias("__id"), "__root", "n_copies", "n_links")
     found = common.checkpointed(found.distinct())
     alone = (F.col("n_links") == 0) & (F.col("n_copies") == 1)
-    first = found.where(~alone).groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
+    first = found.where(~alone).groupBy("__root").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
     stay = found.where(alone).select("__row").union(first)
     rows = docs.withColumn("__row", F.unhex(F.md5(key)))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")

@@ -419,6 +419,13 @@ def test_near_duplicates(docs, rows, empty):
     assert lshforest.groups(empty).count() == 0 and lshforest.kept(empty).count() == 0
 
 
+def test_groups_whose_ids_are_null_or_repeat_keep_one_row_each(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    own = [(None, text("a")), (1, text("a")), (None, text("b")), (2, text("b")), (7, text("c")), (8, text("c")), (7, text("d")), (9, text("d")), (3, text("e"))]
+    kept = lshforest.kept(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (3, text("e"))])
+
+
 def test_forest_shortens_to_its_target():
     k = lshforest.prefix_length(0.8, 24, 8, 0.999)
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
