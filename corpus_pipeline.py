@@ -3,7 +3,8 @@
 Each stage works on all that its predecessor kept.  A stage's result is written and read again before the next.
 
 1. ``language``: documents of no learned language go: those without a letter, and those of whose letter n-grams
-   the best language holds under ``LEAST_SHARE``.
+   the best language holds under ``LEAST_SHARE`` of what it holds of its own labelled documents' (their median;
+   the larger the table, the more rare n-grams no language holds).
 2. ``lines``: runs of lines that some document has had before go; documents stay.
 3. ``near``: one document of each group of near duplicates stays, that of least id.
 4. ``substrings``: words covered by a run of 35 words that occurs elsewhere too go; documents stay.
@@ -36,8 +37,10 @@ def shaped(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = langid.train(docs)
-    found = langid.predict(docs, model, keep=COLUMNS)
-    return shaped(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)))
+    found = common.checkpointed(langid.predict(docs, model, keep=COLUMNS).where(F.col("lang_pred") != langid.UNDETERMINED))
+    usual = found.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
+    found = found.join(F.broadcast(usual), "lang_pred", "left")  # a row for each learned language
+    return shaped(found.where(F.col("score") >= LEAST_SHARE * F.coalesce("usual", F.lit(1.0))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

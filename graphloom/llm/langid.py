@@ -7,7 +7,9 @@ taken out: ``(hits - n * f) / (1 - f)``.  The language with the largest correcte
 
 An n-gram enters a language's slice when it makes up at least ``min_share`` of the language's n-grams, counted
 over all its training text; so a slice has 1 / min_share members at most, whatever the corpus holds, and the
-filter that is broadcast has a fixed size.
+filter that is broadcast has a fixed size.  Scripts of many letters (Han, kana, Hangul), whose longer n-grams are
+nearly all rare, go by n-grams shorter by ``SHORTER``.  Scores fall as a language's rare n-grams outgrow its slice, so
+they are to be held against those of the language's own documents, not against a fixed number.
 
 Null, empty and letterless texts are ``und`` with score 0.  Ties go to the language first in sort order.  With
 no language learned (empty table, no labels) every text is ``und``.  Repeated rows are judged each by itself;
@@ -28,12 +30,15 @@ from pyspark.sql import types as T
 from . import common
 
 ORDERS = (3, 4)
+SHORTER = 2
 MIN_SHARE = 2e-5
 SLOT_BITS = 20
 HASHES = 3
 UNDETERMINED = "und"
 SPAN = 1 << 20  # characters looked at together
 
+#: scripts of many letters: kana, Han and Hangul, by code point
+MANY = ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF))
 _letters: list[np.ndarray] = []
 
 
@@ -45,23 +50,31 @@ def letters() -> np.ndarray:
 
 
 def gram_keys(texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams of each run of letters, in lower case and with its borders, and the number of each one's text."""
+    """Keys of the n-grams of each run of letters, in lower case and with its borders, and the number of each one's text.
+    Runs in scripts of many letters have n-grams shorter by ``SHORTER``, without borders."""
     low = [x.lower() for x in texts]
     code = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     inside = letters()[code]
-    code = np.where(inside, code, 0).astype(np.uint64)
+    code = whole_code = np.where(inside, code, 0).astype(np.uint64)
+    many = np.zeros(len(code), bool)
+    if (code >= MANY[0][0]).any():
+        for a, b in MANY:
+            many |= inside & (code >= a) & (code <= b)
     owner = np.repeat(np.arange(len(low)), [len(x) + 1 for x in low])  # the blank before a text is its own
     keys, owners = [], []
-    for n in orders:
-        last = len(code) - n + 1
+    few, mixed_scripts = inside & ~many, bool(many.any())
+    code = np.where(many, 0, code) if mixed_scripts else code  # a border to other letters
+    for n, own, use in [(n, code, few) for n in orders] + ([(max(1, n - SHORTER), whole_code, many) for n in orders] if mixed_scripts else []):
+        last = len(own) - n + 1
         if last <= 0:
             continue
-        whole = np.ones(last, bool)
-        h = code[:last] + np.uint64(n)
+        edge = 0 if use is many else 1
+        whole = np.ones(last, bool) if edge else use[:last].copy()
+        h = own[:last] + np.uint64(n)
         for j in range(1, n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + last]
-            if j < n - 1:
-                whole &= inside[j : j + last]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + own[j : j + last]
+            if j < n - edge:
+                whole &= use[j : j + last]
         at = np.flatnonzero(whole)
         keys.append(common.mixed(h[at]))
         owners.append(owner[at])

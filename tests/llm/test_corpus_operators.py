@@ -71,6 +71,12 @@ def test_language(docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_of_many_letters():
+    keys, owner = langid.gram_keys(["ab 日本語", "日本 abc本", "x"])
+    assert Counter(owner.tolist()) == Counter([0] * 2 + [0] * 1 + [0] * (3 + 2) + [1] * (2 + 1) + [1] * (3 + 2) + [1] * 1 + [2])
+    assert len(set(keys.tolist()) & set(langid.gram_keys(["本語"])[0].tolist())) == 3
+
+
 @pytest.fixture(scope="module")
 def model():
     return public_tokenizers.path("piece_bpe_32k.model")

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, each against brute force on what its predecessor kept."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -29,6 +30,17 @@ def test_language_keeps_what_it_knows(stages):
     assert gone >= {100, 101, 102, 103} and not gone & set(range(60))
 
 
+def test_language_keeps_languages_of_many_rare_ngrams(spark):
+    """Scores fall where rare n-grams outgrow a language's slice; its documents stay, foreign ones go."""
+    rng = random.Random(1)
+    letters, han = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîï", [chr(x) for x in range(0x4E00, 0x4E00 + 4000)]
+    common_ = ["".join(rng.choices(letters, k=5)) for _ in range(30)]
+    made = lambda: " ".join(rng.choice(common_) if rng.random() < 0.3 else "".join(rng.choices(letters, k=6)) for _ in range(150))
+    docs = [(i, made(), "xx") for i in range(200)] + [(i, "".join(rng.choices(han, k=400)), "zh") for i in range(200, 400)] + [(400, "αβγδε ζηθικ λμνξο πρστυ", None), (401, "한국어 문서", None)]
+    rows = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, rows, "").collect()} == set(range(400))
+
+
 def test_lines(stages):
     before, after = stages[1][1]
     expected = cut_lines(before)
