@@ -2,14 +2,14 @@
 
 The trie of byte contexts is kept level by level: for each order ``k`` the counts of (context of k bytes, next
 byte).  A byte is coded at the longest context known; if it was never seen there, an escape is coded (method D:
-half a count for each distinct follower, and the whole counts of followers left out of the trie) and the next shorter context is tried with the followers of the longer
+half a count for each distinct follower) and the next shorter context is tried with the followers of the longer
 one excluded; below order 0 the bytes not excluded are equally likely.  Since every follower of a context also
 follows its suffix, what is excluded at each level is a fixed sum, so a byte's code length depends on its last
-``ORDER`` + 1 bytes alone and is worked out for whole arrays.
+``ORDER`` + 1 bytes alone and is worked out once for each distinct pair.
 
-Pretrained: counts are gathered from all training texts.  A node is kept when it makes up ``MIN_SHARE`` of the
-training bytes, so a level has 1 / MIN_SHARE nodes at most and the trie that is broadcast is bounded at any size
-of corpus.  Adaptive: the trie starts empty for each text and learns as it goes, on the worker.
+Pretrained: counts are gathered from all training texts and all stay, sharded by pair (context and byte).  Each bundle
+contributes its distinct pairs; their code lengths are put together from the shards, order by order, by joins on the
+pair's suffix and windows over its context, and go back to the bundles.  Adaptive: the trie starts empty for each text and learns as it goes, on the worker.
 
 Null text is empty: one end symbol.  Repeated rows are scored each by itself, ids play no part in scores; an
 empty table gives an empty one; without training texts every byte is equally likely.  ``keep`` columns pass
@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 5
-MIN_SHARE = 2e-7
 END = 0xFF  # never a byte of UTF-8: before and after each text
 SYMBOLS = 256
 BUNDLE = 16 << 20  # bytes of text whose words are looked up together
@@ -61,92 +60,45 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-@dataclass
-class Trie:
-    """For each order: (context, follower) pairs and their counts; contexts with their occurrences, the part of these that is
-    kept, the number of followers kept, and the counts that a context excludes one level below."""
-
-    pairs: list[np.ndarray]
-    counts: list[np.ndarray]
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kept: list[np.ndarray]
-    kinds: list[np.ndarray]
-    excluded: list[np.ndarray]
-
-    @classmethod
-    def of(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-        """From each order's packed pairs, counts, and occurrences of the pairs' contexts, from order 0 on."""
-        out = cls([], [], [], [], [], [], [])
-        for k, (pairs, counts, totals) in enumerate(levels):
-            at = np.argsort(pairs)
-            pairs, counts, totals = pairs[at].astype(np.uint64), counts[at].astype(np.float64), totals[at].astype(np.float64)
-            contexts, first, owner, kinds = np.unique(pairs >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
-            below = np.zeros(len(pairs))
-            if k:
-                at, known = find(out.pairs[k - 1], pairs & np.uint64((1 << 8 * k) - 1))
-                below = np.where(known, out.counts[k - 1][at] if len(out.counts[k - 1]) else 0, 0)
-            out.pairs.append(pairs)
-            out.counts.append(counts)
-            out.contexts.append(contexts)
-            out.totals.append(totals[first])
-            out.kept.append(np.bincount(owner, weights=counts, minlength=len(contexts)))
-            out.kinds.append(kinds.astype(np.float64))
-            out.excluded.append(np.bincount(owner, weights=below, minlength=len(contexts)))
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each packed byte after its context."""
-        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
-        minus_n, minus_q = np.zeros(len(keys)), np.zeros(len(keys))
-        for k in range(len(self.pairs) - 1, -1, -1):
-            own = keys[open_] & np.uint64((1 << 8 * (k + 1)) - 1)
-            c, known = find(self.contexts[k], own >> np.uint64(8))
-            p, seen = find(self.pairs[k], own)
-            if not len(self.contexts[k]):
-                continue
-            n, q = self.totals[k][c] - minus_n[open_], self.kinds[k][c] - minus_q[open_]
-            spare = self.totals[k][c] - self.kept[k][c] + q / 2  # what is left for an escape
-            coded = known & seen
-            out[open_[coded]] += np.log10((self.counts[k][p[coded]] - 0.5) / n[coded])
-            escaped = known & ~seen
-            paid = escaped & (spare < n)
-            out[open_[paid]] += np.log10(np.maximum(spare[paid], 0.5) / n[paid])
-            minus_n[open_[escaped]], minus_q[open_[escaped]] = self.excluded[k][c[escaped]], self.kinds[k][c[escaped]]
-            open_ = open_[~coded]
-        out[open_] -= np.log10(SYMBOLS - minus_q[open_])
-        return out
-
-
-class Scorer:
-    """Remembers the code length of packed bytes in a table of fixed size."""
-
-    def __init__(self, trie: Trie, bits: int = 20):
-        self.trie, self.shift = trie, np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        slot = (common.mixed(keys) >> self.shift).astype(np.int64)
-        out, miss = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
-        if len(miss):
-            new, number = np.unique(keys[miss], return_inverse=True)
-            value = self.trie.log10(new)
-            out[miss] = value[number]
-            slot = (common.mixed(new) >> self.shift).astype(np.int64)
-            self.keys[slot], self.values[slot] = new, value
-        return out
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text and its end."""
-        keys, borders = windows(texts, len(self.trie.pairs) - 1)
-        sums = np.zeros(len(texts))
-        for i in range(0, len(keys), 1 << 20):
-            part = self.log10(keys[i : i + (1 << 20)])
-            a, b = np.searchsorted(borders, [i, i + len(part)], side="right")
-            cuts = np.clip(borders[a - 1 : b + 1] - i, 0, len(part))
-            upto = np.concatenate([[0], np.cumsum(part)])[cuts]
-            sums[a - 1 : a - 2 + len(upto)] += np.diff(upto)
-        return sums
+def suffix(size: int) -> Column:
+    """The last ``size`` bytes of a packed pair."""
+    return F.col("pair").bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(pair, log): log10 of the probability of each packed byte after its context, of all pairs of ``counts`` (pair, n: how often
+    the training texts have it, which may be never).
+
+    From order 0 up; ``escaped`` is the value at the orders below when this one was left by an escape, whose followers are then
+    excluded.
+    """
+    level = {order: counts}
+    for k in range(order - 1, -1, -1):
+        level[k] = common.checkpointed(level[k + 1].groupBy(suffix(k + 1).alias("pair")).agg(F.sum("n").alias("n")))
+
+    def escape(n: Column, kinds: Column) -> Column:
+        return F.when(kinds / 2 < n, F.log10(F.greatest(kinds / 2, F.lit(0.5)) / F.greatest(n, F.lit(1)))).otherwise(0.0)
+
+    own: DataFrame | None = None
+    for k in range(order + 1):
+        w = Window.partitionBy("context")  # a context has a row for each byte at most
+        if own is None:
+            made = level[0].withColumns({"context": F.shiftright("pair", 8), "below_n": F.lit(0).cast("long")})
+        else:
+            below = own.select(F.col("pair").alias("suffix"), *(F.col(c).alias(f"below_{c}") for c in ("n", "total", "kinds", "escaped", "log")))
+            made = level[k].withColumns({"context": F.shiftright("pair", 8), "suffix": suffix(k)}).join(below, "suffix")
+        seen = F.col("n") > 0
+        made = made.withColumns({"total": F.sum("n").over(w), "kinds": F.count_if(seen).over(w), "excluded": F.coalesce(F.sum(F.when(seen, F.col("below_n"))).over(w), F.lit(0))})
+        if own is None:
+            escaped, unknown = -F.log10(F.greatest(SYMBOLS - F.col("kinds"), F.lit(1))), F.lit(-math.log10(SYMBOLS))
+        else:
+            n, kinds = F.col("below_total") - F.col("excluded"), F.col("below_kinds") - F.col("kinds")
+            escaped = F.when(F.col("below_n") > 0, F.log10((F.col("below_n") - 0.5) / F.greatest(n, F.lit(1)))).otherwise(escape(n, kinds) + F.col("below_escaped"))
+            unknown = F.col("below_log")
+        made = made.withColumn("escaped", F.when(~seen, escaped))
+        log = F.when(F.col("total") == 0, unknown).when(seen, F.log10((F.col("n") - 0.5) / F.greatest("total", F.lit(1)))).otherwise(escape(F.col("total"), F.col("kinds")) + F.col("escaped"))
+        own = made.select("pair", "n", "total", "kinds", "escaped", log.alias("log"))
+    return own.select("pair", F.col("log").cast("float").alias("log"))
 
 
 def adaptive(text: bytes, order: int = ORDER) -> float:
@@ -174,39 +126,35 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-def train(held: DataFrame, learn: str, order: int = ORDER, min_share: float = MIN_SHARE) -> Trie:
-    """The trie of all texts of bundles (of __text and the boolean ``learn``)."""
+def occurring(held: DataFrame, learn: str, order: int = ORDER) -> DataFrame:
+    """(bundle, pair, n): the distinct packed pairs of each bundle (of __text and the boolean ``learn``), and how often the texts to
+    learn from have them."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in common.opened(batches):
-            own, keys, n = [x.lower() for x in common.texts(rows.filter(rows.column(learn)).column("__text"))], np.empty(0, np.uint64), np.empty(0, np.int64)
+        for number, rows in common.opened(batches):
+            own, learned = [x.lower() for x in common.texts(rows.column("__text"))], rows.column(learn).to_numpy(zero_copy_only=False)
+            keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
             for some in common.spans(own):
-                new, m = np.unique(windows(own[some], order)[0], return_counts=True)
-                keys, number = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                n = np.bincount(number, weights=np.concatenate([n, m])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["pair", "n"])
-
-    level = common.checkpointed(held.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    total = level.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(order, -1, -1):
-        own = level.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n"))
-        own = own.withColumn("context", F.shiftright("pair", 8))
-        occurs = own.groupBy("context").agg(F.sum("n").alias("total"))
-        found = own.where(F.col("n") >= max(1, math.ceil(min_share * total))).join(occurs, "context").select("pair", "n", "total").toPandas()  # 1 / min_share rows at most
-        levels.append((found["pair"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), found["total"].to_numpy(np.int64)))
-    return Trie.of(levels[::-1])
-
-
-def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mode: str = "pretrained", order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+                pairs, borders = windows(own[some], order)
+                new, kind = np.unique(pairs, return_inverse=True)
+                m = np.bincount(kind, weights=np.repeat(learned[some], np.diff(borders)), minlength=len(new))
+                keys, kind = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                n = np.bincount(kind, weights=np.concatenate([n, m]), minlength=len(keys)).astype(np.int64)
+            for i in range(0, len(keys), 200_000):
+                part = keys[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(part.view(np.int64)), pa.array(n[i : i + 200_000])], ["bundle", "pair", "n"])
+
+    return held.mapInArrow(count, "bundle long, pair long, n long")
+
+
+def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mode: str = "pretrained", order: int = ORDER) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every whole text (A-Z in lower case),
     learning from the rows that ``learn`` selects."""
     new = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     keep = tuple(c for c in keep if c not in new)
     rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
     held = common.bundles(rows, "__text", BUNDLE)
-    spark = docs.sparkSession
-    trie = spark.sparkContext.broadcast(train(held, "__learn", order, min_share) if mode == "pretrained" else None)
+    pairs = occurring(held, "__learn", order) if mode == "pretrained" else None
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in common.opened(batches):
@@ -234,7 +182,17 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
     kind = T.StructType([f for f in rows.schema.fields if not f.name.startswith("__")] + [T.StructField(k, v) for k, v in new.items()])
     below = math.log10(n_all + 0.5 * (n_kinds + 1))
 
+    def trie(texts: list[bytes], pair: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each text and its end, of the pairs' values."""
+        keys, borders = windows(texts, order)
+        return np.diff(np.concatenate([[0], np.cumsum(log[np.searchsorted(pair, keys)])])[borders])
+
     def judge(table: pa.Table, bundle: pa.Table) -> pa.Table:
+        grams = table.filter(pc.is_valid(table.column("pair"))).select(["pair", "log"])
+        table = table.filter(pc.is_valid(table.column("token")))
+        pair, log = grams.column("pair").to_numpy().view(np.uint64), grams.column("log").to_numpy()
+        at = np.argsort(pair)
+        pair, log = pair[at], log[at].astype(np.float64)
         h = [np.empty((0, 2), np.uint64)]
         for chunk in table.column("token").chunks:
             stops = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
@@ -243,9 +201,8 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
                 own = stops[i : i + 50_001]
                 h.append(common.hashed(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]))
         h, count = np.concatenate(h), np.asarray(table.column("c"), np.float64)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        h, count, out = h[order], count[order], []
-        scorer = Scorer(trie.value) if trie.value is not None else None
+        at = np.lexsort((h[:, 1], h[:, 0]))
+        h, count, out = h[at], count[at], []
         for payload in bundle.column("payload"):
             rows = common.unpack(payload.as_buffer())
             own, columns = [x.lower() for x in common.texts(rows.column("__text"))], []
@@ -255,10 +212,15 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
                 c = np.where(hit & (h[at, 1] == w.h[:, 1]), count[at], 0) if len(h) else np.zeros(len(w))
                 logs = np.concatenate([[0], np.cumsum(np.log10(c + 0.5) - below)])[w.offsets]
                 seen = np.concatenate([[0], np.cumsum(c > 0)])[w.offsets]
-                model = scorer.texts(own[some]) if scorer else np.array([adaptive(x) for x in own[some]])
+                model = trie(own[some], pair, log) if mode == "pretrained" else np.array([adaptive(x) for x in own[some]])
                 columns.append((w.counts + 1, np.diff(seen) + (ends > 0), np.full(len(w.counts), n_all), np.diff(logs) + math.log10(ends + 0.5) - below, model))
             joined = [np.concatenate(x) for x in zip(*columns, strict=True)]
             out.append(pa.table([rows.column(x) for x in keep] + [pa.array(x, y) for x, y in zip(joined, (pa.int64(),) * 3 + (pa.float64(),) * 2, strict=True)], names=kind.names))
         return pa.concat_tables(out) if out else common.arrow_schema(kind).empty_table()
 
-    return known.select("token", "bundle", "c").groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(judge, kind)
+    answers = known.select("bundle", "token", "c", F.lit(None).cast("long").alias("pair"), F.lit(None).cast("float").alias("log"))
+    if pairs is not None:
+        p = probabilities(common.checkpointed(pairs.groupBy("pair").agg(F.sum("n").alias("n"))), order)
+        own = pairs.select("bundle", "pair").join(p, "pair")
+        answers = answers.union(own.select("bundle", F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), "pair", "log"))
+    return answers.groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(judge, kind)

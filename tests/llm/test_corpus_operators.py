@@ -172,6 +172,14 @@ def test_partial_matching(docs, rows, empty):
     assert ppm.score(empty, learn).count() == 0
 
 
+def test_partial_matching_keeps_rare_contexts(spark):
+    """What is seen once counts in a corpus of any size: 6 MB, where a share of 2e-7 is two occurrences."""
+    rare = "the quokka jumped oddly by vexing zephyrs"
+    own = [(i, "lorem ipsum dolor sit amet " * 40_000) for i in range(6)] + [(6, rare), (7, rare)]
+    found = ppm.score(spark.createDataFrame(own, "doc_id long, text string"), F.col("doc_id") < 7).collect()
+    assert {r.doc_id: r.score for r in found}[7] > -0.35 * len(rare)
+
+
 def test_rules(docs, rows, empty):
     def base(t):
         w = words(t)
