@@ -48,13 +48,14 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
     by = lambda key: {r[0]: r[1] for r in parsed.where(supported).groupBy(key).count().collect()}  # noqa: E731  languages and parsers are few
     versions = by(F.concat_ws("-", "parser_id", "parser_version"))
     coverage = {"files": n.files, "supported_files": n.supported_files, "unsupported_files": n.unsupported_files, "parsed_files": n.supported_files, "languages": by("language"), "parsers": versions}
-    all_diagnostics = extract.diagnostics(parsed)
-    told = [{"code": r.code, "path": r.path, "message": r.message, "detail": json.loads(r.detail)} for r in all_diagnostics.orderBy("path").limit(1000).collect()]  # a report
+    listed = parsed.where(F.size("diagnostics") > 0).select("path", supported.alias("supported"), "diagnostics").orderBy("path")  # in a file as found
+    every = [(r.supported, {"code": x.code, "path": r.path, "message": x.message, "detail": json.loads(x.detail)}) for r in listed.toLocalIterator() for x in r.diagnostics]
+    told = [x for _, x in every]  # all of them are part of the result
     diagnostics = {"total": n.total, "unsupported": n.unsupported, "parse_errors": n.total - n.unsupported, "details": told}
     if not n.supported_files:
         return _reject(store, snapshot_id, "COVERAGE_GATE_FAILED", coverage=coverage, diagnostics=told, diagnostic_counts=diagnostics)
     if diagnostics["parse_errors"]:
-        return _reject(store, snapshot_id, "PARSE_FAILED", coverage=coverage, diagnostics=[x for x in told if x["code"] != "UNSUPPORTED_FILE_SUFFIX"], diagnostic_counts=diagnostics)
+        return _reject(store, snapshot_id, "PARSE_FAILED", coverage=coverage, diagnostics=[x for known, x in every if known], diagnostic_counts=diagnostics)
     parser = parsed.select("path", F.col("parser_id").alias("parser"))
     nodes = graph.saved(extract.nodes(parsed).join(parser, "path"))
     edges = extract.edges(parsed).join(parser, "path").withColumn("edge_id", F.struct("path", "position"))
