@@ -4,8 +4,9 @@ Each measure of a document is sketched in logarithmic buckets: a value x > 0 cou
 ``ceil(log(x) / log(GAMMA))`` and 0 in its own, so a quantile is right to within 1 % of its value.  Sketches are
 added bucket by bucket, so partial sketches merge in any order and a group of any size is a bounded number of
 counts.  From a group's sketch come fences: ``q50 + WIDTH * (q75 - q50)`` above and, for measures with a lower
-side, the mirrored one below (quartiles, as a group may hold many bad documents), each at least so far from the
-median as the measure's own least distance.  A group of fewer than ``MIN_GROUP`` documents takes its language's sketch, and one
+side, the mirrored one below, each at least so far from the median as the measure's own least distance.  Bad documents
+on one side may be more than a quarter of a group, so a side's spread counts as ``SKEW`` times the other side's at most
+(more than half of a group being bad can't be told from a group whose norm that is).  A group of fewer than ``MIN_GROUP`` documents takes its language's sketch, and one
 of these the sketch of all documents.  A document fails when a measure lies beyond its group's fence.
 
 Null text has no words (so it fails the base rules); a null language or source is a group of its own; repeated
@@ -31,6 +32,7 @@ from . import common
 GAMMA = 1.02
 MIN_GROUP = 200
 WIDTH = 6.0
+SKEW = 2.0
 #: measure -> (expression, least distance from the median at which a fence stands, whether there is a lower fence)
 MEASURES: dict[str, tuple[str, float, bool]] = {
     "word_length": ("word_chars / n_words", 2.0, True),
@@ -102,6 +104,11 @@ def fences(merged: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return upto.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *(quantile(q / 100).alias(f"q{q:02}") for q in (5, 25, 50, 75, 95)))
 
 
+def spread(side: Column, other: Column, skew: float = SKEW) -> Column:
+    """A side's distance of quartile and median, as far as the other side bears it out."""
+    return F.least(side, skew * other)
+
+
 def judged(counted: DataFrame, language: str = "lang", source: str = "source", min_group: int = MIN_GROUP, width: float = WIDTH) -> DataFrame:
     """``counted`` with base_failed, and kept: whether neither the base rules nor its group's fences reject it."""
     own = sketches(counted.withColumnsRenamed({language: "__lang", source: "__source"}), ("__lang", "__source"))
@@ -123,9 +130,10 @@ def judged(counted: DataFrame, language: str = "lang", source: str = "source", m
         level = lambda i: F.col(f"__level{i}.{m}")  # noqa: B023, E731
         at = F.when(level(0)["rows"] >= min_group, level(0)).when(level(1)["rows"] >= min_group, level(1)).otherwise(level(2))
         x = F.expr(expression)
-        failed = failed | (x > at["q50"] + F.greatest(width * (at["q75"] - at["q50"]), F.lit(least)))
+        above, below = at["q75"] - at["q50"], at["q50"] - at["q25"]
+        failed = failed | (x > at["q50"] + F.greatest(width * spread(above, below), F.lit(least)))
         if lower:
-            failed = failed | (x < at["q50"] - F.greatest(width * (at["q50"] - at["q25"]), F.lit(least)))
+            failed = failed | (x < at["q50"] - F.greatest(width * spread(below, above), F.lit(least)))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(~failed, F.lit(True))))

@@ -198,6 +198,21 @@ def test_rules(docs, rows, empty):
     assert rules.judged(common.checkpointed(rules.features(empty))).count() == 0
 
 
+def test_rules_reject_two_fifths_of_a_group(spark):
+    """Symbol-heavy, of repeated lines, of repeated words, of long or of short words: each 40 % of a group of its own."""
+    kinds = {"symbols": (100, 500, 60, 0, 5), "lines": (100, 500, 0, 40, 5), "repeats": (100, 500, 0, 0, 45), "long": (100, 1500, 0, 0, 5), "short": (100, 120, 0, 0, 5)}
+    own = [(i, "en", kind, *(bad if i % 5 < 2 else (100, 480 + i % 40, i % 3, i % 2, i % 7))) for kind, bad in kinds.items() for i in range(300)]
+    counted = spark.createDataFrame(own, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    found = rules.judged(common.checkpointed(counted)).collect()
+    assert len(found) == 1500 and {(r.source, r.doc_id) for r in found if not r.kept} == {(kind, i) for kind in kinds for i in range(300) if i % 5 < 2}
+
+
+def test_perplexity_rejects_two_fifths_of_a_language(spark):
+    own = [(i, "en", 40.0 if i % 5 < 2 else 5 + i % 10 / 10) for i in range(300)]
+    found = kneser_ney.judged(common.checkpointed(spark.createDataFrame(own, "doc_id long, lang string, perplexity double"))).collect()
+    assert {r.doc_id for r in found if not r.kept} == {i for i in range(300) if i % 5 < 2}
+
+
 def test_fences_follow_quantiles(spark):
     rng = np.random.default_rng(1)
     values = rng.lognormal(1, 0.5, 3000)
