@@ -3,22 +3,24 @@
 A *bundle* is a run of rows of one input partition, at most ``limit`` bytes of text (a longer text is a
 bundle of its own), kept as one compressed Arrow stream.  Operators that have to look up many keys for each
 document exchange the distinct keys of a bundle, not those of a document, and bring the answers back to the
-bundle.  Bundles are checkpointed, so that their numbers stay the same when an executor is lost.
+bundle (``exchange``).  Bundles are checkpointed or come straight from files, so that their numbers stay the same when
+an executor is lost.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUNDLE_BYTES = 24 << 20
+BUNDLE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,56 +51,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text; null has none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` over the partitions it has been planned with, so that each use computes the same partitions."""
-    session, query = df.sparkSession, df._jdf.queryExecution()
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(query.toRdd(), df._jdf.schema(), False), session)
+def runs(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.Table]]:
+    """The bundles of a partition: (number, rows)."""
+    from pyspark import TaskContext
 
+    number, size = TaskContext.get().partitionId() << 24, 0
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(sizes(batch.column(text)).tolist()):
+            if size and size + n > limit:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield number, pa.Table.from_batches(held)
+                number, held, size, start = number + 1, [], 0, i
+            size += n
+        if len(batch) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+class Bundles:
+    """The bundles of some rows, with the bytes of ``text`` in them.
+
+    They are checkpointed as compressed Arrow streams.  With ``stored`` false they are computed anew at each use, which
+    saves disk; only for rows that come straight from files, whose partitions and order of rows are the same each time.
+    """
 
-def bundles(rows: DataFrame, text: str, limit: int = BUNDLE_BYTES, stored: bool = True, level: int = 1) -> DataFrame:
-    """(bundle long, size long, payload binary): all columns of ``rows`` in compressed runs, with the bytes of text.
+    def __init__(self, rows: DataFrame, text: str, limit: int = BUNDLE_BYTES, stored: bool = True, level: int = 1):
+        self.rows, self.text, self.limit = rows, text, limit
 
-    Bundles are checkpointed; with ``stored`` false they are computed anew at each use, which saves disk, if the rows
-    come straight from files, whose partitions and order of rows don't change.
-    """
+        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, table in runs(batches, text, limit):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as to:
+                    to.write_table(table)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "payload"])
+
+        held = rows.mapInArrow(pack, "bundle long, payload binary")
+        self.held, self.stored = checkpointed(held) if stored else held, stored
+
+    def bytes(self) -> int:
+        """Bytes of all texts."""
+        return self.rows.agg(F.sum(F.octet_length(self.text))).first()[0] or 0
+
+    def map(self, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``f`` makes of each bundle's number and rows."""
+        text, limit, stored = self.text, self.limit, self.stored
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, table in opened(batches) if stored else runs(batches, text, limit):
+                yield from f(number, table)
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 24
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as to:
-                for x in held:
-                    to.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "size", "payload"])
-
-        for batch in batches:
-            lengths = np.array([len(x) for x in texts(batch.column(text))], dtype=np.int64)
-            start = 0
-            for i, n in enumerate(lengths):
-                if size and size + n > limit:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    yield out()
-                    number, held, size, start = number + 1, [], 0, i
-                size += int(n)
-            if len(lengths) > start:
-                held.append(batch.slice(start))
-        if held:
-            yield out()
-
-    made = rows.mapInArrow(pack, "bundle long, size long, payload binary")
-    from_files = "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
-    return pinned(made) if from_files and not stored else checkpointed(made)
+        return (self.held if stored else self.rows).mapInArrow(run, schema)
+
+    def answered(self, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], kind: T.StructType) -> DataFrame:
+        """What ``f`` makes of each bundle's answers and rows."""
+
+        def run(found: pa.Table, bundle: pa.Table) -> pa.Table:
+            out = [f(found, unpack(x.as_buffer())) for x in bundle.column("payload")]
+            return pa.concat_tables(out) if out else arrow_schema(kind).empty_table()
+
+        return answers.groupBy("bundle").cogroup(self.held.groupBy("bundle")).applyInArrow(run, kind)
 
 
 def unpack(payload: bytes) -> pa.Table:
@@ -124,36 +149,27 @@ def spans(texts: list, size: int = 1 << 20) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-_TABLES = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_BASES = (0xD1342543DE82EF95, 0xAEF17502108EF2D9)
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each base its powers 0 to n - 1 and those of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0][0]) < n:
-        _powers.clear()
-        for base in _BASES:
-            both = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                x = np.full(max(n, 1 << 16), b, np.uint64)
-                x[0] = 1
-                both.append(np.multiply.accumulate(x))
-            _powers.append(tuple(both))
-    return _powers
-
-
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128 bits of hash (two columns of 64) of each stretch of bytes; equal stretches have equal hashes wherever they lie."""
-    out = np.empty((len(starts), 2), np.uint64)
-    size = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i, (up, down) in enumerate(powers(len(data) + 1)):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[i][data] * up[: len(data)], out=sums[1:])
-        out[:, i] = mixed((sums[ends] - sums[starts]) * down[starts] + size)
-    return out
-
+    """128 bits of hash (two columns of 64) of each stretch of bytes; equal stretches have equal hashes wherever they lie.
 
+    Up to 15 bytes the hash is a bijection of the bytes and their number, so it is equal for equal bytes only; longer stretches
+    go by the lower 120 bits of XXH3.
+    """
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    size = ends - starts
+    low = at[starts] & _FIRST[np.minimum(size, 8)]
+    high = at[starts + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > 15).tolist():
+        h = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]])
+        low[i], high[i] = h & (1 << 64) - 1, h >> 64 | 0xFF << 56
+    high ^= mixed(low)
+    low ^= mixed(high)
+    return np.stack([mixed(low), mixed(high)], axis=1)
+
+
+#: masks of the first 0 to 8 bytes of a word
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 

@@ -1,104 +1,151 @@
 """Prediction by partial matching over bytes, and the base model of tokens it is held against.
 
-The trie of byte contexts is kept level by level: for each order ``k`` the counts of (context of k bytes, next
-byte).  A byte is coded at the longest context known; if it was never seen there, an escape is coded (method D:
-half a count for each distinct follower) and the next shorter context is tried with the followers of the longer
-one excluded; below order 0 the bytes not excluded are equally likely.  Since every follower of a context also
-follows its suffix, what is excluded at each level is a fixed sum, so a byte's code length depends on its last
-``ORDER`` + 1 bytes alone and is worked out once for each distinct pair.
-
-Pretrained: counts are gathered from all training texts and all stay, sharded by pair (context and byte).  Each bundle
-contributes its distinct pairs; their code lengths are put together from the shards, order by order, by joins on the
-pair's suffix and windows over its context, and go back to the bundles.  Adaptive: the trie starts empty for each text and learns as it goes, on the worker.
+A *pair* is ``ORDER`` bytes of context and the byte after them, packed with the nearest byte of context first, so that
+the contexts of a trie node are a run of sorted pairs.  A byte is coded at the longest context known; if it was never
+seen there, an escape is coded (method D: half a count for each distinct follower) and the next shorter context is
+tried with the followers of the longer one excluded; below order 0 the bytes not excluded are equally likely.  With
+update exclusion, a byte counts in a shorter context once for each longer one it follows.  Since every follower of a context also follows its suffix, what is excluded at each level is a fixed sum, so a byte's code
+length depends on its pair alone and is worked out once for each distinct pair.
+
+Pretrained: counts are gathered from all training texts and all stay.  The trie is sharded by the last ``BASE`` + 1 bytes
+of context; each bundle asks the shards about its distinct pairs and tokens and tells them how often its training texts
+have these (``exchange``).  Only the counts of the ``BASE`` + 1 last bytes, 256 ** (BASE + 1) at most, are of all shards
+and broadcast.  Adaptive: the trie starts empty for each text and learns as it goes, on the worker.
 
 Null text is empty: one end symbol.  Repeated rows are scored each by itself, ids play no part in scores; an
-empty table gives an empty one; without training texts every byte is equally likely.  ``keep`` columns pass
-through; the operator's own columns replace any of the same name.
+empty table gives an empty one; without training texts every byte is equally likely; a text of any length is read whole,
+in overlapping stretches.  ``keep`` columns pass through; the operator's own columns replace any of the same name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, exchange
 
-ORDER = 5
+ORDER = 6
+BASE = 2
 END = 0xFF  # never a byte of UTF-8: before and after each text
 SYMBOLS = 256
-BUNDLE = 16 << 20  # bytes of text whose words are looked up together
-
-
-def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text and its end: the byte with the ``order`` bytes before it, packed in a word; and the texts' borders."""
-    pad = bytes([END]) * order
-    data = np.frombuffer(pad + b"".join(x + bytes([END]) + pad for x in texts), np.uint8).astype(np.uint64)
-    n = len(data) - order
+STRETCH = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(texts: list[bytes], order: int = ORDER, size: int = STRETCH) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of some ``size`` bytes of (owners, stretches): each text and its end, cut where it is long; a stretch has ``order`` bytes of context first."""
+    pad, owners, held, n = bytes([END]) * order, [], [], 0
+    for i, x in enumerate(texts):
+        whole = pad + x + bytes([END])
+        for a in range(0, len(x) + 1, size):
+            held.append(whole[a : a + size + order])
+            owners.append(i)
+            n += len(held[-1])
+            if n >= size:
+                yield np.array(owners), held
+                owners, held, n = [], [], 0
+    if held:
+        yield np.array(owners), held
+
+
+def pairs(held: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of some stretches, and how many each has."""
+    data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64)
+    n, size = len(data) - order, np.array([len(x) - order for x in held])
     key = data[order:].copy()
+    for j in range(1, order + 1):
+        key |= data[order - j : order - j + n] << np.uint64(8 * (order + 1 - j))
+    inside = np.ones(n, bool)
+    upto = np.cumsum(size + order)[:-1] - order
     for j in range(order):
-        key |= data[j : j + n] << np.uint64(8 * (order - j))
-    size = np.array([len(x) + 1 for x in texts], dtype=np.int64)
-    begin = np.cumsum(size + order) - size - order
-    inside = np.zeros(n + 1, np.int8)
-    np.add.at(inside, begin, 1)
-    np.add.at(inside, begin + size, -1)
-    return key[np.cumsum(inside[:n], dtype=np.int8).astype(bool)], np.concatenate([[0], np.cumsum(size)])
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key in a sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-def suffix(size: int) -> Column:
-    """The last ``size`` bytes of a packed pair."""
-    return F.col("pair").bitwiseAND(F.lit((1 << 8 * size) - 1))
-
-
-def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(pair, log): log10 of the probability of each packed byte after its context, of all pairs of ``counts`` (pair, n: how often
-    the training texts have it, which may be never).
-
-    From order 0 up; ``escaped`` is the value at the orders below when this one was left by an escape, whose followers are then
-    excluded.
-    """
-    level = {order: counts}
-    for k in range(order - 1, -1, -1):
-        level[k] = common.checkpointed(level[k + 1].groupBy(suffix(k + 1).alias("pair")).agg(F.sum("n").alias("n")))
-
-    def escape(n: Column, kinds: Column) -> Column:
-        return F.when(kinds / 2 < n, F.log10(F.greatest(kinds / 2, F.lit(0.5)) / F.greatest(n, F.lit(1)))).otherwise(0.0)
-
-    own: DataFrame | None = None
-    for k in range(order + 1):
-        w = Window.partitionBy("context")  # a context has a row for each byte at most
-        if own is None:
-            made = level[0].withColumns({"context": F.shiftright("pair", 8), "below_n": F.lit(0).cast("long")})
+        inside[upto + j] = False
+    return key[inside], size
+
+
+def counted(texts: list[bytes], learned: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of some texts, ascending, and how often those to learn from have them."""
+    keys, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for use in (True, False):
+        for _, held in stretches([x for x, y in zip(texts, learned.tolist(), strict=True) if y == use], order, 4 * STRETCH):
+            own = np.sort(pairs(held, order)[0])
+            first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+            keys.append(own[first])
+            n.append(np.diff(np.append(first, len(own))) * use)
+    return summed(np.concatenate(keys), np.concatenate(n))[:2]
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sum of their n, number of each row's key)."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    new = np.diff(own, prepend=~own[:1]) != 0
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return own[first], np.add.reduceat(n[order], first) if len(first) else n[:0], number
+
+
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """Pairs without their farthest byte of context."""
+    return keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(0xFF)
+
+
+class Level:
+    """The pairs of one order, ascending, with their counts, those of their contexts, and what an escape from there comes to."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, below: Level | None = None, link: np.ndarray | None = None):
+        """``link``: the place of each pair's suffix in ``below``."""
+        self.keys, self.n = keys, n
+        context = keys >> np.uint64(8)
+        first = np.flatnonzero(np.diff(context, prepend=~context[:1]))
+        size, seen = np.diff(np.append(first, len(keys))), n > 0
+        over = lambda x: np.repeat(np.add.reduceat(x, first), size) if len(first) else x
+        self.total, self.kinds = over(n), over(seen.astype(np.int64))
+        if below is None:
+            escaped, unknown = -np.log10(np.maximum(SYMBOLS - self.kinds, 1)), np.full(len(keys), -math.log10(SYMBOLS))
         else:
-            below = own.select(F.col("pair").alias("suffix"), *(F.col(c).alias(f"below_{c}") for c in ("n", "total", "kinds", "escaped", "log")))
-            made = level[k].withColumns({"context": F.shiftright("pair", 8), "suffix": suffix(k)}).join(below, "suffix")
-        seen = F.col("n") > 0
-        made = made.withColumns({"total": F.sum("n").over(w), "kinds": F.count_if(seen).over(w), "excluded": F.coalesce(F.sum(F.when(seen, F.col("below_n"))).over(w), F.lit(0))})
-        if own is None:
-            escaped, unknown = -F.log10(F.greatest(SYMBOLS - F.col("kinds"), F.lit(1))), F.lit(-math.log10(SYMBOLS))
-        else:
-            n, kinds = F.col("below_total") - F.col("excluded"), F.col("below_kinds") - F.col("kinds")
-            escaped = F.when(F.col("below_n") > 0, F.log10((F.col("below_n") - 0.5) / F.greatest(n, F.lit(1)))).otherwise(escape(n, kinds) + F.col("below_escaped"))
-            unknown = F.col("below_log")
-        made = made.withColumn("escaped", F.when(~seen, escaped))
-        log = F.when(F.col("total") == 0, unknown).when(seen, F.log10((F.col("n") - 0.5) / F.greatest("total", F.lit(1)))).otherwise(escape(F.col("total"), F.col("kinds")) + F.col("escaped"))
-        own = made.select("pair", "n", "total", "kinds", "escaped", log.alias("log"))
-    return own.select("pair", F.col("log").cast("float").alias("log"))
+            n_below, unknown = below.n[link], below.log[link]
+            left = below.total[link] - over(np.where(seen, n_below, 0))
+            escaped = np.where(n_below > 0, np.log10(np.maximum(n_below - 0.5, 0.5) / np.maximum(left, 1)), escape(left, below.kinds[link] - self.kinds) + below.escaped[link])
+        self.escaped = np.where(seen, 0, escaped)
+        at_hand = np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(self.total, 1))
+        self.log = np.where(self.total == 0, unknown, np.where(seen, at_hand, escape(self.total, self.kinds) + self.escaped))
+
+
+def escape(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log10 of the probability of an escape."""
+    return np.where(kinds < 2 * total, np.log10(np.maximum(kinds / 2, 0.5) / np.maximum(total, 1)), 0.0)
+
+
+def base_level(keys: np.ndarray, n: np.ndarray, base: int = BASE) -> Level:
+    """The level of order ``base`` from its counts."""
+    levels = [(keys, n, None)]
+    for _ in range(base):
+        levels.append(summed(shorter(levels[-1][0]), (levels[-1][1] > 0).astype(np.int64)))
+    own = link = None
+    for keys, n, number in reversed(levels):
+        own, link = Level(keys, n, own, link), number
+    return own
+
+
+def probabilities(keys: np.ndarray, n: np.ndarray, bottom: Level, order: int = ORDER, base: int = BASE) -> np.ndarray:
+    """log10 of the probability of each pair's byte after its context, of all pairs of some shards (keys ascending, n: training counts)."""
+    levels = [(keys, n, None)]
+    for _ in range(order - base - 1):
+        levels.append(summed(shorter(levels[-1][0]), (levels[-1][1] > 0).astype(np.int64)))
+    own, link = bottom, np.searchsorted(bottom.keys, shorter(levels[-1][0]))
+    for keys, n, number in reversed(levels):
+        own, link = Level(keys, n, own, link), number
+    return own.log
 
 
 def adaptive(text: bytes, order: int = ORDER) -> float:
@@ -119,108 +166,152 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
             excluded |= seen.keys()
         else:
             total -= math.log10(SYMBOLS - len(excluded))
-        for k in range(order + 1):
+        for k in range(order, -1, -1):
             own = followers.setdefault(history[order - k :], {})
             own[symbol] = own.get(symbol, 0) + 1
+            if own[symbol] > 1:
+                break
         history = (history + bytes([symbol]))[1:] if order else b""
     return total
 
 
-def occurring(held: DataFrame, learn: str, order: int = ORDER) -> DataFrame:
-    """(bundle, pair, n): the distinct packed pairs of each bundle (of __text and the boolean ``learn``), and how often the texts to
-    learn from have them."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in common.opened(batches):
-            own, learned = [x.lower() for x in common.texts(rows.column("__text"))], rows.column(learn).to_numpy(zero_copy_only=False)
-            keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-            for some in common.spans(own):
-                pairs, borders = windows(own[some], order)
-                new, kind = np.unique(pairs, return_inverse=True)
-                m = np.bincount(kind, weights=np.repeat(learned[some], np.diff(borders)), minlength=len(new))
-                keys, kind = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                n = np.bincount(kind, weights=np.concatenate([n, m]), minlength=len(keys)).astype(np.int64)
-            for i in range(0, len(keys), 200_000):
-                part = keys[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(part.view(np.int64)), pa.array(n[i : i + 200_000])], ["bundle", "pair", "n"])
-
-    return held.mapInArrow(count, "bundle long, pair long, n long")
-
-
-def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mode: str = "pretrained", order: int = ORDER) -> DataFrame:
+def pieces(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
+    """The text, cut at blanks into pieces of some ``size``; a longer word is a piece of its own."""
+    a = 0
+    while len(text) - a > size:
+        b = next((m.start() for m in BLANK.finditer(text, a + size)), len(text))
+        yield text[a:b]
+        a = b
+    yield text[a:]
+
+
+class Asked:
+    """What a bundle asks: of shards from 0 on about its pairs, of those from -1 down about its tokens."""
+
+    def __init__(self, texts: list[bytes], learned: np.ndarray, shards: int, order: int, pairs: bool = True, tokens: bool = True):
+        self.texts, self.order = texts, order
+        count: Counter[bytes] = Counter()
+        for x, use in zip(texts, learned.tolist(), strict=True) if tokens else ():
+            for part in pieces(x):
+                count.update(part.split()) if use else count.update(dict.fromkeys(part.split(), 0))
+        by: dict[int, list[bytes]] = {}
+        for word in sorted(count):
+            by.setdefault(-1 - xxhash.xxh3_64_intdigest(word) % shards, []).append(word)
+        self.tokens, self.count = by, count
+        self.keys = np.empty(0, np.uint64)
+        if pairs:
+            self.keys, self.n = counted(texts, learned, order)
+            self.place, self.asked, self.borders = exchange.placed(self.keys >> np.uint64(8 * (order - BASE)), shards)
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        for shard, words in self.tokens.items():
+            yield shard, exchange.dump(np.frombuffer(b" ".join(words), np.uint8), np.array([self.count[w] for w in words], "<u4"))
+        if len(self.keys):
+            for shard, a, b in zip(self.asked.tolist(), self.borders[:-1], self.borders[1:], strict=True):
+                some = self.place[a:b]
+                yield shard, exchange.dump(self.keys[some], self.n[some].astype("<u4"))
+
+    def counts(self, told: dict[int, bytes]) -> dict[bytes, int]:
+        """How often the training texts have each token."""
+        return {w: n for shard, words in self.tokens.items() for w, n in zip(words, exchange.load(told[shard])[0].tolist(), strict=True)}
+
+    def logs(self, told: dict[int, bytes]) -> np.ndarray:
+        """log10 of the probability of each text and its end, of its pairs' answers."""
+        log, out = np.empty(len(self.keys)), np.zeros(len(self.texts))
+        for shard, a, b in zip(self.asked.tolist(), self.borders[:-1], self.borders[1:], strict=True):
+            log[self.place[a:b]] = exchange.load(told[shard])[0]
+        for owners, held in stretches(self.texts, self.order):
+            own, size = pairs(held, self.order)
+            upto = np.concatenate([[0], np.cumsum(log[np.searchsorted(self.keys, own)])])
+            np.add.at(out, owners, np.diff(upto[np.concatenate([[0], np.cumsum(size)])]))
+        return out
+
+
+def together(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of a shard's questions about pairs: the distinct pairs, their counts, the number of each one asked about, and how many each question has."""
+    asked = [exchange.load(x) for x in data]
+    keys, n, number = summed(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]).astype(np.int64))
+    return keys, n, number, [len(x[0]) for x in asked]
+
+
+def split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1])
+
+
+def shared(data: list[bytes]) -> tuple[list[list[bytes]], Counter[bytes]]:
+    """Of a shard's questions about tokens: each one's tokens, and how often all training texts have them."""
+    each, count = [], Counter()
+    for x in data:
+        joined, n = exchange.load(x)
+        each.append(joined.tobytes().split(b" "))
+        for word, m in zip(each[-1], n.tolist(), strict=True):
+            count[word] += m
+    return each, count
+
+
+def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mode: str = "pretrained", order: int = ORDER, stored: bool = True) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every whole text (A-Z in lower case),
-    learning from the rows that ``learn`` selects."""
+    learning from the rows that ``learn`` selects.  ``stored``: see ``common.Bundles``."""
     new = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     keep = tuple(c for c in keep if c not in new)
     rows = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
-    held = common.bundles(rows, "__text", BUNDLE)
-    pairs = occurring(held, "__learn", order) if mode == "pretrained" else None
-
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in common.opened(batches):
-            own, learned = [x.lower() for x in common.texts(rows.column("__text"))], rows.column("__learn").to_numpy(zero_copy_only=False)
-            h, n, words = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)], [pa.array([], pa.binary())]
-            for some in common.spans(own):
-                w = common.Words(own[some])
-                first, kind = common.distinct(w.h)
-                h.append(w.h[first])
-                n.append(np.bincount(kind, weights=np.repeat(learned[some], w.counts), minlength=len(first)).astype(np.int64))
-                words.append(w.take(first))
-            first, kind = common.distinct(np.concatenate(h))
-            count = np.bincount(kind, weights=np.concatenate(n), minlength=len(first)).astype(np.int64)
-            every = pa.concat_arrays(words)
-            for i in range(0, len(first), 100_000):
-                part = first[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([every.take(pa.array(part)), pa.array(np.full(len(part), number)), pa.array(count[i : i + len(part)])], ["token", "bundle", "n"])
-
-    found = held.mapInArrow(tokens, "token binary, bundle long, n long")
-    c = F.sum("n").over(Window.partitionBy("token"))  # a token has one row for each bundle at most
-    known = found.withColumn("c", c).where("c > 0")
-    totals = found.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0").agg(F.sum("n"), F.count("*")).first()
+    bundles, pretrained, spark = common.Bundles(rows, "__text", stored=stored), mode == "pretrained", docs.sparkSession
+    n_shards = exchange.shards(bundles.bytes())
+
+    def asked(table: pa.Table) -> Asked:
+        own = [x.lower() for x in common.texts(table.column("__text"))]
+        return Asked(own, table.column("__learn").to_numpy(zero_copy_only=False), n_shards, order, pairs=pretrained)
+
+    questions = exchange.dealt(bundles.map(lambda number, table: exchange.rows(number, asked(table).questions()), exchange.SCHEMA))
+
+    def summary(shard: int, _: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """(-1, n) the tokens of a shard, (-2, n) the distinct ones, and the counts of its pairs of order BASE."""
+        if shard < 0:
+            count = shared(data)[1].values()
+            key, n = np.array([-1, -2]), np.array([sum(count), sum(c > 0 for c in count)])
+        else:
+            own, n, *_ = together(data)
+            for _ in range(order - BASE):
+                own, n, _ = summed(shorter(own), (n > 0).astype(np.int64))
+            key = own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    found = exchange.each(questions, summary, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")  # 256 ** (BASE + 1) rows at most
+    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
     ends = rows.where("__learn").count()
-    n_all, n_kinds = (totals[0] or 0) + ends, totals[1] + (ends > 0)
+    n_all, n_kinds = int(n[key == -1].sum()) + ends, int(n[key == -2].sum()) + (ends > 0)
+    bottom = spark.sparkContext.broadcast(base_level(key[key >= 0].astype(np.uint64), n[key >= 0]))
+
+    def answer(shard: int, numbers: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if shard < 0:
+            each, count = shared(data)
+            values = [np.array([count[w] for w in words], "<i8") for words in each]
+        else:
+            keys, n, number, sizes = together(data)
+            values = split(probabilities(keys, n, bottom.value, order)[number].astype("<f4"), sizes)
+        for i in range(0, len(numbers), 64):
+            yield exchange.batch([(shard, b, exchange.dump(x)) for b, x in zip(numbers[i : i + 64], values[i : i + 64], strict=True)])
+
     kind = T.StructType([f for f in rows.schema.fields if not f.name.startswith("__")] + [T.StructField(k, v) for k, v in new.items()])
     below = math.log10(n_all + 0.5 * (n_kinds + 1))
 
-    def trie(texts: list[bytes], pair: np.ndarray, log: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text and its end, of the pairs' values."""
-        keys, borders = windows(texts, order)
-        return np.diff(np.concatenate([[0], np.cumsum(log[np.searchsorted(pair, keys)])])[borders])
-
-    def judge(table: pa.Table, bundle: pa.Table) -> pa.Table:
-        grams = table.filter(pc.is_valid(table.column("pair"))).select(["pair", "log"])
-        table = table.filter(pc.is_valid(table.column("token")))
-        pair, log = grams.column("pair").to_numpy().view(np.uint64), grams.column("log").to_numpy()
-        at = np.argsort(pair)
-        pair, log = pair[at], log[at].astype(np.float64)
-        h = [np.empty((0, 2), np.uint64)]
-        for chunk in table.column("token").chunks:
-            stops = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
-            data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
-            for i in range(0, len(chunk), 50_000):
-                own = stops[i : i + 50_001]
-                h.append(common.hashed(data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]))
-        h, count = np.concatenate(h), np.asarray(table.column("c"), np.float64)
-        at = np.lexsort((h[:, 1], h[:, 0]))
-        h, count, out = h[at], count[at], []
-        for payload in bundle.column("payload"):
-            rows = common.unpack(payload.as_buffer())
-            own, columns = [x.lower() for x in common.texts(rows.column("__text"))], []
-            for some in common.spans(own):
-                w = common.Words(own[some])
-                at, hit = find(h[:, 0], w.h[:, 0])
-                c = np.where(hit & (h[at, 1] == w.h[:, 1]), count[at], 0) if len(h) else np.zeros(len(w))
-                logs = np.concatenate([[0], np.cumsum(np.log10(c + 0.5) - below)])[w.offsets]
-                seen = np.concatenate([[0], np.cumsum(c > 0)])[w.offsets]
-                model = trie(own[some], pair, log) if mode == "pretrained" else np.array([adaptive(x) for x in own[some]])
-                columns.append((w.counts + 1, np.diff(seen) + (ends > 0), np.full(len(w.counts), n_all), np.diff(logs) + math.log10(ends + 0.5) - below, model))
-            joined = [np.concatenate(x) for x in zip(*columns, strict=True)]
-            out.append(pa.table([rows.column(x) for x in keep] + [pa.array(x, y) for x, y in zip(joined, (pa.int64(),) * 3 + (pa.float64(),) * 2, strict=True)], names=kind.names))
-        return pa.concat_tables(out) if out else common.arrow_schema(kind).empty_table()
-
-    answers = known.select("bundle", "token", "c", F.lit(None).cast("long").alias("pair"), F.lit(None).cast("float").alias("log"))
-    if pairs is not None:
-        p = probabilities(common.checkpointed(pairs.groupBy("pair").agg(F.sum("n").alias("n"))), order)
-        own = pairs.select("bundle", "pair").join(p, "pair")
-        answers = answers.union(own.select("bundle", F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), "pair", "log"))
-    return answers.groupBy("bundle").cogroup(held.select("bundle", "payload").groupBy("bundle")).applyInArrow(judge, kind)
+    def judge(found: pa.Table, table: pa.Table) -> pa.Table:
+        told, own = exchange.told(found), asked(table)
+        count = own.counts(told)
+        log = {w: math.log10(c + 0.5) - below for w, c in count.items()}
+        n_tokens, n_known, base = [], [], []
+        for x in own.texts:
+            sums = [0, 0, 0.0]
+            for part in pieces(x):
+                words = part.split()
+                sums[0] += len(words)
+                sums[1] += sum(map(bool, map(count.__getitem__, words)))
+                sums[2] += math.fsum(map(log.__getitem__, words))
+            n_tokens.append(sums[0] + 1)
+            n_known.append(sums[1] + (ends > 0))
+            base.append(sums[2] + math.log10(ends + 0.5) - below)
+        model = own.logs(told) if pretrained else [adaptive(x, order) for x in own.texts]
+        values = zip((n_tokens, n_known, [n_all] * len(base), base, model), kind.fields[len(keep) :], strict=True)
+        return pa.table([*(table.column(c) for c in keep), *(pa.array(x, pa.int64() if f.dataType == T.LongType() else pa.float64()) for x, f in values)], names=kind.names)
+
+    return bundles.answered(exchange.each(questions, answer), judge, kind)

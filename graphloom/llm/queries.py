@@ -27,7 +27,7 @@ def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", common.is_remainder("doc_id", 5, 1))
-    return ppm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return ppm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"), stored=False)
 
 
 def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    scored = kneser_ney.perplexities(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), keep=("doc_id", "lang"))
+    scored = kneser_ney.perplexities(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), keep=("doc_id", "lang"), stored=False)
     return kneser_ney.judged(common.checkpointed(scored)).select("doc_id", "is_trusted", "n_bytes", "perplexity", "threshold", "kept")
 
 

@@ -160,8 +160,10 @@ def test_partial_matching(docs, rows, empty):
     for t in train:
         x = padded(t)
         for i in range(ppm.ORDER, len(x)):
-            for k in range(ppm.ORDER + 1):
+            for k in range(ppm.ORDER, -1, -1):
                 followers[k][x[i - k : i]][x[i]] += 1
+                if followers[k][x[i - k : i]][x[i]] > 1:  # update exclusion
+                    break
     texts = {i: t for i, t, *_ in rows}
     for r in found:
         if r.doc_id in (0, 1, 6, 100, 103, 106):
