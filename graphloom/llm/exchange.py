@@ -14,11 +14,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
 
 SHARD_BYTES = 8 << 20
 SCHEMA = "shard int, bundle long, data binary"
+KIND = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("bundle", T.LongType()), T.StructField("data", T.BinaryType())])
+ARROW = pa.schema([("shard", pa.int32()), ("bundle", pa.int64()), ("data", pa.binary())])
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -26,7 +29,7 @@ def dump(*arrays: np.ndarray) -> bytes:
     parts = []
     for x in arrays:
         x = np.diff(x, prepend=x.dtype.type(0)) if x.dtype == np.uint64 else x
-        parts += [f"{x.dtype.str}{len(x)} ".encode(), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()]
+        parts += [f"{x.dtype.str}{len(x)} ".encode(), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -76,9 +79,10 @@ def batch(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(bundle, pa.int64()), pa.array(data, pa.binary())], ["shard", "bundle", "data"])
 
 
-def dealt(asked: DataFrame) -> DataFrame:
-    """Questions dealt by shard, each shard's one after the other."""
-    return common.checkpointed(asked.repartition("shard").sortWithinPartitions("shard", "bundle"))
+def dealt(asked: DataFrame, stored: bool = True) -> DataFrame:
+    """Questions dealt by shard, each shard's one after the other; checkpointed (``stored``) if they are to be answered more than once."""
+    out = asked.repartition("shard").sortWithinPartitions("shard", "bundle")
+    return common.checkpointed(out) if stored else out
 
 
 def each(questions: DataFrame, f: Callable[[int, list[int], list[bytes]], Iterator[pa.RecordBatch]], schema: str = SCHEMA) -> DataFrame:

@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,8 +195,8 @@ class Asked:
             for part in pieces(x):
                 count.update(part.split()) if use else count.update(dict.fromkeys(part.split(), 0))
         by: dict[int, list[bytes]] = {}
-        for word in sorted(count):
-            by.setdefault(-1 - xxhash.xxh3_64_intdigest(word) % shards, []).append(word)
+        for word in count:
+            by.setdefault(-1 - zlib.crc32(word) % shards, []).append(word)
         self.tokens, self.count = by, count
         self.keys = np.empty(0, np.uint64)
         if pairs:
@@ -220,9 +220,10 @@ class Asked:
         log, out = np.empty(len(self.keys)), np.zeros(len(self.texts))
         for shard, a, b in zip(self.asked.tolist(), self.borders[:-1], self.borders[1:], strict=True):
             log[self.place[a:b]] = exchange.load(told[shard])[0]
+        places = common.Places(self.keys)
         for owners, held in stretches(self.texts, self.order):
             own, size = pairs(held, self.order)
-            upto = np.concatenate([[0], np.cumsum(log[np.searchsorted(self.keys, own)])])
+            upto = np.concatenate([[0], np.cumsum(log[places.of(own)])])
             np.add.at(out, owners, np.diff(upto[np.concatenate([[0], np.cumsum(size)])]))
         return out
 
@@ -297,16 +298,16 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
 
     def judge(found: pa.Table, table: pa.Table) -> pa.Table:
         told, own = exchange.told(found), asked(table)
-        count = own.counts(told)
-        log = {w: math.log10(c + 0.5) - below for w, c in count.items()}
+        log = {w: math.log10(c + 0.5) - below for w, c in own.counts(told).items()}
+        unknown = math.log10(0.5) - below
         n_tokens, n_known, base = [], [], []
         for x in own.texts:
             sums = [0, 0, 0.0]
             for part in pieces(x):
-                words = part.split()
-                sums[0] += len(words)
-                sums[1] += sum(map(bool, map(count.__getitem__, words)))
-                sums[2] += math.fsum(map(log.__getitem__, words))
+                values = [log[w] for w in part.split()]
+                sums[0] += len(values)
+                sums[1] += len(values) - values.count(unknown)
+                sums[2] += math.fsum(values)
             n_tokens.append(sums[0] + 1)
             n_known.append(sums[1] + (ends > 0))
             base.append(sums[2] + math.log10(ends + 0.5) - below)

@@ -42,10 +42,10 @@ REACH = 3.0
 NONE = -(1 << 20)  # the bucket of 0
 #: measure -> (expression, words that one event counts for, scale, whether there is a lower fence)
 MEASURES: dict[str, tuple[str, int, str, bool]] = {
-    "word_length": ("word_chars / n_words", 1, "log", True),
-    "symbol_share": ("n_symbols / n_words", 1, "sqrt", False),
-    "dup_line_share": ("n_dup_lines / n_words", 1, "sqrt", False),
-    "repeat_share": ("n_repeat_words / n_words", 6, "sqrt", False),
+    "word_length": ("try_divide(word_chars, n_words)", 1, "log", True),
+    "symbol_share": ("try_divide(n_symbols, n_words)", 1, "sqrt", False),
+    "dup_line_share": ("try_divide(n_dup_lines, n_words)", 1, "sqrt", False),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", 6, "sqrt", False),
 }
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
