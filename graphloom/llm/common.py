@@ -222,6 +222,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Places:
+    """Where keys are in an ascending array that holds all of them: by tables of hashes, each for what lost its slot in the
+    one before, and by bisection what is left."""
+
+    def __init__(self, keys: np.ndarray, tables: int = 3):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
+        for seed in range(tables):
+            shift = np.uint64(64 - max(10, (4 * len(left)).bit_length()))
+            table = np.zeros(1 << 64 - int(shift), np.int32)
+            slot = mixed(keys[left] ^ np.uint64(seed)) >> shift
+            table[slot] = left
+            self.tables.append((np.uint64(seed), shift, table))
+            left = left[table[slot] != left]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.empty(0, np.int32)
+        (_, shift, table), *others = self.tables
+        at = table[mixed(keys) >> shift]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        for seed, shift, table in others:
+            own = keys[miss]
+            at[miss] = found = table[mixed(own ^ seed) >> shift]
+            miss = miss[self.keys[found] != own]
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return at
+
+
 def rolled(h: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` entries of ``h`` a 64-bit hash of their sequence."""
     n = len(h) - width + 1

@@ -1,19 +1,21 @@
-"""Language identification with a bit-sliced Bloom filter over letter n-grams.
+"""Language identification with bit-sliced Bloom filters over letter n-grams.
 
-A slot of the filter is a bitmask with one bit for each learned language.  The AND of the slots of an n-gram
+A slot of a filter is a bitmask with one bit for each learned language.  The AND of the slots of an n-gram
 is the set of all languages that (may) contain it.  For each language the hits of a text are its popcount
 over the text's n-grams; a share ``f`` of false positives, known from how full the language's slice is, is
-taken out: ``(hits - n * f) / (1 - f)``.  The language with the largest corrected count is the answer.
+taken out of each: ``(hit - f) / (1 - f)``.  The language with the largest corrected count is the answer.
 
-An n-gram enters a language's slice when it makes up at least ``min_share`` of the language's n-grams, counted
-over all its training text; so a slice has 1 / min_share members at most, whatever the corpus holds, and the
-filter that is broadcast has a fixed size.  Scripts of many letters (Han, kana, Hangul), whose longer n-grams are
-nearly all rare, go by n-grams shorter by ``SHORTER``.  Scores fall as a language's rare n-grams outgrow its slice, so
-they are to be held against those of the language's own documents, not against a fixed number.
+Every n-gram of the training texts counts, however rare.  It enters a language's slice when its share of the language's
+n-grams is at least ``LEAST`` of its share in the language where that is largest, so what a large corpus holds of foreign
+words doesn't fill the slices.  The filter is sharded: each bundle asks the shards about its distinct n-grams and tells
+them how often its training texts of each language have these; a shard sizes its filter by its own members and answers
+with the bitmasks (``exchange``).  Scripts of many letters (Han, kana, Hangul), whose longer n-grams are nearly all rare,
+go by n-grams shorter by ``SHORTER``.
 
 Null, empty and letterless texts are ``und`` with score 0.  Ties go to the language first in sort order.  With
 no language learned (empty table, no labels) every text is ``und``.  Repeated rows are judged each by itself;
-a text is read whole, however long.  ``keep`` columns pass through; new columns replace any of the same name.
+a text is read whole, however long, in pieces cut where a letter ends.  ``keep`` columns pass through; new columns replace
+any of the same name.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, exchange, ppm
 
 ORDERS = (3, 4)
 SHORTER = 2
-MIN_SHARE = 2e-5
-SLOT_BITS = 20
+LEAST = 0.1
+PER_MEMBER = 16  # slots
 HASHES = 3
 UNDETERMINED = "und"
 SPAN = 1 << 20  # characters looked at together
@@ -81,7 +83,29 @@ def gram_keys(texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.nd
     return np.concatenate(keys) if keys else np.empty(0, np.uint64), np.concatenate(owners) if owners else np.empty(0, np.int64)
 
 
-def places(keys: np.ndarray, slot_bits: int = SLOT_BITS, hashes: int = HASHES) -> list[np.ndarray]:
+def spans(texts: list[str], size: int = SPAN) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Runs of some ``size`` characters of (owners, pieces): long texts are cut before a character that is no letter."""
+    owners, held, n = [], [], 0
+    for i, x in enumerate(texts):
+        a = 0
+        while True:
+            b = min(len(x), a + size)
+            while b < len(x) and x[b].isalpha():
+                b += 1
+            owners.append(i)
+            held.append(x[a:b])
+            n += b - a
+            if n >= size:
+                yield np.array(owners), held
+                owners, held, n = [], [], 0
+            a = b
+            if a >= len(x):
+                break
+    if held:
+        yield np.array(owners), held
+
+
+def places(keys: np.ndarray, slot_bits: int, hashes: int = HASHES) -> list[np.ndarray]:
     """The slots of n-grams, by double hashing."""
     a, b = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32) | np.uint64(1)
     return [(a + np.uint64(i) * b & np.uint64((1 << slot_bits) - 1)).astype(np.int64) for i in range(hashes)]
@@ -96,8 +120,9 @@ class BitSliced:
     false_share: np.ndarray  # of each language
 
     @classmethod
-    def of(cls, members: dict[str, np.ndarray], slot_bits: int = SLOT_BITS, hashes: int = HASHES) -> BitSliced:
-        """From the keys of each language's n-grams."""
+    def of(cls, members: dict[str, np.ndarray], hashes: int = HASHES) -> BitSliced:
+        """From the keys of each language's n-grams, with ``PER_MEMBER`` slots for each of the largest language."""
+        slot_bits = (max([64, *map(len, members.values())]) * PER_MEMBER - 1).bit_length()
         languages = sorted(members)
         slots = np.zeros((1 << slot_bits, max(1, (len(languages) + 63) // 64)), np.uint64)
         false = np.zeros(len(languages))
@@ -115,60 +140,114 @@ class BitSliced:
             out = self.slots[at] if out is None else out & self.slots[at]
         return out
 
-    def hits(self, texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its n-grams, and how many of them each language may contain."""
-        keys, owner = gram_keys(texts, orders)
-        masks = self.languages_of(keys)
-        n = np.bincount(owner, minlength=len(texts))
-        each = [np.bincount(owner[(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts)) for i in range(len(self.languages))]
-        return n, np.array(each).reshape(len(self.languages), len(texts)).T
 
-    def corrected(self, n: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Hits without the expected false ones, as a share of the n-grams."""
-        return np.clip((hits - n[:, None] * self.false_share) / (1 - self.false_share) / np.maximum(n, 1)[:, None], 0, 1)
-
-
-def train(docs: DataFrame, language: str = "lang", text: str = "text", learn: Column | None = None, min_share: float = MIN_SHARE, orders: tuple[int, ...] = ORDERS) -> BitSliced:
-    """The filter learned from all rows that ``learn`` selects and whose language is not null."""
-    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if learn is None else learn))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in sorted(set(names)):
-                own = [x for x, y in zip(all_texts, names, strict=True) if y == name]
-                for some in common.spans(own, SPAN):
-                    keys, n = np.unique(gram_keys(own[some], orders)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["language", "gram", "n"])
-
-    counted = rows.select(language, text).mapInArrow(count, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    shares = counted.groupBy("language").agg(F.sum("n").alias("total"))
-    members = counted.join(shares, "language").where(F.col("n") >= min_share * F.col("total")).select("language", "gram")
-    found = members.toPandas()  # 1 / min_share rows a language at most
-    return BitSliced.of({x: np.sort(own.to_numpy()) for x, own in found.groupby("language")["gram"]})
-
-
-def predict(docs: DataFrame, model: BitSliced, text: str = "text", keep: tuple[str, ...] = ("doc_id",), orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def numbers(masks: np.ndarray, languages: int) -> np.ndarray:
+    """Bitmasks as the smallest numbers that hold them, row by row."""
+    return masks.astype(f"<u{next(b for b in (1, 2, 4, 8) if 8 * b >= languages)}")[:, 0] if languages <= 64 else masks.reshape(-1)
+
+
+class Asked:
+    """The distinct n-grams of a bundle, ascending, and what it asks of each shard."""
+
+    def __init__(self, texts: list[str], language: np.ndarray, languages: int, shards: int, orders: tuple[int, ...]):
+        """``language``: the number of each text's language to learn, -1 for none."""
+        self.orders, self.texts = orders, texts
+        keys, n, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(-1, languages):
+            for _, some in spans([x for x, own in zip(texts, language.tolist(), strict=True) if own == i]):
+                own, times = np.unique(gram_keys(some, orders)[0], return_counts=True)
+                keys.append(own)
+                n.append(times)
+                of.append(np.full(len(own), i))
+        every, n, of = np.concatenate(keys), np.concatenate(n), np.concatenate(of)
+        self.keys, number = np.unique(every, return_inverse=True)
+        learned = of >= 0
+        both, m, _ = ppm.summed((number[learned] * languages + of[learned]).astype(np.uint64), n[learned])
+        self.entries, self.n = both.astype(np.int64), m
+        self.shard = ((self.keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascends, as keys do
+        cuts = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1)).tolist()
+        self.asked = list(zip(cuts[:-1], cuts[1:], strict=True))
+        self.languages = languages
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        for a, b in self.asked:
+            i, j = np.searchsorted(self.entries, [a * self.languages, b * self.languages])
+            own = self.entries[i:j] - a * self.languages
+            yield int(self.shard[a]), exchange.dump(self.keys[a:b], (own // self.languages).astype("<u4"), (own % self.languages).astype("<u2"), self.n[i:j].astype("<u4"))
+
+    def hits(self, told: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its n-grams, and how many of them each language contains, corrected for false positives."""
+        weight = np.zeros((self.languages, len(self.keys)), np.float32)
+        for a, b in self.asked:
+            masks, false = exchange.load(told[int(self.shard[a])])
+            masks = masks.reshape(b - a, -1)
+            for i, f in enumerate(false.tolist()):
+                held = masks[:, i // 64] >> masks.dtype.type(i % 64) & masks.dtype.type(1)
+                weight[i, a:b] = (held - f) / (1 - f)
+        total, hits = np.zeros(len(self.texts), np.int64), np.zeros((len(self.texts), self.languages))
+        places = common.Places(self.keys)
+        for owners, some in spans(self.texts):
+            keys, owner = gram_keys(some, self.orders)
+            at = places.of(keys)
+            np.add.at(total, owners, np.bincount(owner, minlength=len(some)))
+            for i in range(self.languages):
+                np.add.at(hits[:, i], owners, np.bincount(owner, weights=weight[i][at], minlength=len(some)))
+        return total, hits
+
+
+def identify(docs: DataFrame, language: str = "lang", text: str = "text", learn: Column | None = None, keep: tuple[str, ...] = ("doc_id",), orders: tuple[int, ...] = ORDERS, least: float = LEAST, stored: bool = True) -> DataFrame:
     """``keep`` columns, lang_pred, score (share of the text's n-grams that the language holds, corrected, 0 to 1),
-    n_grams, and margin (by how much of the n-grams it leads the next language)."""
+    n_grams, and margin (by how much of the n-grams it leads the next language), learned from all rows that ``learn``
+    selects and whose language is not null.  ``stored``: see ``common.Bundles``."""
     new = {"lang_pred": T.StringType(), "score": T.DoubleType(), "n_grams": T.LongType(), "margin": T.DoubleType()}
     keep = tuple(c for c in keep if c not in new)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    kind = T.StructType([f for f in rows.schema.fields if f.name != "__text"] + [T.StructField(k, v) for k, v in new.items()])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        for batch in batches:
-            own, columns = [x or "" for x in batch.column(len(keep)).to_pylist()], []
-            for some in common.spans(own, SPAN):
-                n, hits = model.hits(own[some], orders)
-                share = np.concatenate([model.corrected(n, hits), np.zeros((len(n), 2))], axis=1)  # so that there are two at least
-                best = np.argmax(share, axis=1) if model.languages else np.zeros(len(n), np.int64)
-                two = np.sort(share, axis=1)[:, -2:]
-                columns.append((names[np.where(n > 0, best, -1)], two[:, 1], n, two[:, 1] - two[:, 0]))
-            joined = [np.concatenate(x) for x in zip(*columns, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, y) for x, y in zip(joined, (pa.string(), pa.float64(), pa.int64(), pa.float64()), strict=True))], kind.names)
-
-    return rows.mapInArrow(run, kind)
+    taught = F.when(F.lit(True) if learn is None else learn, F.col(language).cast("string"))
+    rows = docs.select(*keep, F.col(text).alias("__text"), taught.alias("__taught"))
+    bundles = common.Bundles(rows, "__text", stored=stored)
+    names = [x[0] for x in rows.where("__taught is not null").select("__taught").distinct().orderBy("__taught").collect()]  # the labels' values
+    number, n_shards = {x: i for i, x in enumerate(names)}, exchange.shards(bundles.bytes())
+
+    def asked(table: pa.Table) -> Asked:
+        taught = np.array([number.get(x, -1) for x in table.column("__taught").to_pylist()], np.int64)
+        return Asked([x or "" for x in table.column("__text").to_pylist()], taught, len(names), n_shards, orders)
+
+    questions = exchange.dealt(bundles.map(lambda number, table: exchange.rows(number, asked(table).questions()), exchange.SCHEMA))
+
+    def together(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The n-grams of each question, the distinct ones, and how often each language's training texts have them."""
+        found = [exchange.load(x) for x in data]
+        every, place = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        count, at = np.zeros((len(every), len(names)), np.int64), 0
+        for own, row, of, n in found:
+            np.add.at(count, (place[at + row.astype(np.int64)], of), n)
+            at += len(own)
+        return [x[0] for x in found], every, count
+
+    def summary(_: int, __: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        total = together(data)[2].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(total)], ["language", "n"])
+
+    totals = np.zeros(len(names))
+    for x in exchange.each(questions, summary, "language long, n long").groupBy("language").agg(F.sum("n").alias("n")).collect():  # a row for each language
+        totals[x.language] = x.n
+
+    def answer(shard: int, numbers_: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        own, every, count = together(data)
+        share = count / np.maximum(totals, 1)
+        member = (count > 0) & (share >= least * share.max(axis=1, initial=0)[:, None])
+        model = BitSliced.of({x: every[member[:, i]] for i, x in enumerate(names)})
+        for b, keys in zip(numbers_, own, strict=True):
+            yield exchange.batch([(shard, b, exchange.dump(numbers(model.languages_of(keys), len(names)), model.false_share))])
+
+    kind = T.StructType([f for f in rows.schema.fields if not f.name.startswith("__")] + [T.StructField(k, v) for k, v in new.items()])
+
+    def judge(found: pa.Table, table: pa.Table) -> pa.Table:
+        n, hits = asked(table).hits(exchange.told(found))
+        share = np.clip(np.concatenate([hits / np.maximum(n, 1)[:, None], np.zeros((len(n), 2))], axis=1), 0, 1)  # two columns at least
+        best = np.argmax(share, axis=1) if names else np.zeros(len(n), np.int64)
+        two = np.sort(share, axis=1)[:, -2:]
+        found = [names[b] if m and names else UNDETERMINED for b, m in zip(best.tolist(), n.tolist(), strict=True)]
+        columns = [pa.array(found, pa.string()), pa.array(np.where(n > 0, two[:, 1], 0.0)), pa.array(n), pa.array(np.where(n > 0, two[:, 1] - two[:, 0], 0.0))]
+        return pa.table([*(table.column(c) for c in keep), *columns], names=kind.names)
+
+    return bundles.answered(exchange.each(questions, answer), judge, kind)

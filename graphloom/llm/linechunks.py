@@ -27,6 +27,7 @@ from . import common
 SPAN = 2
 DIVISOR = 2
 SALTS = 32
+HELD = 32 << 20  # bytes of chunks that a task remembers having sent
 
 
 class Chunks:
@@ -99,7 +100,8 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep:
 
     def pieces(distinct: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set = set()
+            sent: dict[tuple[int, int], bytes] = {}
+            room = HELD
             for batch in batches:
                 own, numbers = common.texts(batch.column(2)), batch.column(3).to_pylist()
                 for some in common.spans(own):
@@ -109,11 +111,11 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep:
                         for m in marks:
                             at = int(begin[i]) + m["number"]
                             if distinct:
-                                digest = c.h[at].tobytes() + common.xxhash.xxh3_128_digest(c.bytes(at))
-                                if digest in sent:
+                                key, data = (m["h1"], m["h2"]), c.bytes(at)
+                                if sent.get(key) == data:
                                     continue
-                                if len(sent) < 200_000:
-                                    sent.add(digest)
+                                if key not in sent and len(data) < room:
+                                    sent[key], room = data, room - len(data) - 200
                             out.append((m["h1"], m["h2"], some.start + i, m["number"], c.bytes(at)))
                     h1, h2, where, number, data = list(zip(*out, strict=True)) or [()] * 5
                     where = pa.array(where, pa.int64())

@@ -2,18 +2,24 @@
 
 Texts of equal shingle sets are one class from the start (by 128 bits of hash); the rest works on one
 representative of each class.  A signature has ``TREES`` labels of ``DEPTH`` MinHash values; a tree is the
-sorted prefix trie of its labels.  Matched prefixes start at the full depth and are shortened until a pair at
-the threshold shares one in at least one tree with probability ``TARGET`` (more similar pairs do with more).
-Members of a trie node hang on its least member, never on each other, so a node of any size gives as many
-candidate links as it has members.  Connected candidates form clusters; inside a cluster every pair of
-representatives is compared exactly, in blocks of at most ``BLOCK``, as products of incidence matrices; a
-block pair returns its members' counts of links and one root each, not its pairs.  So no pair of a cluster is
-missed, and rows grow with the documents alone (the arithmetic inside a cluster of many different near copies is
-quadratic, in blocks that any machine can take).  Groups are the connected components of exact links.
+prefix trie of its labels, whose nodes are the groups of labels with a common prefix.  Every class starts with whole
+labels.  The share of trees in which it has company at a depth estimates the probability that a tree joins it with
+those like it, so 1 - (1 - share) ** TREES estimates the forest's recall at that depth; where it falls short of
+``TARGET``, the class's prefixes are shortened by one value and looked at again.  At ``prefix_length`` values even a pair
+at the threshold is met with probability TARGET, so no class goes further.  Others with longer prefixes stay in the
+nodes of shorter ones, so a pair is met at the shorter depth of its two.
+
+Members of a node hang on its least member, never on each other, so a node of any size gives as many candidate links as
+it has members.  Connected candidates form clusters; inside a cluster every pair of representatives is compared
+exactly, in blocks, as products of incidence matrices; a block pair returns its members' counts of links and one root
+each, not its pairs.  So no pair of a cluster is missed.  A cluster of m different texts goes through the comparison in
+m / 128 blocks, 16 at most up to 16 * ``BLOCK`` texts and m / BLOCK beyond, and each text is sent once for each of
+them; its arithmetic is quadratic, as are its links.  Groups are the connected components of exact links.
 
 A shingle is ``WORDS`` words; a text of fewer words is one shingle of all of them; null and blank texts have
 none and are linked to nothing.  Rows that repeat id and text are copies like any other.  An empty table gives
-an empty one.  Other columns are ignored; ids may be null or repeat.
+an empty one.  Other columns are ignored; ids may be null or repeat; of equal ids that of the first row by key is taken
+for least.  A long text is read whole.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ TREES = 24
 DEPTH = 8
 TARGET = 0.999
 BLOCK = 1024
+SMALL = 128
 SALTS = 16
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,6 +55,11 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return k
 
 
+def enough(trees: int = TREES, target: float = TARGET) -> int:
+    """The least number of trees with company at a depth for which the forest's estimated recall there reaches the target."""
+    return next(n for n in range(trees + 1) if 1 - (1 - n / trees) ** trees >= target)
+
+
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     w = common.Words(texts)
@@ -133,7 +145,7 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
                 full = [i for i, s in enumerate(sets) if len(s)]
                 label: list[bytes | None] = [None] * len(sets)
                 if full:
-                    for i, x in zip(full, signatures([sets[i] for i in full])[:, :, :prefix], strict=True):
+                    for i, x in zip(full, signatures([sets[i] for i in full]), strict=True):
                         label[i] = x.tobytes()
                 part = batch.slice(some.start, some.stop - some.start)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(node, pa.binary()), pa.array(label, pa.binary())], ["__id", "__row", "node", "label"])
@@ -147,17 +159,29 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
         for batch in batches:
             if not len(batch):
                 continue
-            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), TREES, -1)
+            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), TREES, DEPTH)
             for tree in range(TREES):
-                flat = np.ascontiguousarray(label[:, tree])
-                at = [common.xxhash.xxh3_128_digest(bytes([tree]) + x.tobytes()) for x in flat]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), batch.column(0)], ["trie", "node"])
-
-    members = classes.select("node", "label").mapInArrow(nodes, "trie binary, node binary")
-    tops = members.groupBy("trie").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").select("trie", "top")
-    candidates = salted(members, tops, "trie").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+                at = [common.xxhash.xxh3_128_digest(bytes([tree]) + x.tobytes()) for x in np.ascontiguousarray(label[:, tree, :prefix])]
+                rest = np.zeros(len(batch), np.int64)
+                for j in range(prefix, DEPTH):
+                    rest = rest << 16 | label[:, tree, j]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(rest), batch.column(0)], ["trie", "rest", "node"])
+
+    members = classes.select("node", "label").mapInArrow(nodes, "trie binary, rest long, node binary")
+    joint = members.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1").select("trie")
+    company = common.checkpointed(salted(members, joint, "trie"))
+    # the nodes of each depth: the shortest prefix and the values after it
+    levels = F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("rest", 16 * (DEPTH - d)).alias("more")) for d in range(prefix, DEPTH + 1)))
+    levels = company.select("trie", "node", F.inline(levels)).select(F.struct("trie", "depth", "more").alias("at"), "node", "depth")
+    shared = levels.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
+    matched = salted(levels, shared, "at").groupBy("node", "depth").agg(F.count("*").alias("trees")).where(F.col("trees") >= enough())
+    reached = matched.groupBy("node").agg(F.max("depth").alias("reached"))
+    levels = levels.join(reached, "node", "left").withColumn("reached", F.coalesce("reached", F.lit(prefix)))
+    tops = levels.groupBy("at", "depth").agg(F.min("node").alias("top"), F.min("reached").alias("least"), F.count("*").alias("n")).where("n > 1 and least <= depth").select("at", "top")
+    candidates = salted(levels.select("at", "node"), tops, "at").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
     clusters = components(candidates)
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    each = F.greatest(F.lit(min(block, SMALL)), F.least(F.lit(block), F.col("n") / 16))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
     placed = salted(clusters, sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.join(classes.select("node", "__row"), "node")
     texts = rows.select("__row", "__text").dropDuplicates(["__row"]).join(placed, "__row").select("__text", "root", "node", "own", "blocks")

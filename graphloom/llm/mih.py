@@ -3,16 +3,21 @@
 Codes: vectors are centred, turned by rotations learned on a bounded sample (iterative quantisation of the
 principal axes) and cut to signs.  A code is split into 16-bit substrings, and each shard of the table keeps one
 directory for each substring.  By the pigeonhole principle a code within Hamming radius ``r`` of a query's differs
-from it by at most ``r // substrings`` bits in at least one substring, so probing every directory to that depth
-retrieves every code within the radius; these are then ranked by exact distance on the original vectors.
+from it by at most ``r // substrings`` bits in one of the first ``r % substrings + 1`` substrings, or by one bit less in
+one of the others; so probing every directory to that depth retrieves every code within the radius.  Those that are
+within it are ranked by exact distance on the original vectors.
 
 The radius is calibrated: for ``calibration`` sampled vectors the true neighbours among all rows are found by a
 linear scan, and the radius is the quantile ``target`` of their Hamming distances.  A query with fewer than k
 codes in a shard's radius has it widened there until there are k (or all), so nothing is cut by the radius alone.
+Where neighbours are hardly nearer than other vectors the radius is wide and probing retrieves most of a shard
+(``reach`` tells how much); results are the same, but the ranking by code is then what saves work.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-than most; ties go to the smaller id; rows of the query's own id are not its candidates; repeated rows are
-candidates each.  An empty table gives an empty one.
+Queries go to the shards in blocks: every task holds one shard and one block of queries, both of bounded size.
+
+Vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths are no
+candidates of each other; ties go to the smaller id; rows of the query's own id are not its candidates; repeated rows
+are candidates each, and repeated query rows ask once.  An empty table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 128
+BITS = 256
 SAMPLE = 4096
 CALIBRATION = 64
 TARGET = 0.97
-SHARD = 4096
+SHARD = 1 << 15
+BLOCK = 1 << 14
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _MASKS = [np.array([sum(1 << b for b in bits) for n in range(r + 1) for bits in combinations(range(16), n)], np.uint16) for r in range(5)]
 
@@ -75,8 +81,16 @@ class Index:
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows of every code within the radius."""
-        depth, hit = radius // len(code), np.zeros(len(self.ids), bool)
-        for (values, starts, rows), own in zip(self.directory, code, strict=True):
+        found = self.probed(code, radius)
+        return found[_POPCOUNT[self.codes[found] ^ code].sum(axis=1, dtype=np.int64) <= radius]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that probing the directories retrieves for the radius."""
+        hit, (whole, more) = np.zeros(len(self.ids), bool), divmod(radius, len(code))
+        for j, ((values, starts, rows), own) in enumerate(zip(self.directory, code, strict=True)):
+            depth = whole if j <= more else whole - 1
+            if depth < 0:
+                break
             if depth < len(_MASKS) and len(_MASKS[depth]) < len(values):  # the ball is smaller than the directory
                 probes = np.sort(_MASKS[depth] ^ own)
                 at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
@@ -86,8 +100,7 @@ class Index:
             if len(at):
                 n = starts[at + 1] - starts[at]
                 hit[rows[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
-        found = np.flatnonzero(hit)
-        return found[_POPCOUNT[self.codes[found] ^ code].sum(axis=1, dtype=np.int64) <= radius]
+        return np.flatnonzero(hit)
 
     def nearest(self, own_id: int, vector: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest of the codes within the radius, which widens until it holds k or all."""
@@ -108,18 +121,21 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", bits: int = BITS, sample: int = SAMPLE, calibration: int = CALIBRATION, target: float = TARGET, shard: int = SHARD) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): each query's k nearest found."""
-    spark = rows.sparkSession
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = rows.where(F.col(id_column).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     sound = sound.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    lengths = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, total = lengths
-    sound = sound.where(F.size("v") == dimension)
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("q")).where("q > 0").orderBy("d").collect()  # a row for each length of vectors
+    for x in lengths:
+        found = found.union(among(sound.where(F.size("v") == x.d), x.d, x.n, x.q, k, **options))
+    return found
+
+
+def among(sound: DataFrame, dimension: int, total: int, asking: int, k: int, bits: int = BITS, sample: int = SAMPLE, calibration: int = CALIBRATION, target: float = TARGET, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """The search among vectors (id, v, q) of one length."""
     drawn = sound.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
     codes = Codes(np.array([x.v for x in drawn], np.float64), bits)
     probes = (np.array([x.id for x in drawn[:calibration]]), np.array([x.v for x in drawn[:calibration]], np.float64))
@@ -146,21 +162,35 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "a"))).where(F.col("rank") <= k)
     radius = near.agg(F.percentile("h", target)).first()[0]
     radius = int(np.ceil(bits // 2 if radius is None else radius))
-    shards = -(-total // shard)
-    index = sound.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    asked = sound.where("q").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "id", "v")
+    shards, blocks = -(-total // shard), -(-asking // block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = sound.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "id", "v")
+    asked = sound.where("q").groupBy("id").agg(F.first("v").alias("v")).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), "id", "v")
 
     def probe(own: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(own) and len(queries):
             x = matrix(own.column("v"), dimension)
             index = Index(own.column("id").to_numpy(), x, codes.of(x.astype(np.float64)))
             q = matrix(queries.column("v"), dimension).astype(np.float64)
             for a, vector, code in zip(queries.column("id").to_pylist(), q, codes.of(q), strict=True):
-                found += [(a, int(i), float(d)) for i, d in zip(*index.nearest(a, vector, code, radius, k), strict=True)]
-        a, i, d = list(zip(*found, strict=True)) or [()] * 3
-        return pa.table([pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+                ids, distance = index.nearest(a, vector, code, radius, k)
+                found.append((np.full(len(ids), a), ids, distance))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    best = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(probe, "query_id long, vec_id long, score double")
+    best = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(probe, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # k rows of each shard
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def reach(vectors: np.ndarray, queries: np.ndarray, k: int = 10, bits: int = BITS, target: float = TARGET) -> tuple[int, float, float]:
+    """(radius, share of rows that probing retrieves, share within the radius) of some vectors for some of them as queries."""
+    codes = Codes(vectors[:SAMPLE], bits)
+    index = Index(np.arange(len(vectors)), vectors, codes.of(vectors))
+    far = []
+    for q in queries[:CALIBRATION]:
+        near = np.argsort(((vectors - q) ** 2).sum(axis=1))[1 : k + 1]
+        far += _POPCOUNT[index.codes[near] ^ codes.of(q[None])[0]].sum(axis=1).tolist()
+    radius = int(np.ceil(np.quantile(far, target)))
+    own = [(len(index.probed(c, radius)), len(index.within(c, radius))) for c in codes.of(queries)]
+    return radius, *(float(np.mean(x)) / len(vectors) for x in zip(*own, strict=True))

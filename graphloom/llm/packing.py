@@ -3,18 +3,22 @@
 Each input partition is packed by itself, in blocks of at most ``block_tokens`` tokens, so nothing is
 shuffled.  In a block every document gives its full sequences first; the rests are dealt, longest first, to
 the sequence of lowest cost (linear plus quadratic in the length of each piece, as attention within a
-document is) that has room.  A rest is cut only when none of the cheapest few sequences holds it whole.
+document is) that has room for all of it; only if no sequence has is it cut, the lowest-cost one with any room taking
+what fits.
 The capacities of a block sum to its tokens: whole sequences, and powers of two for what is left, so no
 token of padding is needed.
 
 Null text is empty (only the end id); repeated rows are packed each on its own; an empty table gives no
-piece; a very long text is cut over many sequences.  Columns other than the two that are named are ignored.
+piece; a very long text is cut over many sequences.  Of rests of equal length the earlier row comes first, of sequences
+of equal cost the earlier one.  Columns other than the two that are named are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +31,7 @@ from . import common
 
 SEQUENCE = 1024
 END_ID = 0
+LAST = 1e12  # beyond the cost of any whole sequence
 
 
 class Encoder:
@@ -82,6 +87,10 @@ class Encoder:
         starts = np.concatenate(all_starts) if all_starts else np.empty(0, np.int64)
         ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
         first, number = common.distinct(np.concatenate(h)) if h else (starts, starts)
+        for i in np.flatnonzero(ends - starts > 15).tolist():  # up to there hashes are of equal pieces only
+            j = int(first[number[i]])
+            if i != j and blob[starts[i] : ends[i]] != blob[starts[j] : ends[j]]:
+                number[i], first = len(first), np.append(first, i)
         alone = border[starts[first]] | border[ends[first]]
         values, sizes = [], np.zeros(len(first) + 1, np.int64)
         if len(joint := first[~alone]):
@@ -122,7 +131,42 @@ def capacities(tokens: int, sequence: int = SEQUENCE) -> list[int]:
     return [sequence] * (tokens // sequence) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def packed(lengths: list[int], sequence: int = SEQUENCE, look: int = 8) -> list[tuple[int, int, int, int, int]]:
+class Rooms:
+    """Sequences by the room they have left: the cheapest with at least so much is found in a tree over the rooms."""
+
+    def __init__(self, sequence: int):
+        self.leaves = 1 << sequence.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(sequence + 1)]
+        self.least = [(math.inf, -1, 0)] * (2 * self.leaves)
+
+    def _top(self, room: int) -> None:
+        at = self.leaves + room
+        self.least[at] = (*self.heaps[room][0], room) if self.heaps[room] else (math.inf, -1, 0)
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def put(self, cost: float, i: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, i))
+        self._top(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest with room of at least ``least``, which is taken out."""
+        a, b, best = self.leaves + least, 2 * self.leaves - 1, (math.inf, -1, 0)
+        while a <= b:
+            if a & 1:
+                best, a = min(best, self.least[a]), a + 1
+            if not b & 1:
+                best, b = min(best, self.least[b]), b - 1
+            a, b = a >> 1, b >> 1
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._top(best[2])
+        return best
+
+
+def packed(lengths: list[int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece for documents of these lengths."""
     out, rests, n = [], [], 0
     for d, length in enumerate(lengths):
@@ -132,29 +176,27 @@ def packed(lengths: list[int], sequence: int = SEQUENCE, look: int = 8) -> list[
         if length % sequence:
             rests.append((length % sequence, d))
     rests.sort(key=lambda x: (-x[0], x[1]))
-    room = capacities(sum(x for x, _ in rests), sequence)
-    filled = [0] * len(room)
-    heap = [(0.0 if r == sequence else float("inf"), i) for i, r in enumerate(room)]  # the short ones come last
+    room, rooms = capacities(sum(x for x, _ in rests), sequence), Rooms(sequence)
+    for i, r in enumerate(room):
+        rooms.put(0.0 if r == sequence else LAST, i, r)  # the short ones come last
     for length, d in rests:
         start = lengths[d] - length
         while length:
-            aside = []
-            while heap and len(aside) < look and room[heap[0][1]] - filled[heap[0][1]] < length:
-                aside.append(heapq.heappop(heap))
-            whole = heap and room[heap[0][1]] - filled[heap[0][1]] >= length
-            c, i = heapq.heappop(heap) if whole else aside.pop(0)
-            for x in aside:
-                heapq.heappush(heap, x)
-            part = min(length, room[i] - filled[i])
-            out.append((d, start, part, n + i, filled[i]))
-            filled[i] += part
+            c, i, left = rooms.take(length) or rooms.take(1)
+            part = min(length, left)
+            out.append((d, start, part, n + i, room[i] - left))
             start, length = start + part, length - part
-            if filled[i] < room[i]:
-                heapq.heappush(heap, (c + cost(part), i))
+            if left > part:
+                rooms.put(c + cost(part), i, left - part)
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, block_tokens: int = 4 << 20, emit_ids: bool = False) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
+def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, block_tokens: int = 1 << 20, emit_ids: bool = False) -> DataFrame:
     """One row for each piece: the id column, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if ``emit_ids``."""
     kind = T.StructType([docs.schema[id_column], *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     if emit_ids:
@@ -163,7 +205,7 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         first = TaskContext.get().partitionId() << 32
         keys, held, tokens = [], [], 0
 
@@ -189,7 +231,7 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str
         for batch in batches:
             id_type = batch.column(0).type
             ids, own = batch.column(0).to_pylist(), common.texts(batch.column(1))
-            for some in common.spans(own, 12 << 20):
+            for some in common.spans(own, 2 << 20):
                 coded, offsets = encoder.batch(own[some], end_id)
                 keys += ids[some]
                 held += [coded[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -15,8 +15,7 @@ table = common.table
 
 def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", common.is_remainder("doc_id", 4, 2))
-    model = langid.train(docs, learn=~F.col("held_out"))
-    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+    return langid.identify(docs, learn=~F.col("held_out"), keep=("doc_id", "held_out"), stored=False)
 
 
 def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    out = substrings.dedup(table(spark, sf_dir, "documents"), stored=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

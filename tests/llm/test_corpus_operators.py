@@ -52,23 +52,60 @@ def empty(spark):
 
 def test_language(docs, empty):
     learn = ~common.is_remainder("doc_id", 4, 2)
-    model = langid.train(docs, learn=learn)
-    assert model.languages == ["de", "en"] and (model.false_share < 0.01).all()
-    found = {r.doc_id: r for r in langid.predict(docs, model, keep=("doc_id", "lang", "score")).collect()}
+    found = {r.doc_id: r for r in langid.identify(docs, learn=learn, keep=("doc_id", "lang", "score")).collect()}
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (100, 101, 102, 103))
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert held and sum(found[i].lang_pred == found[i].lang for i in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in found.values())
-    # the filter holds every member, and for one text hits are those of sets
-    members = {x: set() for x in model.languages}
-    for text, lang in [(r.text, r.lang) for r in docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()]:
-        members[lang] |= set(langid.gram_keys([text])[0].tolist())
-    exact = langid.BitSliced.of({x: np.array(sorted(m), np.uint64).view(np.int64) for x, m in members.items()})
-    keys, _ = langid.gram_keys(["Der und that über"])
-    n, hits = exact.hits(["Der und that über"])
-    assert n[0] == len(keys) and all(h >= sum(k in members[x] for k in keys.tolist()) for x, h in zip(exact.languages, hits[0], strict=True))
-    assert langid.predict(docs, langid.train(empty)).where("lang_pred <> 'und'").isEmpty()
-    assert langid.predict(empty, model).count() == 0
+    # by sets in place of filters: the same answers, and the same scores but for what false positives vary
+    count = {"de": Counter(), "en": Counter()}
+    for r in docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        count[r.lang].update(grams(r.text))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in count.items()}
+    members = {x: {g for g, s in own.items() if s >= langid.LEAST * max(o.get(g, 0) for o in share.values())} for x, own in share.items()}
+    for r in docs.collect():
+        own = grams(r.text or "")
+        if own:
+            exact = {x: sum(g in m for g in own) / len(own) for x, m in members.items()}
+            got = found[r.doc_id]
+            assert got.n_grams == len(own) and got.score == pytest.approx(max(exact.values()), abs=0.02 + 0.2 / len(own))
+            if abs(exact["de"] - exact["en"]) > 0.05:
+                assert got.lang_pred == max(sorted(exact), key=exact.get)
+    assert langid.identify(docs, learn=F.lit(False)).where("lang_pred <> 'und'").isEmpty()
+    assert langid.identify(empty).count() == 0
+
+
+def grams(text):
+    """Letter n-grams of 3 and 4 with their borders, of 1 and 2 in scripts of many letters, by the definition."""
+    many = lambda c: any(a <= ord(c) <= b for a, b in langid.MANY)
+    out = []
+    for script, orders, border in ((False, (3, 4), " "), (True, (1, 2), "")):
+        runs = "".join(c if c.isalpha() and many(c) == script else "\n" for c in text.lower()).split("\n")
+        for run in filter(None, runs):
+            run = border + run + border
+            out += [run[i : i + n] for n in orders for i in range(len(run) - n + 1)]
+    return out
+
+
+def test_filter_holds_all_members():
+    """An n-gram's bitmask has the bit of every language that has it, and few others."""
+    rng = np.random.default_rng(8)
+    members = {x: rng.integers(0, 1 << 63, 3000).astype(np.uint64) for x in ("a", "b", "c")}
+    members["b"][:500] = members["a"][:500]
+    model = langid.BitSliced.of(members)
+    for i, x in enumerate(model.languages):
+        held = model.languages_of(members[x])[:, 0] >> np.uint64(i) & np.uint64(1)
+        assert held.all()
+        other = model.languages_of(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))[:, 0] >> np.uint64(i) & np.uint64(1)
+        assert other.mean() == pytest.approx(model.false_share[i], abs=0.005) and model.false_share[i] < 0.02
+
+
+def test_long_texts_are_cut_between_words():
+    text = "abc déf, ghij " * 30 + "x" * 80 + " end"
+    held = [x for _, some in langid.spans([text, "", "q"], 50) for x in some]
+    assert "".join(held[:-2]) == text and held[-2:] == ["", "q"] and len(held) > 8
+    whole = Counter(langid.gram_keys([text])[0].tolist())
+    assert sum((Counter(langid.gram_keys([x])[0].tolist()) for x in held[:-2]), Counter()) == whole
 
 
 def test_language_of_many_letters():
@@ -85,7 +122,7 @@ def model():
 def test_segmentations(docs, empty, model):
     import sentencepiece
 
-    made = segment.sample(docs.where("doc_id <> 104 or doc_id is null"), model, k=3).collect()
+    made = segment.sample(docs, model, k=3).collect()
     by = defaultdict(list)
     for r in made:
         by[r.doc_id, r.n_pieces and r.sample].append(r)
@@ -103,6 +140,10 @@ def test_segmentations(docs, empty, model):
     again = {(r.doc_id, r.sample): r.ids_crc32 for r in segment.sample(docs.where("doc_id < 20").repartition(5), model, k=3).collect()}
     assert all(again[r.doc_id, r.sample] == r.ids_crc32 for r in made if (r.doc_id, r.sample) in again)
     assert segment.sample(empty, model).count() == 0
+    back = segment.decode(segment.sample(docs, model, k=2, keep=("doc_id", "text")).withColumnRenamed("text", "before"), model, keep=("doc_id", "before")).collect()
+    assert back and all(r.text == (r.before or "") for r in back)
+    odd = docs.sparkSession.createDataFrame([(1, None), (2, [-1]), (3, [10**6]), (4, []), (5, [None])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in segment.decode(odd, model).collect()} == {1: None, 2: None, 3: None, 4: "", 5: None}
 
 
 def test_segmentations_are_drawn_without_replacement(model):
@@ -209,6 +250,78 @@ def test_rules_reject_two_fifths_of_a_group(spark):
     assert len(found) == 1500 and {(r.source, r.doc_id) for r in found if not r.kept} == {(kind, i) for kind in kinds for i in range(300) if i % 5 < 2}
 
 
+def median(values):
+    return sorted(map(stand_in, values))[(len(values) + 1) // 2 - 1]
+
+
+def stand_in(x):
+    """The value of a sketch's bucket."""
+    return 2 * rules.GAMMA ** np.ceil(np.log(x) / np.log(rules.GAMMA)) / (rules.GAMMA + 1) if x > 0 else 0.0
+
+
+def by_hand(values, error, scale):
+    """(cut, fence where there is no cut) above, by trying every cut of the sorted values."""
+    f, back = (np.sqrt, np.square) if scale == "sqrt" else (np.log, np.exp)
+    x = sorted(map(stand_in, values))
+    y = [float(f(v)) for v in x]
+    at = lambda v, q: v[max(0, int(np.ceil(q * len(v) - 1e-9)) - 1)]
+    rest = float(back(at(y, 0.5) + rules.REACH * (at(y, 0.5) - at(y, rules.FEW)))) if at(y, 0.5) > at(y, rules.FEW) else None
+    for i in range(len(x) - 1):
+        if x[i] < x[i + 1] and 2 * (i + 1) >= len(x):
+            low, high = y[: i + 1], y[i + 1 :]
+            if at(high, rules.FEW) - at(low, 1 - rules.FEW / 5) >= rules.WIDTH * np.hypot(np.std(low), error):
+                return (x[i] * (rules.GAMMA + 1) / 2, rest)
+    return (None, rest)
+
+
+def test_rules_by_hand(spark):
+    """kept, over groups and languages of many sizes, some with a class apart, against every cut tried in turn."""
+    rng = np.random.default_rng(11)
+    own = []
+    for lang, source, n, bad in (("en", "a", 400, 0.3), ("en", "b", 250, 0.0), ("en", "c", 60, 0.1), ("de", "a", 150, 0.05), ("de", None, 100, 0.0), (None, "a", 30, 0.5), ("fr", "z", 220, 0.02)):
+        for _ in range(n):
+            words, junk = int(rng.integers(60, 400)), rng.random() < bad
+            own.append((len(own), lang, source, words, int(words * rng.normal(9 if junk else 5, 0.3)), int(words * 0.5) if junk else int(rng.random() < 0.02), int(rng.random() < 0.1), int(6 * (rng.random() < 0.2))))
+    own += [(len(own), "en", "a", 0, 0, 0, 0, 0), (len(own) + 1, "en", "a", 300, 1500, 0, 0, 290)]
+    names = ("doc_id", "lang", "source", *rules.COUNTS)
+    df = spark.createDataFrame(own, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    found = {r.doc_id: r for r in rules.judged(common.checkpointed(df)).collect()}
+    rows = [dict(zip(names, r, strict=True)) for r in own]
+    share = {"word_length": "word_chars", "symbol_share": "n_symbols", "dup_line_share": "n_dup_lines", "repeat_share": "n_repeat_words"}
+    hand, values = {}, {}
+    for r in rows:
+        for group in ((r["lang"], r["source"]), (r["lang"],), ()):
+            values.setdefault(group, []).append(r)
+    for group, members in values.items():
+        members = [r for r in members if r["n_words"]]
+        size = median([r["n_words"] for r in members])
+        for m, (_, unit, scale, low) in rules.MEASURES.items():
+            x = [r[share[m]] / r["n_words"] for r in members]
+            hand[group, m] = (len(members), median(x), by_hand(x, np.sqrt(unit / size) / 2, scale), by_hand([1 / v for v in x], np.sqrt(unit / size) / 2, scale) if low else None)
+    def limit(levels, side, beyond):
+        own = levels[0][1]
+        return next((x[side][0] for x in levels if x[side][0] is not None and beyond(own, x[side][0])), next((x[side][1] for x in levels if x[side][1] is not None), None))
+    rejected = 0
+    for r in rows:
+        base = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        bad = base
+        for m, (*_, low) in rules.MEASURES.items():
+            if r["n_words"]:
+                groups = [hand[g, m] for g in ((r["lang"], r["source"]), (r["lang"],), ())]
+                levels = [g for g in groups[:2] if g[0] >= rules.MIN_GROUP] + groups[2:]
+                levels = [(n, groups[0][1], up, down) for n, _, up, down in levels]
+                x = r[share[m]] / r["n_words"]
+                top = limit(levels, 2, lambda own, f: own <= f)
+                bad |= top is not None and x > top
+                if low:
+                    floor = limit(levels, 3, lambda own, f: 1 / own <= f * (1 + 2 * rules.GAMMA))
+                    bad |= floor is not None and 1 / x > floor * (1 + 1e-9)
+        got = found[r["doc_id"]]
+        assert (got.base_failed, got.kept) == (base, not bad), r
+        rejected += bad and not base
+    assert 100 < rejected < 200
+
+
 def test_perplexity_rejects_two_fifths_of_a_language(spark):
     own = [(i, "en", 40.0 if i % 5 < 2 else 5 + i % 10 / 10) for i in range(300)]
     found = kneser_ney.judged(common.checkpointed(spark.createDataFrame(own, "doc_id long, lang string, perplexity double"))).collect()
@@ -219,30 +332,33 @@ def test_fences_follow_quantiles(spark):
     rng = np.random.default_rng(1)
     values = rng.lognormal(1, 0.5, 3000)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
-    own = df.select(F.lit("x").alias("measure"), rules.bucket(F.col("v")).alias("bucket")).groupBy("measure", "bucket").agg(F.count("*").alias("n"))
-    f = rules.fences(own.union(own), ()).first()  # merged with itself
-    assert f.rows == 6000
-    for name, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)):
-        assert f[name] == pytest.approx(np.quantile(values, q), rel=0.02)
+    parts = [df.where(f"i % 2 = {k}").groupBy(rules.bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n")) for k in (0, 1)]
+    merged = parts[0].union(parts[1]).groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").toPandas()
+    x, n = rules.middle(merged["bucket"].to_numpy()), merged["n"].to_numpy()
+    assert n.sum() == 3000
+    for q in (0.05, 0.5, 0.95):
+        assert rules.quantile(x, n, q) == pytest.approx(np.quantile(values, q), rel=0.02)
 
 
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 32)).astype(np.float32)
     x[7] = x[100]
-    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 32), (2002, [float("nan")] * 32), (2003, [None] * 32), (2004, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = mih.search(df, F.col("vec_id") % 100 == 0, sample=500, shard=400).collect()
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 32), (2002, [float("nan")] * 32), (2003, [None] * 32), (2004, [1.0]), (2100, [1.0, 2.0]), (2101, [1.0, 4.0]), (None, [1.0] * 32)]
+    rows += [(i, v, ) for i, v in rows[200:203]]  # repeated rows
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rank int, score string")
+    found = mih.search(df, F.col("vec_id") % 100 == 0, sample=500, shard=400, block=4).collect()
     hit = 0
     for q in range(0, 1500, 100):
         own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
         assert [a for a, *_ in own] == list(range(1, 11))
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        best = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        best = [j for i in np.lexsort((np.arange(1500), d)) if i != q for j in [i] * (1 + (200 <= i < 203))][:10]
         hit += len({i for _, i, _ in own} & set(best))
         assert all(s == pytest.approx(d[i]) for _, i, s in own) and [s for *_, s in own] == sorted(s for *_, s in own)
     assert hit >= 0.9 * 150
-    assert {r.query_id for r in found} == set(range(0, 1500, 100))
+    assert {r.query_id for r in found} == set(range(0, 1500, 100)) | {2100}
+    assert [(r.rank, r.vec_id, r.score) for r in found if r.query_id == 2100] == [(1, 2101, 2.0)]
     few = mih.search(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()
     assert len(few) == 4
     assert mih.search(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
@@ -268,28 +384,42 @@ def test_kneser_ney(spark, docs, empty):
     texts = [r.text.encode() for r in docs.where("doc_id between 0 and 39").collect()]
     n = kneser_ney.ORDER
     counts = [None] * (n + 1)
-    counts[n] = Counter(k for t in texts for k in ppm.windows([t], n - 1)[0].tolist())
+    def runs(t):
+        x = b"\xff" * (n - 1) + t + b"\xff"
+        return [x[i : i + n] for i in range(len(t) + 1)]
+    counts[n] = Counter(g for t in texts for g in runs(t))
     for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g & ((1 << 8 * k) - 1) for g in counts[k + 1])
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
     d = [None, *(kneser_ney.discounts([sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]) for k in range(1, n + 1))]
-    def p(gram, k):
-        lower = p(gram & ((1 << 8 * (k - 1)) - 1), k - 1) if k > 1 else 1 / 256
-        own = [(g, c) for g, c in by[k].get(gram >> 8, ())]
+    by = [defaultdict(list) for _ in range(n + 1)]
+    for k in range(1, n + 1):
+        for g, c in counts[k].items():
+            by[k][g[:-1]].append(c)
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / 256
+        own = by[k].get(gram[:-1])
         if not own:
             return lower
         cut = lambda c: d[k][min(c, 3) - 1]
         c = counts[k].get(gram, 0)
-        return (max(c - cut(c), 0) if c else 0) / sum(c for _, c in own) + sum(cut(c) for _, c in own) / sum(c for _, c in own) * lower
-    by = [defaultdict(list) for _ in range(n + 1)]
-    for k in range(1, n + 1):
-        for g, c in counts[k].items():
-            by[k][g >> 8].append((g, c))
-    for i in (0, 41):
+        return (max(c - cut(c), 0) if c else 0) / sum(own) + sum(map(cut, own)) / sum(own) * lower
+    for i in (0, 41, 103):
         text = docs.where(f"doc_id = {i}").first().text.encode()
-        logs = [np.log(p(g, n)) for g in ppm.windows([text], n - 1)[0].tolist()]
-        assert found[i].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-4)
+        assert found[i].perplexity == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in runs(text)])), rel=1e-4)
     context = next(iter(by[n]))
-    assert sum(p(context << 8 | s, n) for s in range(256)) == pytest.approx(1)
+    assert sum(p(context + bytes([s])) for s in range(256)) == pytest.approx(1)
+    # thresholds by hand
+    values = defaultdict(list)
+    for r in found.values():
+        if r.perplexity is not None:
+            values[r.lang].append(r.perplexity)
+            values["all"].append(r.perplexity)
+    hand = {x: by_hand(v, np.log(rules.GAMMA), "log") for x, v in values.items()}
+    for r in found.values():
+        levels = [hand[r.lang]] * (len(values.get(r.lang, [])) >= 10) + [hand["all"]]
+        limit = next((x[0] for x in levels if x[0] is not None and median(values.get(r.lang, values["all"])) <= x[0]), levels[0][1])
+        assert r.threshold == pytest.approx(limit) and r.kept == (r.perplexity is not None and r.perplexity <= limit)
     assert kneser_ney.perplexities(empty, trusted).count() == 0
 
 
@@ -342,6 +472,55 @@ def test_chunks_move_with_their_lines():
     assert len(of(a) - of(b)) <= 2
 
 
+def test_chunk_boundaries_by_the_definition():
+    """A chunk ends at the text's end, or at a line where the rolling hash of it and the line before is even, if it has two lines."""
+    rng = random.Random(9)
+    texts = [b"\n".join(rng.choice([b"", b"a", b"some line", b"another much longer line of text"]) + str(rng.randint(0, 3)).encode() * rng.randint(0, 1) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    c = linechunks.Chunks(texts)
+    for i, t in enumerate(texts):
+        lines, expected, held, before = t.split(b"\n"), [], [], None
+        for k, line in enumerate(lines):
+            h = common.hashed(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)]))[0, 0]
+            with np.errstate(over="ignore"):
+                roll = common.mixed(np.array([h + (np.uint64(3) * before if before is not None else np.uint64(0))]))[0]
+            held.append(line)
+            before = h
+            if k == len(lines) - 1 or int(roll) % 2 == 0 and len(held) > 1:
+                expected.append(b"\n".join(held))
+                held = []
+        assert [c.bytes(k) for k in np.flatnonzero(c.owner == i)] == expected
+        assert [bool(c.multi[k]) for k in np.flatnonzero(c.owner == i)] == [sum(bool(x.strip()) for x in e.split(b"\n")) > 1 for e in expected]
+
+
+def test_hashes_of_alike_words():
+    """Thue-Morse words, on which polynomial hashes modulo a power of two agree: each operator tells them apart."""
+    def morse(n, a, b):
+        x = a
+        y = b
+        while len(x) < n:
+            x, y = x + y, y + x
+        return x
+    import tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    reference, encoder = tokenizers.Tokenizer.from_file(vocabulary), packing.Encoder(vocabulary)
+    for n in (1024, 2048):
+        a, b = morse(n, "a", "b"), morse(n, "b", "a")
+        text = f"x {a} y {b} z"
+        ids, _ = encoder.batch([text.encode()], 0)
+        assert ids.tolist() == [*reference.encode(text, add_special_tokens=False).ids, 0]
+        w = common.Words([text.encode()])
+        assert len(np.unique(w.h, axis=0)) == 5
+        one, two = (lshforest.shingles([" ".join([x] * 5).encode()])[0] for x in (a, b))
+        assert one.tolist() != two.tolist()
+        v = segment.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+        lattice = segment.Lattice([text.encode()], v)
+        assert v.decode(lattice.ids[lattice.samples(np.array([1], np.uint64), 1)[0][0][3]]) == text.encode()
+    for n in range(17):  # equal hashes for equal bytes only
+        x = np.frombuffer(bytes(range(n)) + b"\0" * 20, np.uint8)
+        assert len(np.unique(common.hashed(x, np.zeros(16, np.int64), np.arange(16)), axis=0)) == 16
+
+
 def test_packing(docs, rows, empty):
     import tokenizers
 
@@ -379,6 +558,19 @@ def test_packing_is_balanced():
     for _, _, n, q, _ in packed(lengths):
         cost[q] += packing.cost(n)
         filled[q] += n
+    # by brute force: the cheapest of all sequences with room for a rest; if there is none, the cheapest with any
+    rests = sorted(((n % 1024, d) for d, n in enumerate(lengths) if n % 1024), key=lambda x: (-x[0], x[1]))
+    room = packing.capacities(sum(n for n, _ in rests))
+    left, paid, first, expected = list(room), [0.0 if r == 1024 else packing.LAST for r in room], sum(n // 1024 for n in lengths), []
+    for n, d in rests:
+        start = lengths[d] - n
+        while n:
+            i = min((i for i in range(len(room)) if left[i] >= n), key=lambda i: (paid[i], i), default=None)
+            i = min((i for i in range(len(room)) if left[i]), key=lambda i: (paid[i], i)) if i is None else i
+            part = min(n, left[i])
+            expected.append((d, start, part, first + i, room[i] - left[i]))
+            left[i], paid[i], start, n = left[i] - part, paid[i] + packing.cost(part), start + part, n - part
+    assert [x for x in packed(lengths) if x[3] >= first] == expected
     whole = [cost[q] for q in filled if filled[q] == 1024]
     assert sum(filled.values()) == sum(lengths) and max(whole) <= 2.1 * min(whole)
 
@@ -386,7 +578,7 @@ def test_packing_is_balanced():
 packed = packing.packed
 
 
-@pytest.mark.parametrize("width,anchor,bits", [(35, 8, 26), (6, 3, 16)])
+@pytest.mark.parametrize("width,anchor,bits", [(35, 8, None), (6, 3, 20)])
 def test_repeated_windows(docs, rows, empty, width, anchor, bits):
     n = Counter(tuple(w[i : i + width]) for _, t, *_ in rows for w in (words(t),) for i in range(len(w) - width + 1))
     expected = defaultdict(list)
@@ -402,20 +594,37 @@ def test_repeated_windows(docs, rows, empty, width, anchor, bits):
 
 
 def test_sketch_overestimates():
-    rng = np.random.default_rng(6)
-    runs = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
-    runs[:300] = runs[300:600]
-    import pyarrow as pa
-
-    batches = []
-    for part in np.array_split(runs, 4):
-        made = list(zip(*substrings.sketch_rows(part, 16), strict=True))
-        batches.append(pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.binary())], ["slice", "once", "twice"]))
-    table = np.zeros((substrings.DEPTH, substrings.SLICE // 8), np.uint8)
-    for b in substrings.merged(batches):
-        for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            table[part] = np.frombuffer(bits, np.uint8)
-    assert substrings.repeated(runs[:600], table.reshape(-1), 16).all()
+    """Whatever repeats, within a bundle or over bundles, is estimated so, whatever the sketch's size."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(400)).encode() for _ in range(6)]
+    texts[3] = texts[0][:900] + texts[3]
+    bundles = [substrings.Spans(texts[i : i + 2], 10, 4) for i in (0, 2, 4)]
+    for bits in (16, 18, 20):
+        anchors = [substrings.Anchors(x, bits) for x in bundles]
+        by, told = defaultdict(lambda: ([], [])), [{} for _ in bundles]
+        for i, own in enumerate(anchors):
+            for shard, data in own.questions():
+                by[shard][0].append(i)
+                by[shard][1].append(data)
+        for shard, (who, data) in by.items():
+            for batch in substrings.merged(shard, who, data):
+                for i, answer in zip(batch.column("bundle").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    told[i][shard] = answer
+        n = Counter(x for own in anchors for x in own.runs.tolist())
+        found = [set(own.repeated(answers).tolist()) for own, answers in zip(anchors, told, strict=True)]
+        assert any(c > 1 for c in n.values()) and all(x in f for own, f in zip(anchors, found, strict=True) for x in own.runs.tolist() if n[x] > 1)
+
+
+def test_repeated_windows_of_long_texts(spark):
+    """Texts that are worked on in several pieces."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long = [word() for _ in range(700_000)]
+    shared = long[149_700:150_200]
+    own = [(1, " ".join(long)), (2, " ".join([*(word() for _ in range(50)), *shared, *(word() for _ in range(50))]))]
+    found = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert found[1].n_removed == found[2].n_removed == 500 and found[1].n_words == 700_000
+    assert found[1].kept_text == " ".join(long[:149_700] + long[150_200:])
 
 
 def test_near_duplicates(docs, rows, empty):
@@ -460,3 +669,5 @@ def test_groups_whose_ids_are_null_or_repeat_keep_one_row_each(spark):
 def test_forest_shortens_to_its_target():
     k = lshforest.prefix_length(0.8, 24, 8, 0.999)
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
+    n = lshforest.enough(24, 0.999)
+    assert 1 - (1 - n / 24) ** 24 >= 0.999 > 1 - (1 - (n - 1) / 24) ** 24
