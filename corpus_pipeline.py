@@ -36,8 +36,7 @@ def shaped(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = langid.train(docs)
-    found = common.checkpointed(langid.predict(docs, model, keep=COLUMNS).where(F.col("lang_pred") != langid.UNDETERMINED))
+    found = common.checkpointed(langid.identify(docs, keep=COLUMNS, stored=False).where(F.col("lang_pred") != langid.UNDETERMINED))
     usual = found.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
     found = found.join(F.broadcast(usual), "lang_pred", "left")  # a row for each learned language
     return shaped(found.where(F.col("score") >= LEAST_SHARE * F.coalesce("usual", F.lit(1.0))))
@@ -55,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cut = substrings.dedup(docs, keep=COLUMNS)
+    cut = substrings.dedup(docs, keep=COLUMNS, stored=False)
     return shaped(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
