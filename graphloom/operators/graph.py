@@ -7,7 +7,6 @@ reach; ``expand`` obeys budgets edge by edge, so it takes at most ``edge_budget`
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 from dataclasses import dataclass, field
 
@@ -18,6 +17,7 @@ from ..errors import CodedError
 from ..functions import text
 
 DIRECTIONS = ("out", "in", "both")
+SALTS = 16
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
         own = steps(edges, frontier, direction, edge_types)
         if scope is not None:
             own = own.join(scope.unionByName(seen.select("node_id")).distinct().withColumnRenamed("node_id", "other"), "other", "left_semi")
-        own = own.withColumn("level", F.lit(level))
+        own = saved(own.withColumn("level", F.lit(level)))  # each level is looked for once
         met = own if met is None else met.unionByName(own)
         first = own.groupBy(F.col("other").alias("node_id")).agg(F.min_by("current", "edge_id").alias("current")).join(seen.select("node_id"), "node_id", "left_anti")
         frontier = saved(first.join(frontier.select(F.col("node_id").alias("current"), F.col("path").alias("before")), "current").select("node_id", F.lit(level).alias("level"), F.concat("before", F.array("node_id")).alias("path")))
@@ -134,19 +134,35 @@ def expand(nodes: DataFrame, edges: DataFrame, node_ids: list[int], depth: int =
     return out
 
 
+def salted(big: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """An inner join on ``key``, of which ``small`` holds each value once; a value's rows of ``big`` go to ``salts`` tasks."""
+    small = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(small, [key, "__salt"]).drop("__salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's connected component, for the nodes of ``edges`` (a, b).
+
+    Each round every node takes the least label around it, then its label's label, so that rounds grow with the
+    logarithm of a component's width; labels are checkpointed.
+    """
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    while True:
+        around = salted(both, labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        near = labels.join(around, "node").select("node", F.least("root", "least").alias("root"), F.col("root").alias("old"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = saved(salted(near, jump, "root").select("node", F.least("root", "next").alias("root"), "old"))
+        labels = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
+            return labels
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node_id of all that is connected to the seeds (themselves included), direction ignored; semi-naive to the fixpoint."""
-    both = edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b"))
-    both = both.union(both.select("b", "a")).where("a <> b").distinct()
-    reached = frontier = saved(seeds.select("node_id").distinct())
-    for round_ in itertools.count(1):
-        new = both.join(frontier.withColumnRenamed("node_id", "a"), "a", "left_semi").select(F.col("b").alias("node_id")).distinct().join(reached, "node_id", "left_anti")
-        frontier = saved(new)
-        if frontier.isEmpty():
-            return reached
-        reached = reached.union(frontier)
-        if round_ % 8 == 0:  # a union of few saved parts stays as it is
-            reached = saved(reached)
+    """node_id of all that is connected to the seeds (themselves included), direction ignored."""
+    labels = components(edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b")))
+    roots = labels.join(seeds.select(F.col("node_id").alias("node")), "node", "left_semi").select("root").distinct()
+    return salted(labels, roots, "root").select(F.col("node").alias("node_id")).union(seeds.select("node_id")).distinct()
 
 
 def affected_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Full-text search: a token index as a DataFrame, a query language, boolean and phrase evaluation.
 
-Grammar: words and quoted phrases in sequence mean AND; ``OR``, ``NOT``, ``AND``, parentheses; ``prefix*``;
-``column:`` before a phrase or parenthesis; ``NEAR(a b, n)``.  Text and queries are folded alike; a quoted or bare
-term that folds to several tokens is a phrase.  What can't be parsed is QUERY_SYNTAX_INVALID.
+Grammar: words and quoted phrases in sequence mean AND; ``OR``, ``NOT``, ``AND``, parentheses; ``prefix*``; ``a + b``
+for one phrase of two; ``^a`` for one at the start of a field; ``column:``, ``{c1 c2}:`` and, for all but these,
+``- c:`` before a phrase, NEAR or parenthesis (of one inside another both hold); ``NEAR(a b, n)``.  Text and queries are
+folded alike; a quoted or bare term that folds to several tokens is a phrase.  What can't be parsed is
+QUERY_SYNTAX_INVALID.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CodedError
@@ -29,7 +31,8 @@ def index(nodes: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "node_i
 class Phrase:
     words: tuple[str, ...]
     prefix: bool = False
-    column: str | None = None
+    columns: tuple[str, ...] | None = None
+    first: bool = False
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ class Both:
     right: object
 
 
-_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\s*\*)?|([\w\u0080-\U0010ffff]+)(\s*\*)?|([():,]))')
+_LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\s*\*)?|([\w\u0080-\U0010ffff]+)(\s*\*)?|([():,^+{}-]))')
 
 
 class _Parser:
@@ -94,27 +97,55 @@ class _Parser:
 
     def row(self, column):
         out = self.one(column)
-        while self.peek()[0] != "end" and not any(map(self.peek, (")", "OR", "AND", "NOT", ","))):
+        while self.peek()[0] != "end" and not any(map(self.peek, (")", "OR", "AND", "NOT", ",", "+", "}", ":"))):
             out = Both("AND", out, self.one(column))
         return out
 
-    def one(self, column):
+    def filtered(self):
+        """The columns that a filter at this place lets in; None if there is none."""
+        at, without = self.i, self.take("-")
+        if self.take("{"):
+            names = []
+            while not self.take("}"):
+                names.append(self.name())
+        elif self.peek()[0] in ("quoted", "bare") and self.i + 1 < len(self.items) and self.items[self.i + 1][:2] == ("mark", ":"):
+            names = [self.name()]
+        else:
+            self.need(not without)
+            self.i = at
+            return None
+        self.need(self.take(":"))
+        return tuple(f for f in self.fields if (f in names) != without)
+
+    def name(self) -> str:
+        kind, value, _ = self.peek()
+        self.need(kind in ("quoted", "bare") and value in self.fields)
+        self.i += 1
+        return value
+
+    def phrase(self, columns) -> Phrase:
+        first, words = self.take("^"), []
+        while True:
+            kind, value, star = self.peek()
+            self.need(kind in ("quoted", "bare") and (kind == "quoted" or value not in ("AND", "OR", "NOT")))
+            self.i += 1
+            words += text.fold(value)
+            if star or not self.take("+"):
+                return Phrase(tuple(words), star, columns, first)
+
+    def one(self, columns):
+        own = self.filtered()
+        if own is not None:
+            return self.one(own if columns is None else tuple(c for c in columns if c in own))
         if self.take("("):
-            out = self.either(column)
+            out = self.either(columns)
             self.need(self.take(")"))
             return out
-        kind, value, star = self.peek()
-        self.need(kind in ("quoted", "bare") and value not in ("AND", "OR", "NOT"))
-        self.i += 1
-        if kind == "bare" and self.take(":"):
-            self.need(value in self.fields)
-            return self.one(value)
-        if value == "NEAR" and kind == "bare" and self.take("("):
+        if self.peek()[:2] == ("bare", "NEAR") and self.items[self.i + 1 : self.i + 2] == [("mark", "(", False)]:
+            self.i += 2
             phrases = []
             while not self.peek(")") and not self.peek(","):
-                found = self.one(column)
-                self.need(isinstance(found, Phrase))
-                phrases.append(found)
+                phrases.append(self.phrase(columns))
             distance = 10
             if self.take(","):
                 kind, value, _ = self.peek()
@@ -122,7 +153,7 @@ class _Parser:
                 distance, self.i = int(value), self.i + 1
             self.need(self.take(")") and phrases)
             return Near(tuple(phrases), distance)
-        return Phrase(tuple(text.fold(value)), star, column)
+        return self.phrase(columns)
 
 
 def parse(query: str, fields: tuple[str, ...] = FIELDS):
@@ -135,19 +166,22 @@ def parse(query: str, fields: tuple[str, ...] = FIELDS):
 
 def starts(tokens: DataFrame, phrase: Phrase) -> DataFrame:
     """(node_id, field, start) of each place where the phrase begins."""
-    if phrase.column:
-        tokens = tokens.where(F.col("field") == phrase.column)
+    if phrase.columns is not None:
+        tokens = tokens.where(F.col("field").isin(*phrase.columns) if phrase.columns else F.lit(False))
     last, parts = len(phrase.words) - 1, []
     for i, word in enumerate(phrase.words):
         match = F.col("token").startswith(word) if phrase.prefix and i == last else F.col("token") == word
         parts.append(F.when(match, F.lit(i)))
+    at = (F.col("pos") - F.col("i")).alias("start")
     if not parts:
         return tokens.where("false").select("node_id", "field", F.col("pos").alias("start"))
     if last == 0:
-        return tokens.where(parts[0].isNotNull()).select("node_id", "field", F.col("pos").alias("start"))
-    at = tokens.select("node_id", "field", "pos", F.explode(F.array_compact(F.array(*parts))).alias("i"))
-    runs = at.groupBy("node_id", "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n"))
-    return runs.where(F.col("n") == last + 1).select("node_id", "field", "start")
+        runs = tokens.where(parts[0].isNotNull()).select("node_id", "field", F.col("pos").alias("start"))
+    else:
+        own = tokens.where(F.coalesce(*parts).isNotNull())  # the phrase's words alone are dealt by place
+        own = own.select("node_id", "field", "pos", F.explode(F.array_compact(F.array(*parts))).alias("i"))
+        runs = own.groupBy("node_id", "field", at).agg(F.count_distinct("i").alias("n")).where(F.col("n") == last + 1).select("node_id", "field", "start")
+    return runs.where("start = 0") if phrase.first else runs
 
 
 def matches(tokens: DataFrame, query) -> DataFrame:
@@ -155,15 +189,16 @@ def matches(tokens: DataFrame, query) -> DataFrame:
     if isinstance(query, Phrase):
         return starts(tokens, query).select("node_id").distinct()
     if isinstance(query, Near):
-        found = [starts(tokens, p).select("node_id", "field", "start", (F.col("start") + len(p.words)).alias("end"), F.lit(i).alias("i")) for i, p in enumerate(query.phrases)]
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        # the leftmost phrase's end to each other's start: at most ``distance`` tokens between
-        pairs = every.alias("a").join(every.select("node_id", "field", F.col("start").alias("s"), F.col("i").alias("j")), ["node_id", "field"])
-        pairs = pairs.where((F.col("s") >= F.col("start")) & (F.col("s") - F.col("end") <= query.distance))
-        whole = pairs.groupBy("node_id", "field", "start", "i").agg(F.count_distinct("j").alias("n"))
-        return whole.where(F.col("n") == len(query.phrases)).select("node_id").distinct()
+        every = None
+        for i, p in enumerate(query.phrases):
+            own = starts(tokens, p).select("node_id", "field", "start", F.lit(i).alias("i"))
+            every = own if every is None else every.unionByName(own)
+        # from the leftmost phrase: at most ``distance`` tokens between its end and each other's start
+        place, near = Window.partitionBy("node_id", "field").orderBy("start"), F.lit(False)
+        for i, p in enumerate(query.phrases):
+            reach = place.rangeBetween(0, len(p.words) + query.distance)
+            near = near | ((F.col("i") == i) & (F.size(F.collect_set("i").over(reach)) == len(query.phrases)))
+        return every.withColumn("near", near).where("near").select("node_id").distinct()
     left, right = matches(tokens, query.left), matches(tokens, query.right)
     if query.op == "OR":
         return left.union(right).distinct()

@@ -15,10 +15,14 @@ from ..sources.store import Store, dumps
 from . import publish
 
 
+def _tasks(store: Store, snapshot_id: int, status: str) -> None:
+    """Gives a snapshot's tasks a status; others' stay where they are."""
+    store.put("tasks", store.rows("tasks").where(F.col("snapshot_id") == snapshot_id).withColumn("status", F.lit(status)), part=snapshot_id)
+
+
 def _reject(store: Store, snapshot_id: int, code: str, **detail) -> dict:
     store.add("conflicts", {"snapshot_id": snapshot_id, "code": code, "detail": dumps(detail)})
-    tasks = store.rows("tasks")
-    store.put("tasks", tasks.withColumn("status", F.when(F.col("snapshot_id") == snapshot_id, "failed").otherwise(F.col("status"))))
+    _tasks(store, snapshot_id, "failed")
     return {"ok": False, "status": "staging", "code": code, "snapshot_id": snapshot_id, **detail}
 
 
@@ -38,7 +42,7 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
     revisions = {"source_revision": source_revision, "index_revision": f"bootstrap-{source_revision}", "config_version": config_version}
     store.add("snapshots", {"snapshot_id": snapshot_id, **revisions, "status": "staging"})
     task = found.select(F.concat(F.lit(f"{snapshot_id}:"), "path").alias("task_id"), F.lit(snapshot_id).cast("long").alias("snapshot_id"), "path", F.lit(source_revision).alias("source_revision"), F.lit("running").alias("status"))
-    store.put("tasks", store.rows("tasks").unionByName(task))
+    store.put("tasks", task, part=snapshot_id)
     bad = found.where("not valid").orderBy("path").limit(1).collect()
     if bad:
         return _reject(store, snapshot_id, "PARSE_FAILED", diagnostics=[{"code": "PARSE_FAILED", "path": bad[0].path, "message": "not UTF-8", "detail": {}}])
@@ -65,8 +69,7 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
         publish.publish(store, snapshot_id, expected_parent)
     except CodedError as e:
         return _reject(store, snapshot_id, e.code, active_snapshot=store.active())
-    tasks = store.rows("tasks")
-    store.put("tasks", tasks.withColumn("status", F.when(F.col("snapshot_id") == snapshot_id, "completed").otherwise(F.col("status"))))
+    _tasks(store, snapshot_id, "completed")
     languages = {r.language: r.v for r in parsed.where(supported).groupBy("language").agg(F.max(F.concat_ws("-", "parser_id", "parser_version")).alias("v")).collect()}
     return {"ok": True, "status": "published", "snapshot_id": snapshot_id, "build_id": build_id, **persisted, "parser_versions": languages, "coverage": coverage, "diagnostics": diagnostics}
 
@@ -88,14 +91,17 @@ def sync(store: Store, operation_id: str, baseline_ref: int, source_root: str, t
     touched = graph.saved(graph.affected_nodes(nodes, changes))
     reached = graph.closure(edges, touched)
     stale = graph.affected_mappings(store.rows("mappings").where(F.col("snapshot_id") == baseline_ref), reached)
-    stale_ids = sorted(r.mapping_id for r in stale.select("mapping_id").collect())
+    stale = graph.saved(stale.select("mapping_id"))
     result = build(store, source_root, target_source_revision, config_version, scope, expected_parent=baseline_ref)
-    if result["ok"] and stale_ids:
+    if result["ok"] and not stale.isEmpty():
         mappings = store.rows("mappings")
-        store.put("mappings", mappings.withColumn("status", F.when(F.col("mapping_id").isin(stale_ids), "stale").otherwise(F.col("status"))))
-        store.add("stale_events", *({"mapping_id": i, "dependency_type": "dependency_closure", "old_revision": old, "new_revision": target_source_revision, "reason": "affected by incremental sync", "status": "stale"} for i in stale_ids))
-    ids = lambda df: sorted(r.node_id for r in df.collect())  # noqa: E731  part of the result
-    result |= {"operation_id": operation_id, "changes": [r.asDict() for r in changes.collect()], "affected_node_ids": ids(touched), "closure_node_ids": ids(reached), "stale_mapping_ids": stale_ids}
+        marked = mappings.join(stale, "mapping_id", "left_semi").withColumn("status", F.lit("stale"))
+        store.put("mappings", mappings.join(stale, "mapping_id", "left_anti").unionByName(marked))
+        event = {"dependency_type": "dependency_closure", "old_revision": old, "new_revision": target_source_revision, "reason": "affected by incremental sync", "status": "stale"}
+        store.append("stale_events", stale.select("mapping_id", *(F.lit(v).alias(k) for k, v in event.items())))
+    # ids and changes are part of the result that a caller gets, as one value
+    ids = lambda df, c="node_id": sorted(r[0] for r in df.select(c).toLocalIterator())
+    result |= {"operation_id": operation_id, "changes": [r.asDict() for r in changes.toLocalIterator()], "affected_node_ids": ids(touched), "closure_node_ids": ids(reached), "stale_mapping_ids": ids(stale, "mapping_id")}
     store.add("syncs", {"operation_id": operation_id, "baseline_ref": baseline_ref, "target_source_revision": target_source_revision, "result": dumps(result)})
     return result
 

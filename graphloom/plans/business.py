@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..errors import CodedError
+from ..operators import rows
 from ..sources.store import Store, dumps
 
 # fixed values: the fields a candidate must have
@@ -42,7 +43,9 @@ def mine(store: Store, mode: str, snapshot_id: int, candidates: list[dict]) -> d
     node_id, mapping_id = store.next_id("business_nodes", "business_node_id"), store.next_id("mappings", "mapping_id")
     store.add("business_nodes", *({"business_node_id": node_id + i, "snapshot_id": snapshot_id, "node_type": c["node_type"], "canonical_key": c["canonical_key"], "payload": dumps(c["payload"]), "status": "candidate", **revisions} for i, c in enumerate(candidates)))
     store.add("mappings", *({"review_mode": "manual_review_required", "updated_by": "mining", "anchor_node_ids": [], **{k: v for k, v in c.items() if k in ("requirement_id", "anchor_node_ids", "review_mode", "risk_level", "confidence", "review_batch_id", "updated_by")}, "mapping_id": mapping_id + i, "biz_id": c["biz_id"], "snapshot_id": snapshot_id, "status": "candidate", "version": 1, "evidence_id": c["evidence_refs"][0], "evidence_refs": list(c["evidence_refs"]), "review_required": True} for i, c in enumerate(candidates)))
-    store.add("mapping_evidence", *({"mapping_id": mapping_id + i, "evidence_id": e, "created_by": c.get("updated_by", "mining")} for i, c in enumerate(candidates) for e in c["evidence_refs"]))
+    by = F.coalesce("updated_by", F.lit("mining")).alias("created_by")
+    mined = store.rows("mappings").where(F.col("mapping_id") >= mapping_id)
+    store.append("mapping_evidence", rows.evidence_links(mined).join(mined.select("mapping_id", by), "mapping_id"))
     routes = {(c["term"], c["biz_id"], c["context_id"]): c for c in candidates}
     store.upsert("routes", ["term", "biz_id", "context_id", "snapshot_id"], *({"term": c["term"], "biz_id": c["biz_id"], "context_id": c["context_id"], "summary": c["summary"], "node_scope": dumps(c["node_scope"]), "snapshot_id": snapshot_id} for c in routes.values()))
     store.add("mining_runs", run)
@@ -65,17 +68,22 @@ def resolve(store: Store, term: str, ttl_seconds: int = 300) -> dict:
     at = _active(store)
     found = store.rows("routes").where((F.col("term") == term) & (F.col("snapshot_id") == at)).orderBy("biz_id", "context_id").collect()
     candidates = [{"biz_id": r.biz_id, "context_id": r.context_id, "summary": r.summary, "node_scope": json.loads(r.node_scope)} for r in found]
-    if not candidates:
-        return {"ok": True, "status": "not_found", "candidates": []}
+    asked = store.spark.createDataFrame([(term,)], "query string")
+    routes = store.rows("routes").where(F.col("snapshot_id") == at)
+    status = rows.resolved(routes, asked).first().status
+    if status == "not_found":
+        return {"ok": True, "status": status, "candidates": []}
     token = uuid.uuid4().hex
     store.add("route_tokens", {"token": token, "snapshot_id": at, "candidates": dumps(candidates), "expires_at": int(time.time()) + ttl_seconds})
-    return {"ok": True, "status": "selected" if len(candidates) == 1 else "needs_user_selection", "candidates": candidates, "route_token": token}
+    return {"ok": True, "status": status, "candidates": candidates, "route_token": token}
 
 
 def select(store: Store, token: str, context_id: str) -> dict:
-    row = store.one("route_tokens", token=token)
-    if row is None or row["expires_at"] < int(time.time()):
+    own = store.rows("route_tokens").where(F.col("token") == token)
+    found = own.join(rows.expired(own, int(time.time())), "token", "left_anti").collect()  # one token
+    if not found:
         raise CodedError("ROUTE_TOKEN_EXPIRED")
+    row = found[0].asDict()
     if row["snapshot_id"] != _active(store):
         raise CodedError("SCOPE_MISMATCH")
     chosen = next((c for c in json.loads(row["candidates"]) if c["context_id"] == context_id), None)
@@ -88,15 +96,22 @@ def confirm(store: Store, mapping_id: int, expected_version: int, decision: str,
     """Confirms or rejects a mapping of the expected version, with evidence and an audit row; a stale one can't be confirmed."""
     if decision not in ("confirmed", "rejected") or not evidence_refs:
         raise CodedError("EVIDENCE_REQUIRED")
-    row = store.one("mappings", mapping_id=mapping_id)
-    if row is None or row["version"] != expected_version or (row["status"] == "stale" and decision == "confirmed"):
+    asked = store.spark.createDataFrame([(mapping_id, expected_version, decision)], "mapping_id long, expected_version long, decision string")
+    outcome = rows.confirmed(store.rows("mappings"), asked).first()
+    if not outcome.accepted:
         raise CodedError("CAS_VERSION_MISMATCH")
-    change = {"status": decision, "version": (expected_version or 0) + 1, "evidence_id": evidence_refs[0], "evidence_refs": list(evidence_refs), "review_mode": review_mode or row["review_mode"], "updated_by": updated_by}
+    row = store.one("mappings", mapping_id=mapping_id)
+    change = {"status": outcome.status, "version": outcome.version, "evidence_id": evidence_refs[0], "evidence_refs": list(evidence_refs), "review_mode": review_mode or row["review_mode"], "updated_by": updated_by}
     store.upsert("mappings", ["mapping_id"], row | change)
     store.add("confirmations", {"mapping_id": mapping_id, "decision": decision, "evidence_id": evidence_refs[0], "reason": reason, "evidence_refs": list(evidence_refs), "review_mode": review_mode, "updated_by": updated_by})
     return {"ok": True, "status": decision}
 
 
+def evidence_of(store: Store, mapping_id: int) -> list[dict]:
+    """A mapping's evidence links, by evidence id."""
+    return [r.asDict() for r in store.rows("mapping_evidence").where(F.col("mapping_id") == mapping_id).orderBy("evidence_id").collect()]
+
+
 def replace_evidence(store: Store, mapping_id: int, replacement_id: int) -> None:
     """Names other evidence for a mapping, which is a candidate again."""
     row = store.one("mappings", mapping_id=mapping_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import CodedError
 from ..functions import text
 from ..operators import graph, rows, search
-from ..sources.store import ANY, Store
+from ..sources.store import ANY, Store, dumps
 
 TRIPLE = ("source_revision", "index_revision", "config_version")
 
@@ -71,14 +72,15 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     for part in (every, made):
         part = part.select("evidence_id", *TRIPLE, F.col("path").alias("file_path"), "start_line", F.coalesce("end_line", "start_line").alias("end_line"), F.sha2("cited", 256).alias("snippet_hash"), "parser", F.when(F.col("parser") == "python-ast", "high").otherwise("medium").alias("confidence"), F.to_json(F.struct("language", F.col("parser").alias("parser_id"))).alias("metadata"))
         evidence = part if evidence is None else evidence.unionByName(part)
+    at = uuid.uuid4().hex
     stored = every.select("*", F.col("path").alias("file_path"), F.col("kind").alias("sub_kind")).withColumn("kind", F.lit("Graph"))
-    store.stage(snapshot_id, "nodes", stored)
-    store.stage(snapshot_id, "edges", made)
-    store.stage(snapshot_id, "evidence", evidence)
-    store.stage(snapshot_id, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
+    store.stage(at, "nodes", stored)
+    store.stage(at, "edges", made)
+    store.stage(at, "evidence", evidence)
+    store.stage(at, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
     # the index reads a content hash from payloads, which have none
-    store.stage(snapshot_id, "tokens", search.index(stored.withColumn("content_hash", F.lit(""))))
-    store.settle(snapshot_id)
+    store.stage(at, "tokens", search.index(stored.withColumn("content_hash", F.lit(""))))
+    store.settle(at, snapshot_id)
     return {"node_count": n + m, "edge_count": made.count()}
 
 
@@ -96,9 +98,63 @@ def publish(store: Store, snapshot_id: int, expected_parent=ANY) -> None:
             raise CodedError("REVISION_MISMATCH")
     if not nodes.where("kind = 'Graph' and canonical_key is null").isEmpty():
         raise CodedError("CANONICAL_KEY_REQUIRED")
-    store.upsert("snapshots", ["snapshot_id"], snapshot | {"status": "published"})
-    try:
+    if store.active() != snapshot_id:  # else a writer was lost between the swap and the status
         store.swap(snapshot_id, expected_parent)
-    except CodedError:
-        store.upsert("snapshots", ["snapshot_id"], snapshot)
-        raise
+    store.upsert("snapshots", ["snapshot_id"], snapshot | {"status": "published"})
+
+
+def _staging(store: Store, snapshot_id: int) -> dict:
+    snapshot = store.one("snapshots", snapshot_id=snapshot_id)
+    if snapshot is None:
+        raise CodedError("SNAPSHOT_NOT_FOUND")
+    return snapshot
+
+
+def add_node(store: Store, snapshot_id: int, kind: str, sub_kind: str, revisions: dict, payload: dict) -> int:
+    """Adds one node; what its payload says of key, name and file is read from there."""
+    _staging(store, snapshot_id)
+    node_id = store.last_id("nodes", "node_id") + 1
+    store.insert(snapshot_id, "nodes", {"node_id": node_id, "kind": kind, "sub_kind": sub_kind, **{c: payload.get(c) for c in ("canonical_key", "name", "qualified_name", "file_path", "evidence_id")}, **{c: revisions[c] for c in TRIPLE}, "payload": dumps(payload)})
+    return node_id
+
+
+def add_edge(store: Store, snapshot_id: int, from_node_id: int, to_node_id: int, edge_type: str, revisions: dict, payload: dict) -> int:
+    _staging(store, snapshot_id)
+    edge_id = store.last_id("edges", "edge_id") + 1
+    store.insert(snapshot_id, "edges", {"edge_id": edge_id, "from_node_id": from_node_id, "to_node_id": to_node_id, "edge_type": edge_type, "evidence_id": payload.get("evidence_id"), **{c: revisions[c] for c in TRIPLE}, "payload": dumps(payload)})
+    return edge_id
+
+
+def add_evidence(store: Store, snapshot_id: int, revisions: dict, file_path: str, start_line: int, end_line: int, snippet_hash: str) -> int:
+    _staging(store, snapshot_id)
+    evidence_id = store.last_id("evidence", "evidence_id") + 1
+    store.insert(snapshot_id, "evidence", {"evidence_id": evidence_id, **{c: revisions[c] for c in TRIPLE}, "file_path": file_path, "start_line": start_line, "end_line": end_line, "snippet_hash": snippet_hash})
+    return evidence_id
+
+
+def update_evidence(store: Store, evidence_id: int, snippet_hash: str) -> None:
+    """Evidence is never changed; other evidence can take its place (``business.replace_evidence``)."""
+    raise CodedError("EVIDENCE_IMMUTABLE", evidence_id=evidence_id)
+
+
+def add_artifact(store: Store, snapshot_id: int, canonical_key: str, kind: str, content_hash: str, evidence_id: int | None, payload: dict) -> None:
+    """Adds one manifest; ARTIFACT_CONFLICT if the snapshot has one of that key."""
+    _staging(store, snapshot_id)
+    if not store.part("manifests", snapshot_id).where(F.col("canonical_key") == canonical_key).isEmpty():
+        raise CodedError("ARTIFACT_CONFLICT", canonical_key=canonical_key)
+    store.insert(snapshot_id, "manifests", {"canonical_key": canonical_key, "kind": kind, "content_hash": content_hash, "evidence_id": evidence_id, "payload": dumps(payload)})
+
+
+def _first(df: DataFrame) -> dict | None:
+    found = [r.asDict(recursive=True) for r in df.limit(1).collect()]
+    return found[0] | {"payload": json.loads(found[0]["payload"])} if found else None
+
+
+def node(store: Store, node_id: int) -> dict | None:
+    """The node of an id, of whatever snapshot, with its payload as a dict."""
+    return _first(store.every("nodes").where(F.col("node_id") == node_id))
+
+
+def node_of(store: Store, snapshot_id: int, canonical_key: str) -> dict | None:
+    """The node of a canonical key in a snapshot."""
+    return _first(store.part("nodes", snapshot_id).withColumn("snapshot_id", F.lit(snapshot_id).cast("long")).where(F.col("canonical_key") == canonical_key))

@@ -122,15 +122,15 @@ def shortest_paths(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS a, conv_id * 1000 + turn + 1 AS b FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)),
-r AS (SELECT DISTINCT conv_id * 1000 + turn AS node_id FROM conversations WHERE turn = 1 AND conv_id % 5 = 0
-  UNION SELECT CASE WHEN e.a = r.node_id THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.node_id OR e.b = r.node_id)
+ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT conv_id * 1000 + turn AS node_id FROM conversations WHERE turn = 1 UNION SELECT b FROM r JOIN ab ON a = node_id)
 SELECT node_id FROM r""")
 def closure_undirected(spark, d):
     turns = table(spark, d, "conversations")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn")).distinct()
     at = F.col("conv_id") * 1000 + F.col("turn")
     edges = turns.select("conv_id", "turn").distinct().join(after, ["conv_id", "turn"]).select(at.alias("from_node_id"), (at + 1).alias("to_node_id"))
-    return graph.closure(edges, turns.where("turn = 1 AND conv_id % 5 = 0").select(at.alias("node_id")))
+    return graph.closure(edges, turns.where("turn = 1").select(at.alias("node_id")))
 
 
 @query(f"WITH {G_SQL} SELECT node_id FROM g_nodes WHERE file_path IN (SELECT 'nation/' || n_name || '.py' FROM nation WHERE n_nationkey % 3 = 0) OR file_path IN (SELECT 'region/' || r_name || '.py' FROM region WHERE r_regionkey = 1)")

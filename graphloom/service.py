@@ -24,7 +24,7 @@ def _search(store: Store, query: str, limit: int = 20) -> dict:
     found = search.search_or_fail(store.part("nodes", snapshot["snapshot_id"]), store.part("tokens", snapshot["snapshot_id"]), query, limit)
     ref = knowledge.snapshot_ref(snapshot)
     rows = [r.asDict() for r in found.select(*NODE_COLUMNS, "matched_fields", "score", "evidence_id").collect()]
-    return {"ok": True, "snapshot_ref": ref, "nodes": [{**r, "payload": json.loads(r["payload"]), "evidence_refs": [r.pop("evidence_id")], "snapshot_ref": ref} for r in rows]}
+    return {"ok": True, "snapshot_ref": ref, "nodes": [{**r, "payload": json.loads(r["payload"]), "evidence_refs": [x for x in [r.pop("evidence_id")] if x is not None], "snapshot_ref": ref} for r in rows], "degraded": False}
 
 
 def _expand(store: Store, node_ids: list[int], depth: int = 1, node_budget: int = 100, edge_budget: int = 100, direction: str = "out", edge_types: list[str] = (), node_scope: dict | None = None) -> dict:
@@ -82,6 +82,7 @@ def run(spark: SparkSession, command: str, root: str, **params) -> dict:
         return {"ok": False, "code": e.code}
 
 
+# fixed values of the protocol
 PROTOCOL = "2025-03-26"
 #: methods that may be called by name, with their parameters
 METHODS = {
@@ -172,19 +173,46 @@ class Rpc:
                 sink.flush()
 
 
-def main(argv: list[str] | None = None) -> int:
-    """``graphloom COMMAND --root DIR [--params JSON]``; exit status 0 if the result is ok."""
-    parser = argparse.ArgumentParser(prog="graphloom", description="Versioned property graphs on Spark.")
+#: the command line's options, by the type of the parameter they give: text, whole numbers, repeated ones, JSON
+TEXTS = ("source_root", "query", "direction", "operation_id", "target_source_revision", "dataset_id", "golden_set_version", "document_kind", "document_scope", "template_version", "generator_version", "manifest_id", "target", "idempotency_key", "decision", "reason", "review_mode", "updated_by", "mining_mode", "query_text", "route_token", "context_id")
+NUMBERS = ("expected_parent", "limit", "depth", "node_budget", "edge_budget", "baseline_ref", "minimum_samples", "mapping_id", "expected_version", "snapshot_id", "ttl_seconds")
+REPEATED = {"scope": "scope", "exclude": "exclude", "node_id": "node_ids", "edge_type": "edge_types"}
+JSONS = ("node_scope", "samples", "tool_versions", "evidence_refs", "candidates")
+MANIFEST = ("project", "workspace", "source_revision", "config_version")
+
+
+def parsed(argv: list[str] | None = None) -> tuple[str, str, dict]:
+    """(command, root, parameters) of a command line."""
+    parser = argparse.ArgumentParser(prog="graphloom", description="Versioned property graphs on Spark.", argument_default=argparse.SUPPRESS)
     parser.add_argument("command", choices=[*COMMANDS, "stdio"])
-    parser.add_argument("--root", default=".graphloom")
-    parser.add_argument("--params", type=json.loads, default={}, help="the command's parameters as a JSON object")
-    args = parser.parse_args(argv)
+    parser.add_argument("--root", "--database", default=".graphloom")
+    parser.add_argument("--params", type=json.loads, default={}, help="parameters as a JSON object")
+    flag = lambda name: f"--{name.replace('_', '-')}"
+    for name in (*TEXTS, *MANIFEST):
+        parser.add_argument(flag(name), choices=graph.DIRECTIONS if name == "direction" else None)
+    for name in NUMBERS:
+        parser.add_argument(flag(name), type=int)
+    for name, own in REPEATED.items():
+        parser.add_argument(flag(name), dest=own, action="append", type=int if name == "node_id" else str)
+    for name in JSONS:
+        parser.add_argument(f"{flag(name)}-json", dest=name, type=json.loads)
+    given = vars(parser.parse_args(argv))
+    command, root, params = given.pop("command"), given.pop("root"), given.pop("params")
+    own = {k: given.pop(k) for k in MANIFEST if k in given}
+    if command in ("init", "bootstrap"):
+        params = {"manifest": control.default_manifest(root, **own), **params}
+    return command, root, {**given, **params}
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``graphloom COMMAND [--root DIR] [options]``; exit status 0 if the result is ok."""
+    command, root, params = parsed(argv)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     runner = lambda command, root, **p: run(spark, command, root, **p)
-    if args.command == "stdio":
-        Rpc(runner, args.root).serve(sys.stdin, sys.stdout)
+    if command == "stdio":
+        Rpc(runner, root).serve(sys.stdin, sys.stdout)
         return 0
-    result = runner(args.command, args.root, **args.params)
+    result = runner(command, root, **params)
     print(json.dumps(result, sort_keys=True, default=str))
     return 0 if result.get("ok") else 1
 

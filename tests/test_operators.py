@@ -85,7 +85,7 @@ def test_closure_and_errors(spark, g):
 
 @pytest.mark.parametrize(
     ("query", "expected"),
-    [("order", [1, 2]), ("lookup_order", [1]), ('"service.run"', [3]), ("ord*", [1, 2, 4]), ("order NOT lookup", [2]), ("lookup OR run", [1, 3]), ("name : order", [1, 2]), ("file_path : order", []), ("cafe", [4]), ("order AND (lookup OR cafe)", [1]), ("NEAR(lookup order, 0)", [1]), ("NEAR(order lookup, 0)", [1]), ("lookup py", [1]), ('"order lookup"', [])],
+    [("order", [1, 2]), ("lookup_order", [1]), ('"service.run"', [3]), ("ord*", [1, 2, 4]), ("order NOT lookup", [2]), ("lookup OR run", [1, 3]), ("name : order", [1, 2]), ("file_path : order", []), ("cafe", [4]), ("order AND (lookup OR cafe)", [1]), ("NEAR(lookup order, 0)", [1]), ("NEAR(order lookup, 0)", [1]), ("lookup py", [1]), ('"order lookup"', []), ("^order", [2]), ("lookup + order", [1]), ("name : lookup + ord*", [1]), ("{name file_path} : order", [1, 2]), ("- name : run", [3]), ("-{name qualified_name file_path} : run", []), ("name : (file_path : lookup)", []), ("^ lookup", [1])],
 )
 def test_search(spark, query, expected):
     nodes = spark.createDataFrame([(1, "lookup_order", "lookup_order", "a/lookup.py", ""), (2, "order", "x.order", "b.py", None), (3, "run", "service.run", "c.py", ""), (4, "Café ordinal", None, "d", "")], "node_id long, name string, qualified_name string, file_path string, content_hash string")
@@ -93,7 +93,7 @@ def test_search(spark, query, expected):
     assert [r.node_id for r in found.collect()] == expected
 
 
-@pytest.mark.parametrize("query", ["", "service.run", "a-b", "(a", "a OR", "nothing : x", "NEAR(a, b", "NOT a"])
+@pytest.mark.parametrize("query", ["", "service.run", "a-b", "(a", "a OR", "nothing : x", "NEAR(a, b", "NOT a", "- a", "{name : x", "a +", "^", "{nothing} : x"])
 def test_search_syntax(query):
     with pytest.raises(CodedError, match="QUERY_SYNTAX_INVALID"):
         search.parse(query)
