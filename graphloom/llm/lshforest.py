@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components, salted
 from . import common
 
 WORDS = 5
@@ -42,7 +43,6 @@ DEPTH = 8
 TARGET = 0.999
 BLOCK = 1024
 SMALL = 128
-SALTS = 16
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -104,29 +104,6 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float = THRESHOL
     return common_ >= threshold * union - 1e-6
 
 
-def salted(big: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """An inner join on ``key``, of which ``small`` holds each value once; a value's rows of ``big`` go to ``salts`` tasks."""
-    small = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(small, [key, "__salt"]).drop("__salt")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each node's connected component, for the nodes of ``edges`` (a, b).
-
-    Each round every node takes the least label around it, then its label's label; labels are checkpointed.
-    """
-    both = common.checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = common.checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    while True:
-        around = salted(both, labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        near = labels.join(around, "node").select("node", F.least("root", "least").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = common.checkpointed(salted(near, jump, "root").select("node", F.least("root", "next").alias("root"), "old"))
-        labels = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
-
-
 def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, roots: bool = False) -> DataFrame:
     """For each row: the id, __row (a key of id and text), class_id (least id of its group of near duplicates), copy_id (least id
     of texts with its shingle set), n_copies (rows with that set), n_links (other sets linked to it); with ``roots`` also
