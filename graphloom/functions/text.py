@@ -94,3 +94,9 @@ def script_targets(importer: str, source: str) -> list[str]:
 def script_targets_of(importers: pd.Series, sources: pd.Series) -> pd.Series:
     """``script_targets`` of columns; none unless the import is relative."""
     return pd.Series([script_targets(a, b) if a and b and b.startswith(".") else [] for a, b in zip(importers, sources, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def module(paths: pd.Series) -> pd.Series:
+    """``module_name`` of a column of paths."""
+    return paths.map(lambda p: None if p is None else module_name(p))

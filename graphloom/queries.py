@@ -402,7 +402,7 @@ def parser_selection(spark, d):
 
 @query(f"WITH {FILES_SQL} SELECT doc_id, replace(regexp_replace(regexp_replace(path, '\\.py$', ''), '/__init__$', ''), '/', '.') AS module FROM f WHERE path LIKE '%.py'")
 def module_names(spark, d):
-    return d_files(spark, d).where(F.col("path").endswith(".py")).select("doc_id", F.translate(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), "/", ".").alias("module"))
+    return d_files(spark, d).where(F.col("path").endswith(".py")).select("doc_id", text.module("path").alias("module"))
 
 
 @query("""SELECT event_id, '{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS payload, sha256('{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS content_hash FROM events""")
@@ -464,7 +464,74 @@ def active_published(spark, d):
     return own.join(snapshots.groupBy("status").agg(F.count("*").alias("n")), "status").select("status", F.col("active").alias("snapshot_id"), "n")
 
 
-@query()
-def extract_python_graph(spark, d):
-    sources = [("pkg/service.py", "import os\nfrom .tools import helper as h\n\nclass A:\n    def run(self):\n        return h(len([]))\n\ndef go():\n    return A()\n"), ("pkg/App.java", "package p;\nimport java.util.List;\npublic class App extends Base {\n  public void go() { helper(); }\n}\n")]
-    return extract.edges(extract.parsed(spark.createDataFrame(sources, "path string, source string"))).select("edge_type", "source_key", "target_key", "path", "start_line")
+#: a file of each language for each nation (<k>) and its region (<r>), and the edges (type, source, target, line) it is to give, where $ stands for its identity
+#: (a method without a body has the next braces' content for one, as the code surveyed has it)
+FILES = {
+    "python": ("pkg/n<k>.py", "pkg.n<k>", "import os\nfrom .regions import r<r> as h\n\nclass A<k>:\n    def run(self):\n        return h(len([]))\n\ndef go():\n    return A<k>()\n", """
+imports module:$ module:os 1
+imports module:$ module:pkg.regions 2
+contains module:$ class:$.A<k> 4
+contains class:$.A<k> function:$.A<k>.run 5
+calls function:$.A<k>.run import:pkg.regions.r<r> 6
+calls function:$.A<k>.run unresolved:len 6
+contains module:$ function:$.go 8
+calls function:$.go class:$.A<k> 9"""),
+    "java": ("src/N<k>.java", "demo.r<r>@src/N<k>.java", "package demo.r<r>;\nimport java.util.List;\ninterface Greeter { void greet(); }\nclass Base {}\nclass N<k> extends Base implements Greeter {\n    // class Fake {}\n    public void greet() { Helper.run(\"new No()\"); new Worker(); }\n}\n", """
+contains package:$ interface:$.Greeter 3
+contains interface:$.Greeter method:$.Greeter.greet 3
+contains package:$ class:$.Base 4
+contains package:$ class:$.N<k> 5
+contains class:$.N<k> method:$.N<k>.greet 7
+imports package:$ import:$.java.util.List 2
+extends class:$.N<k> class:$.Base 5
+implements class:$.N<k> interface:$.Greeter 5
+calls method:$.N<k>.greet external:Worker 7
+calls method:$.N<k>.greet external:Helper.run 7"""),
+    "go": ("cmd/n<k>.go", "r<r>@cmd/n<k>.go", "package r<r>\nimport \"fmt\"\nimport (\n    alias \"net/http\"\n)\ntype User<k> struct { Name string }\ntype Runner interface { Run() }\nfunc main() { fmt.Println(\"hi\") }\nfunc (u User<k>) Run() { main() }\n", """
+contains package:$ struct:$.User<k> 6
+contains package:$ interface:$.Runner 7
+contains package:$ function:$.main 8
+contains package:$ method:$.Run 9
+imports package:$ import:$.fmt 2
+imports package:$ import:$.net/http 4
+calls function:$.main external:fmt.Println 8
+calls method:$.Run function:$.main 9"""),
+    "script": ("src/n<k>.ts", "src.n<k>@src/n<k>.ts", "import { helper as h<r> } from './helper';\nexport interface Service { run(): void }\nexport class App<k> implements Service {\n    run() { h<r>(); obj[method](); }\n}\nexport function start() { new App<k>().run(); }\n", """
+contains module:$ interface:$.Service 2
+contains interface:$.Service method:$.Service.run 2
+contains module:$ class:$.App<k> 3
+contains class:$.App<k> method:$.App<k>.run 4
+contains module:$ function:$.start 6
+imports module:$ import:$../helper 1
+implements class:$.App<k> interface:$.Service 3
+calls method:$.Service.run external:h<r> 2
+calls method:$.Service.run method:$.Service.run 2
+calls method:$.Service.run unresolved:obj[method] 2
+calls method:$.App<k>.run external:h<r> 4
+calls method:$.App<k>.run unresolved:obj[method] 4
+calls function:$.start class:$.App<k> 6
+calls function:$.start method:$.Service.run 6
+defines export:$.Service interface:$.Service 2
+defines export:$.run method:$.Service.run 2
+defines export:$.App<k> class:$.App<k> 3
+defines export:$.start function:$.start 6"""),
+}
+
+
+def extracted(language: str):
+    path, identity, source, edges = FILES[language]
+    filled = lambda x: f"replace(replace(replace({x}, '$', '{identity}'), '<k>', CAST(n_nationkey AS VARCHAR)), '<r>', CAST(n_regionkey AS VARCHAR))"
+    values = ", ".join("('{}', '{}', '{}', {})".format(*line.split()) for line in edges.strip().splitlines())
+    sql = f"""SELECT edge_type, {filled("source_key")} AS source_key, {filled("target_key")} AS target_key, {filled(f"'{path}'")} AS path, start_line FROM nation, (VALUES {values}) AS t(edge_type, source_key, target_key, start_line)"""
+
+    def run(spark, d):
+        fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("<k>"), F.col("n_nationkey").cast("string")), F.lit("<r>"), F.col("n_regionkey").cast("string"))
+        found = extract.parsed(table(spark, d, "nation").select(fill(path).alias("path"), fill(source).alias("source")))
+        return extract.edges(found).select("edge_type", "source_key", "target_key", "path", "start_line")
+
+    run.__name__ = f"extract_{language}_graph"
+    return query(sql)(run)
+
+
+for _language in FILES:
+    extracted(_language)
