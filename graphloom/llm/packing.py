@@ -31,6 +31,7 @@ from . import common
 
 SEQUENCE = 1024
 END_ID = 0
+SPAN = 1 << 21  # bytes of text encoded together
 LAST = 1e12  # beyond the cost of any whole sequence
 
 
@@ -67,6 +68,19 @@ class Encoder:
             visible |= (before >= 128) & (lead >= least) & (lead < (0xE0, 0xF0, 0xF8)[back - 2])
         return at[visible & ((after > 32) & (after < 127) | (after >= 0xC3) & ~np.isin(after, (0xE1, 0xE2, 0xE3)))]
 
+    def long(self, text: bytes, end_id: int, size: int = 1 << 21) -> np.ndarray:
+        """The ids of one text of any length and the end id, worked out in pieces."""
+        data, parts, a = np.frombuffer(text, np.uint8), [], 0
+        while a < len(text):
+            b = min(len(text), a + size)
+            while b < len(text) and not len(cuts := self._cuts(data[a:b])):
+                b = min(len(text), b + size)
+            if b < len(text):
+                b = a + int(cuts[-1])
+            parts.append(self.batch([text[a:b]], end_id)[0][:-1])
+            a = b
+        return np.append(np.concatenate(parts), np.uint32(end_id))
+
     def batch(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and where each text's begin."""
         odd = {i: self.bpe.encode(x.decode(), allowed_special="all") for i, x in enumerate(texts) if any(s.encode() in x for s in self.special)}
@@ -231,11 +245,15 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str
         for batch in batches:
             id_type = batch.column(0).type
             ids, own = batch.column(0).to_pylist(), common.texts(batch.column(1))
-            for some in common.spans(own, 2 << 20):
-                coded, offsets = encoder.batch(own[some], end_id)
+            for some in common.spans(own, SPAN):
+                if len(own[some.start]) > SPAN:
+                    made = [encoder.long(own[some.start], end_id)]
+                else:
+                    coded, offsets = encoder.batch(own[some], end_id)
+                    made = [coded[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 keys += ids[some]
-                held += [coded[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                tokens += len(coded)
+                held += made
+                tokens += sum(map(len, made))
                 if tokens >= block_tokens:
                     yield from flush()
         if keys:

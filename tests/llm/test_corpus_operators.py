@@ -530,6 +530,8 @@ def test_packing(docs, rows, empty):
     encoder = packing.Encoder(vocabulary)
     ids, offsets = encoder.batch([x.encode() for x in extra], 0)
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*e.ids, 0] for e in reference.encode_batch(extra, add_special_tokens=False)]
+    long = " ".join(extra * 40) + "x" * 3000 + " and é the end"
+    assert encoder.long(long.encode(), 0, 500).tolist() == [*reference.encode(long, add_special_tokens=False).ids, 0]
     found = packing.pack(docs, vocabulary, emit_ids=True, block_tokens=5000).collect()
     sequences, documents = defaultdict(list), defaultdict(list)
     for r in found:

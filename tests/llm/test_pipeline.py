@@ -82,3 +82,20 @@ def test_pack_and_run(spark, stages):
     assert {r[0] for r in before} == {r[0] for r in after}
     whole = corpus_pipeline.run(spark, str(folder)).collect()
     assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in whole) == sorted((str(r[0]), r[1], r[2], r[3]) for r in after)
+
+
+def test_stages_of_empty_tables_and_extra_columns(spark, tmp_path):
+    """Every stage of an empty table is empty; columns that ``documents`` doesn't have, clashing ones among them, are left out."""
+    names = (*corpus_pipeline.COLUMNS, "n_words", "score", "class_id", "n_removed", "sequence_id", "root", "node")
+    kinds = ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{text} and {i} of these are here", "en", "s", 1, *["clash"] * 7) for i in range(8)] + [(None, None, None, None, None, *[None] * 7), (8, "", "en", None, None, *["x"] * 7)]
+    for name, own in (("none", []), ("some", rows)):
+        docs = spark.createDataFrame(own, kinds)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, "")
+            last = i == len(corpus_pipeline.STAGES) - 1
+            assert last or tuple(out.columns) == corpus_pipeline.COLUMNS
+            out.write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+        assert docs.isEmpty() == (not own)
