@@ -2,15 +2,19 @@
 
 Each stage works on all that its predecessor kept.  A stage's result is written and read again before the next.
 
-1. ``language``: documents of no learned language go: those without a letter, and those of whose letter n-grams
-   the best language holds under ``LEAST_SHARE`` of what it holds of its own labelled documents' (their median;
-   the larger the table, the more rare n-grams no language holds).
+1. ``language``: documents of no learned language go: those without a letter (null and empty texts among them), and
+   those of whose letter n-grams the best language holds under ``LEAST_SHARE`` of what it holds of its own labelled
+   documents' (their median).
 2. ``lines``: runs of lines that some document has had before go; documents stay.
 3. ``near``: one document of each group of near duplicates stays, that of least id.
 4. ``substrings``: words covered by a run of 35 words that occurs elsewhere too go; documents stay.
 5. ``pack``: the rest is packed into sequences.
 
-A document whose text a stage empties stays, with an empty text; null texts stay out after stage 1.
+A document whose text a stage empties stays, with an empty text; null texts stay out after stage 1.  Null ids, languages and
+sources are values like any other.  Rows that repeat id and text are documents each until stage 3, where one stays.  Of
+equal candidates the least id, then the least key of id and text is first.  Texts of any length are read whole; stage 5
+cuts documents over sequences.  Of an empty table every stage is empty.  Columns that ``documents`` doesn't have are left
+out, so none can clash.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ def shaped(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = common.checkpointed(langid.identify(docs, keep=COLUMNS, stored=False).where(F.col("lang_pred") != langid.UNDETERMINED))
+    found = common.stored(langid.identify(docs, keep=COLUMNS, stored=False).where(F.col("lang_pred") != langid.UNDETERMINED))
     usual = found.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
     found = found.join(F.broadcast(usual), "lang_pred", "left")  # a row for each learned language
     return shaped(found.where(F.col("score") >= LEAST_SHARE * F.coalesce("usual", F.lit(1.0))))
