@@ -10,6 +10,7 @@ an executor is lost.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which takes less room than a checkpoint where texts are in it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the column as text, modulo ``divisor``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -155,7 +155,9 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     reached = matched.groupBy("node").agg(F.max("depth").alias("reached"))
     levels = levels.join(reached, "node", "left").withColumn("reached", F.coalesce("reached", F.lit(prefix)))
     tops = levels.groupBy("at", "depth").agg(F.min("node").alias("top"), F.min("reached").alias("least"), F.count("*").alias("n")).where("n > 1 and least <= depth").select("at", "top")
-    candidates = salted(levels.select("at", "node"), tops, "at").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+    # in each tree a class hangs on the top of the shortest prefix that some class there has come down to
+    hung = salted(levels.select("at", "node", F.col("at.trie").alias("trie")), tops, "at").groupBy("trie", "node").agg(F.min_by("top", "at.depth").alias("top"))
+    candidates = hung.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
     clusters = components(candidates)
     each = F.greatest(F.lit(min(block, SMALL)), F.least(F.lit(block), F.col("n") / 16))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
