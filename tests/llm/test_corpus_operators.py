@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import common, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
+from graphloom.llm import common, exchange, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string"
@@ -673,3 +673,23 @@ def test_forest_shortens_to_its_target():
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
     n = lshforest.enough(24, 0.999)
     assert 1 - (1 - n / 24) ** 24 >= 0.999 > 1 - (1 - (n - 1) / 24) ** 24
+
+
+def test_questions_come_back_in_their_order():
+    rng = np.random.default_rng(12)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    arrays = [keys, rng.integers(0, 9, 1000).astype("<u4"), rng.random(7).astype("<f4"), np.empty(0, np.int64), np.arange(5, dtype=np.uint8)]
+    back = exchange.load(exchange.dump(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True)) and len(back) == len(arrays)
+    groups = np.sort(rng.integers(0, 50, 1000).astype(np.uint64))
+    order, asked, borders = exchange.placed(groups, 7)
+    assert sorted(order.tolist()) == list(range(1000)) and borders[0] == 0 and borders[-1] == 1000
+    of = {}
+    for shard, a, b in zip(asked.tolist(), borders[:-1], borders[1:], strict=True):
+        own = order[a:b]
+        assert (np.diff(own) > 0).all()
+        for g in set(groups[own].tolist()):
+            assert of.setdefault(g, shard) == shard  # all keys of a group go to one shard
+    places = common.Places(keys)
+    some = rng.choice(keys, 5000)
+    assert (keys[places.of(some)] == some).all() and len(places.of(keys[:0])) == 0
