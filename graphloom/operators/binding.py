@@ -19,24 +19,28 @@ def visible_candidates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     A candidate has the edge's language and symbol.  It is visible from its own package, or through an import of
     the source or of the source's module that names its module, itself, or (relative imports of scripts) its file.
     """
-    asked = edges.where("symbol is not null").select("edge_id", "source_key", "language", "symbol")
-    source = nodes.select(F.col("canonical_key").alias("source_key"), F.col("module_identity").alias("source_module"), F.col("package_identity").alias("source_package"), F.col("path").alias("source_path"))
     candidate = nodes.where(F.col("kind").isin(*BINDABLE)).select("language", F.col("name").alias("symbol"), F.col("canonical_key").alias("c_key"), F.col("kind").alias("c_kind"), F.col("module_identity").alias("c_module"), F.col("package_identity").alias("c_package"), F.col("path").alias("c_path"))
-    pairs = asked.join(candidate, ["language", "symbol"]).join(source, "source_key", "left")
+    source = nodes.select(F.col("canonical_key").alias("source_key"), F.col("module_identity").alias("source_module"), F.col("package_identity").alias("source_package"), F.col("path").alias("source_path"))
+    asked = edges.where("symbol is not null").select("edge_id", "source_key", "language", "symbol").join(source, "source_key", "left")
     imports = edges.where("edge_type = 'imports'").select(F.col("source_key").alias("at"), F.col("language").alias("i_language"), F.col("module").alias("i_module"), F.col("import").alias("i_import"), F.col("import_source").alias("i_source"), "imported_symbol", F.coalesce("alias", "imported_symbol").alias("i_alias"))
     places = F.array_distinct(F.array_compact(F.array("source_key", F.concat(F.lit("module:"), "source_module"))))
-    asked_at = pairs.select("edge_id", "symbol", "source_path", places.alias("places")).dropDuplicates(["edge_id"])
-    seen = asked_at.select("edge_id", "symbol", "source_path", F.explode("places").alias("at")).join(imports, "at")
+    seen = asked.select("edge_id", "language", "symbol", "source_path", F.explode(places).alias("at")).join(imports, "at")
     relative = F.col("i_language").isin("javascript", "typescript") & F.col("i_source").startswith(".") & F.col("imported_symbol").isNotNull() & (F.col("i_alias") == F.col("symbol"))
-    seen = seen.withColumn("relative", F.coalesce(relative, F.lit(False))).withColumn("targets", text.script_targets_of("source_path", "i_source"))
+    seen = seen.withColumn("relative", F.coalesce(relative, F.lit(False)))
+    # each way to see a candidate is a join on what makes it visible, so a name that many share meets few of its kind
+    by_package = asked.where("source_package <> ''").withColumn("c_package", F.col("source_package")).join(candidate, ["language", "symbol", "c_package"])
+    modules = F.array_distinct(F.array_compact(F.array("i_module", "i_import", F.lit(""))))  # a candidate of no module is seen through any import
+    by_module = seen.withColumn("c_module", F.explode(modules)).join(candidate, ["language", "symbol", "c_module"])
     named = F.regexp_replace(F.coalesce("i_module", "i_import"), "^(module:)?(import:)?", "")
-    by_name = named == F.concat_ws(".", "c_package", "symbol")
-    by_file = F.col("relative") & (F.col("c_kind") == "function") & (F.col("language") == F.col("i_language")) & F.array_contains("targets", F.col("c_path")) & (F.col("imported_symbol") == F.col("symbol"))
-    imported = F.coalesce(by_file, F.lit(False)) | F.coalesce(F.col("i_module") == F.col("c_module"), F.lit(False)) | F.coalesce(F.col("i_import") == F.col("c_module"), F.lit(False)) | F.coalesce((F.col("c_package") != "") & by_name, F.lit(False)) | F.coalesce(F.col("c_module") == "", F.lit(False))
-    joined = pairs.join(seen.drop("symbol", "source_path"), "edge_id", "left")
-    same = F.coalesce((F.col("source_package") != "") & (F.col("source_package") == F.col("c_package")), F.lit(False))
-    judged = joined.groupBy("edge_id", "c_key").agg(F.bool_or(F.coalesce("relative", F.lit(False)) & (F.col("c_kind") != "function")).alias("barred"), F.bool_or(same | (F.col("at").isNotNull() & imported)).alias("seen"))
-    return judged.where("seen and not barred").select("edge_id", F.col("c_key").alias("target_key"))
+    by_name = seen.withColumn("named", named).join(candidate.where("c_package <> ''").withColumn("named", F.concat_ws(".", "c_package", "symbol")), ["language", "symbol", "named"])
+    files = seen.where("relative and imported_symbol = symbol and language = i_language").withColumn("c_path", F.explode(text.script_targets_of("source_path", "i_source")))
+    by_file = files.join(candidate.where("c_kind = 'function'"), ["language", "symbol", "c_path"])
+    found = None
+    for way in (by_package, by_module, by_name, by_file):
+        own = way.select("edge_id", "c_key", "c_kind")
+        found = own if found is None else found.unionByName(own)
+    barred = seen.where("relative").select("edge_id", F.explode(F.array(*(F.lit(k) for k in BINDABLE if k != "function"))).alias("c_kind")).distinct()  # a relative import of a script names functions only
+    return found.distinct().join(barred, ["edge_id", "c_kind"], "left_anti").select("edge_id", F.col("c_key").alias("target_key"))
 
 
 def bind(edges: DataFrame, nodes: DataFrame) -> DataFrame:

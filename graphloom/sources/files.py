@@ -31,12 +31,11 @@ def scan(spark: SparkSession, root: str, scope: list[str], exclude: list[str] =
         return spark.createDataFrame([], SCHEMA)
     names = spark.createDataFrame(found, "path string, full string")
     names = names.where(text.under(F.col("path"), list(scope)) & ~text.under(F.col("path"), list(exclude)))
-    chosen = {r.full: r.path for r in names.collect()}  # a scope's file names
+    chosen = [r.full for r in names.collect()]  # a scope's file names, which a reader takes as a list
     if not chosen:
         return spark.createDataFrame([], SCHEMA)
+    before = len(found[0][1]) - len(found[0][0])
     escaped = ["".join(f"\\{c}" if c in "{}[]*?\\" else c for c in full) for full in chosen]
-    read = spark.read.format("binaryFile").load(escaped)
-    relative = spark.createDataFrame(list(chosen.items()), "full string, relative string")
-    out = read.select(F.col("path").alias("full"), "content").join(F.broadcast(relative), "full")  # names of files, as listed above
+    out = spark.read.format("binaryFile").load(escaped).select(F.substring("path", before + 1, 1 << 30).alias("path"), "content")
     whole = F.col("content").cast("string")
-    return out.select(F.col("relative").alias("path"), F.when(F.is_valid_utf8(whole), whole).alias("source"), F.is_valid_utf8(whole).alias("valid"))
+    return out.select("path", F.when(F.is_valid_utf8(whole), whole).alias("source"), F.is_valid_utf8(whole).alias("valid"))
