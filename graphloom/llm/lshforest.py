@@ -104,6 +104,14 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float = THRESHOL
     return common_ >= threshold * union - 1e-6
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components as these, of which each ``a`` has a few: each a and all it hangs on are hung on the
+    least of them, so a large group whose members hang on the same few has one link for each member."""
+    own = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.collect_set("b").alias("all"))
+    own = own.select(F.explode(F.array_append("all", F.col("a"))).alias("a"), F.col("least").alias("b"))
+    return own.where("a <> b").distinct()
+
+
 def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, roots: bool = False) -> DataFrame:
     """For each row: the id, __row (a key of id and text), class_id (least id of its group of near duplicates), copy_id (least id
     of texts with its shingle set), n_copies (rows with that set), n_links (other sets linked to it); with ``roots`` also
@@ -157,7 +165,7 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     tops = levels.groupBy("at", "depth").agg(F.min("node").alias("top"), F.min("reached").alias("least"), F.count("*").alias("n")).where("n > 1 and least <= depth").select("at", "top")
     # in each tree a class hangs on the top of the shortest prefix that some class there has come down to
     hung = salted(levels.select("at", "node", F.col("at.trie").alias("trie")), tops, "at").groupBy("trie", "node").agg(F.min_by("top", "at.depth").alias("top"))
-    candidates = hung.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")).distinct()
+    candidates = contracted(hung.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
     clusters = components(candidates)
     each = F.greatest(F.lit(min(block, SMALL)), F.least(F.lit(block), F.col("n") / 16))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
@@ -191,8 +199,10 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
                 b = b + len(sides[0])
             else:
                 n, a, b = np.zeros(len(names), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-            top = np.arange(len(names))
-            while len(a):  # the least root of what is linked here
+            order = np.array(sorted(range(len(names)), key=names.__getitem__))
+            place = np.argsort(order)
+            names, n, a, b, top = [names[k] for k in order], n[order], place[a], place[b], np.arange(len(names))
+            while len(a):  # the least of what is linked here
                 before = top.copy()
                 np.minimum.at(top, a, top[b])
                 np.minimum.at(top, b, top[a])
@@ -217,7 +227,7 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     found = texts.mapInArrow(spread, spread_kind).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compare, "node binary, n long, top binary")
     found = common.checkpointed(found)
     links = found.groupBy("node").agg(F.sum("n").alias("n_links"))
-    near = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
+    near = components(contracted(found.select(F.col("node").alias("a"), F.col("top").alias("b"))))
     grouped = classes.join(near, "node", "left").join(links, "node", "left").select("node", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     root = [F.col("root").alias("__root")] if roots else []

@@ -75,21 +75,23 @@ def counted(texts: list[bytes], learned: np.ndarray, order: int = ORDER) -> tupl
     """The distinct pairs of some texts, ascending, and how often those to learn from have them."""
     keys, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for use in (True, False):
-        for _, held in stretches([x for x, y in zip(texts, learned.tolist(), strict=True) if y == use], order, 4 * STRETCH):
-            own = np.sort(pairs(held, order)[0])
+        for _, held in stretches([x for x, y in zip(texts, learned.tolist(), strict=True) if y == use], order, 2 * STRETCH):
+            own = pairs(held, order)[0]
+            own.sort()
             first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
             keys.append(own[first])
             n.append(np.diff(np.append(first, len(own))) * use)
-    return summed(np.concatenate(keys), np.concatenate(n))[:2]
+    return summed(np.concatenate(keys), np.concatenate(n), numbered=False)[:2]
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, n: np.ndarray, numbered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(distinct keys, sum of their n, number of each row's key)."""
     order = np.argsort(keys, kind="stable")
-    own = keys[order]
+    own, number = keys[order], None
     new = np.diff(own, prepend=~own[:1]) != 0
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
+    if numbered:
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     return own[first], np.add.reduceat(n[order], first) if len(first) else n[:0], number
 
