@@ -24,7 +24,6 @@ for least.  A long text is read whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np

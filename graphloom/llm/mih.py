@@ -30,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-
 BITS = 256
 SAMPLE = 4096
 CALIBRATION = 64
