@@ -61,3 +61,15 @@ degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
 FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN cls USING (k) LEFT JOIN class ON node = copy_id LEFT JOIN degree ON a = copy_id
 """
+
+ORACLES["op13_relational_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(i)),
+m AS (SELECT *, length(t) + length(t) - length(replace(t, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all(t, '#{3,}'), lambda x: length(x) - 2)), 0) + len(regexp_extract_all(t, '</(turn|part)>')) AS size,
+  length(role) + length(role) - length(replace(role, '\', '')) + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)), 0) + len(regexp_extract_all(role, '</(turn|part)>|:\n')) AS head,
+  coalesce(role = lag(role) OVER w, false) AS goes_on, coalesce(role = lead(role) OVER w, false) AS is_gone_on FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN goes_on THEN 7 ELSE 6 + head END + size + CASE WHEN is_gone_on THEN 0 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

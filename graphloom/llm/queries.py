@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, substrings
+from . import chat, common, kneser_ney, langid, linechunks, lshforest, mih, packing, ppm, rules, segment, spelling, substrings, whiten
 from .oracles import ORACLES
 
 table = common.table
@@ -64,8 +64,29 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.groups(table(spark, sf_dir, "documents")).drop("__row")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_block_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": role, "text": F.lit(r"\### Assistant: </turn> ok")}
+    rows = rows.unionByName(spark.range(2).select(*(c.cast(kinds[n]).alias(n) for n, c in own.items())))
+    found, said = chat.read(chat.formatted(rows)), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
+    turns, learned = chat.glued(F.transform("turns", said)), chat.glued(F.col("learned"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    found = found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return found.select("conv_id", "n_turns", "turns_sha256", F.length("learned").cast("long").alias("loss_chars"), digest(F.col("learned")).alias("loss_sha256"), "formatted_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_bitmask, op2_gumbel_segmentations, op3_partial_matching, op4_adaptive_rules, op5_multi_index, op6_kneser_ney, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest)
+    f.__name__: f for f in (op1_language_bitmask, op2_gumbel_segmentations, op3_partial_matching, op4_adaptive_rules, op5_multi_index, op6_kneser_ney, op7_line_chunks, op8_cost_balanced_packing, op9_repeated_windows, op10_lsh_forest, op11_spelling_variants, op12_block_lanczos, op13_relational_chat)
 }
 
 
