@@ -6,11 +6,13 @@ crc32 of ``<id>:<run>``, a letter is left out.  Tasks sum up the words of some M
 
 A word's mask has a bit for each of the 90 letters: whether it occurs an odd number of times.  A replacement flips two bits, an
 insertion or deletion one.  The mask is split into three bands of 30 bits (letter i of the alphabet is in band i mod 3), so
-near words have an equal band; words are dealt by (band, its bits), and inside such a bucket those of equal length, or of
-lengths one apart, whose other bands differ by exactly two bits, or one, are compared letter by letter.  A pair with
-several equal bands counts in the first.  A bucket of m words is cut into blocks that meet each other in tasks of their own
-(m / 2,048 of them, 16 up to a million words, m / 65,536 beyond), so no task holds a bucket; a task tells for each word
-how many near words it met and the best of them, not the pairs.
+near words have an equal band, and more is known of them: either two bands are equal, or one, and then the words are of one
+length and each of the other bands has one flip, so both change the parity of their bits.  So words are dealt by each two
+bands, to be compared with those of their length (two flips in the third band) or of one letter more (one flip), and by
+each band with the length and the joint parity of the others, to be compared with those of the other parity.  Pairs whose
+flips fit are verified letter by letter; each near pair is in exactly one of these buckets.  A large bucket is cut into
+blocks that meet each other in tasks of their own (of 8,192 words, or a sixteenth of it, but 65,536 at most), so no task
+holds a bucket; a task tells for each word how many near words it met and the best of them, not the pairs.
 
 A word's form is its near word of most occurrences (ties: the first in the order of code points) if it has at least twice
 the word's own; its root is where the forms lead, found by pointer jumping, as many rounds as the logarithm of the
@@ -39,7 +41,7 @@ LENGTH = 5
 TIMES = 3
 PIECE = 1 << 20
 SPAN = 4 << 20
-SMALL, LARGE = 2048, 65_536
+SMALL, LARGE = 8192, 65_536
 SALTS = 8
 BANDS = 3
 FACTOR = 2  # occurrences of a form in those of its variant
@@ -141,21 +143,20 @@ def bands(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def masked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word of (word, n) with its bits, once for each band; ``rest`` has the other two, the earlier first."""
+    """Each word of (word, n) in its six buckets, with the bits that these don't fix, and its side where only two sides are compared."""
     for b in batches:
         if len(b):
             own = [x.encode("latin-1") for x in b.column(0).to_pylist()]
             size = np.array(list(map(len, own)))
             m = bands(np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size).astype(np.uint64)
+            odd = np.bitwise_count(m).astype(np.uint64) & np.uint64(1)
+            words, u = pa.array(own, pa.binary()), np.uint64
             for band in range(BANDS):
-                low, high = (m[:, j] for j in range(BANDS) if j != band)
-                rest = (low | high << np.uint64(32)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((m[:, band] | np.uint64(band << 32)).view(np.int64)), pa.array(rest), pa.array(own, pa.binary()), b.column(1)], ["bucket", "rest", "word", "n"])
-
-
-#: by band, which bits of ``rest`` are those of an earlier band; a pair that has one of these equal counts there
-_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF << 32)
-EARLIER = ((), (_LOW,), (_LOW, _HIGH))
+                low, high = (j for j in range(BANDS) if j != band)
+                one = u(band << 60) | m[:, band] << u(30) | size.astype(u) << u(1) | odd[:, low] ^ odd[:, high]
+                two = u(band + BANDS << 60) | m[:, low] << u(30) | m[:, high]
+                for bucket, rest, side in ((one, m[:, low] | m[:, high] << u(32), odd[:, low].astype(np.int32)), (two, m[:, band], np.full(len(own), -1, np.int32))):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(side), words, b.column(1)], ["bucket", "rest", "side", "word", "n"])
 
 
 class Block:
@@ -163,7 +164,7 @@ class Block:
 
     def __init__(self, bucket: np.ndarray, side: np.ndarray, rest: np.ndarray, word: list[bytes], n: np.ndarray):
         size = np.array(list(map(len, word)))
-        by = np.lexsort((size, bucket))
+        by = np.lexsort((side, size, bucket))
         self.bucket, self.side, self.rest, self.size, self.n = bucket[by], side[by], rest[by].view(np.uint64), size[by], n[by]
         self.word = [word[i] for i in by.tolist()]
         self.letters = np.frombuffer(b"".join(self.word), np.uint8)
@@ -175,41 +176,38 @@ class Block:
         self.near, self.best = np.zeros(len(word), np.int64), np.full(len(word), len(word))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Candidates (a, b), b as long as a or one longer, with the flips that their edit makes; those of small buckets row by row
-        at each distance, those of large ones in squares."""
+        """Candidates (a, b), b as long as a or one longer, whose flips fit; those of small buckets row by row at each distance, those
+        of large ones in rectangles."""
         first = np.flatnonzero(np.diff(self.bucket, prepend=~self.bucket[:1]))
         last = np.append(first[1:], len(self.bucket))
         small = np.repeat(last - first <= 64, last - first)
-        # rows are in the order of bucket and length; upto: where words of the next length end
+        # rows are in the order of bucket, length and side; upto: where words of the next length end
         place = np.repeat(np.arange(len(first)), last - first) * (int(self.size.max()) + 3) + self.size
         upto = np.searchsorted(place, place + 1, side="right")
         live, distance = np.flatnonzero(small), 1
         while len(live := live[live + distance < upto[live]]):
-            yield from self.fit(live, live + distance, np.bitwise_count(self.rest[live] ^ self.rest[live + distance]))
+            fits = np.bitwise_count(self.rest[live] ^ self.rest[live + distance]) + (self.size[live + distance] - self.size[live]) == 2
+            yield from self.apart(live[fits], live[fits] + distance)
             distance += 1
         for a, z in zip(first.tolist(), last.tolist(), strict=True):
             if z - a > 64:
                 cuts = [a, *(np.flatnonzero(np.diff(self.size[a:z])) + 1 + a).tolist(), z]
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     end = int(upto[i])
-                    step = max(1, (1 << 21) // (end - i))
-                    for k in range(i, j, step):
-                        flips = np.bitwise_count(self.rest[k : min(k + step, j), None] ^ self.rest[None, k:end])
-                        longer = np.zeros(end - k, np.uint8)
-                        longer[j - k :] = 1
-                        p, q = np.nonzero(flips == 2 - longer)
-                        keep = q > p
-                        yield from self.fit(p[keep] + k, q[keep] + k, flips[p[keep], q[keep]])
-
-    def fit(self, a: np.ndarray, b: np.ndarray, flips: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of candidates those whose flips and lengths fit, that are of both sides if there are two, and that count in this band."""
-        ok = flips + (self.size[b] - self.size[a]) == 2
-        a, b = a[ok], b[ok]
+                    middle = i + int(np.searchsorted(self.side[i:j], 1)) if self.bucket[i] >> 60 < BANDS else j
+                    step = max(1, (1 << 20) // (end - i))
+                    for k in range(i, middle, step):
+                        start = middle if middle < j else k
+                        flips = np.bitwise_count(self.rest[k : min(k + step, middle), None] ^ self.rest[None, start:end])
+                        wanted = np.full(end - start, 2, np.uint8)
+                        wanted[j - start :] = 1
+                        p, q = np.divmod(np.flatnonzero(flips == wanted), end - start)
+                        p, q = p + k, q + start
+                        yield from self.apart(p[q > p], q[q > p])
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of candidates those of both sides, where there are two."""
         ok = (self.side[a] != self.side[b]) | (self.side[a] < 0)
-        band, x = self.bucket[a] >> 32, self.rest[a] ^ self.rest[b]
-        for i, masks in enumerate(EARLIER):
-            for m in masks:
-                ok &= (band != i) | (x & m != 0)
         if ok.any():
             yield a[ok], b[ok]
 
@@ -276,15 +274,18 @@ def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near(counted: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best) of each word of (word, n) that has near words."""
-    spread = counted.mapInArrow(masked, "bucket long, rest long, word binary, n long")
+    spread = counted.mapInArrow(masked, "bucket long, rest long, side int, word binary, n long")
     each = F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.col("m") / 16))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / each).cast("int").alias("blocks"))
     salt = F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")
     met = spread.withColumn("salt", salt).join(sizes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["bucket", "salt"])
     own = F.pmod(F.xxhash64("word", F.lit(1)), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select("bucket", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise(F.col("own")).alias("side"), "rest", "word", "n")
+    # of two sides every block of one meets every block of the other; else blocks meet each other, and themselves, once
+    sided, i, j = F.col("side") >= 0, F.least("own", "other"), F.greatest("own", "other")
+    i, j = F.when(~sided, i).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(~sided, j).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    side = F.when(sided, F.col("side")).when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    met = met.select("bucket", i.alias("i"), j.alias("j"), side.alias("side"), "rest", "word", "n")
     tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work goes with the square of rows, so small ones are not put together
     found = met.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compared, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("least"), F.col("best").alias("best"))).alias("top")
