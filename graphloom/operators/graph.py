@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CodedError
@@ -20,11 +20,17 @@ DIRECTIONS = ("out", "in", "both")
 SALTS = 16
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder that the cluster names; a local one only where it names none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a local one only where it names none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CodedError
 from ..functions import text
+from .postings import Stored, matching
 
 FIELDS = ("name", "qualified_name", "file_path", "content_hash")
 
@@ -164,14 +165,15 @@ def parse(query: str, fields: tuple[str, ...] = FIELDS):
     return out
 
 
-def starts(tokens: DataFrame, phrase: Phrase) -> DataFrame:
-    """(node_id, field, start) of each place where the phrase begins."""
-    if phrase.columns is not None:
+def starts(tokens: DataFrame | Stored, phrase: Phrase) -> DataFrame:
+    """(node_id, field, start) of each place where the phrase begins; of a stored index only the phrase's words are read."""
+    if isinstance(tokens, Stored):
+        tokens = tokens.tokens(phrase.words, phrase.prefix, phrase.columns)
+    elif phrase.columns is not None:
         tokens = tokens.where(F.col("field").isin(*phrase.columns) if phrase.columns else F.lit(False))
     last, parts = len(phrase.words) - 1, []
     for i, word in enumerate(phrase.words):
-        match = F.col("token").startswith(word) if phrase.prefix and i == last else F.col("token") == word
-        parts.append(F.when(match, F.lit(i)))
+        parts.append(F.when(matching(F.col("token"), word, phrase.prefix and i == last), F.lit(i)))
     at = (F.col("pos") - F.col("i")).alias("start")
     if not parts:
         return tokens.where("false").select("node_id", "field", F.col("pos").alias("start"))
@@ -184,8 +186,8 @@ def starts(tokens: DataFrame, phrase: Phrase) -> DataFrame:
     return runs.where("start = 0") if phrase.first else runs
 
 
-def matches(tokens: DataFrame, query) -> DataFrame:
-    """node_id of each node that the parsed query matches, once."""
+def matches(tokens: DataFrame | Stored, query) -> DataFrame:
+    """node_id of each node that the parsed query matches, once; ``tokens`` are rows of ``index`` or an index stored."""
     if isinstance(query, Phrase):
         return starts(tokens, query).select("node_id").distinct()
     if isinstance(query, Near):
@@ -205,13 +207,13 @@ def matches(tokens: DataFrame, query) -> DataFrame:
     return left.join(right, "node_id", "left_anti" if query.op == "NOT" else "left_semi")
 
 
-def search(nodes: DataFrame, tokens: DataFrame, query: str, limit: int = 20, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def search(nodes: DataFrame, tokens: DataFrame | Stored, query: str, limit: int = 20, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The first ``limit`` matching nodes by node_id, with constant matched_fields and score."""
     found = nodes.join(matches(tokens, parse(query, fields)), "node_id", "left_semi").orderBy("node_id").limit(limit)
     return found.withColumns({"matched_fields": F.array(F.lit("name"), F.lit("qualified_name")), "score": F.lit(1.0)})
 
 
-def search_or_fail(nodes: DataFrame, tokens: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_or_fail(nodes: DataFrame, tokens: DataFrame | Stored, query: str, limit: int = 20) -> DataFrame:
     """``search``; with no hit and no index rows at all, INDEX_UNAVAILABLE."""
     out = search(nodes, tokens, query, limit)
     if out.isEmpty() and tokens.isEmpty():

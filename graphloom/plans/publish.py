@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import CodedError
 from ..functions import text
-from ..operators import graph, rows, search
+from ..operators import graph, postings, rows, search
 from ..sources.store import ANY, Store, dumps
 
 TRIPLE = ("source_revision", "index_revision", "config_version")
@@ -79,11 +79,19 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     store.stage(at, "evidence", evidence)
     store.stage(at, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
     # the index reads a content hash from payloads, which have none
-    store.stage(at, "tokens", search.index(stored.withColumn("content_hash", F.lit(""))))
+    postings.write(search.index(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
     store.settle(at, snapshot_id)
     return {"node_count": n + m, "edge_count": made.count()}
 
 
+def rebuild_index(store: Store, snapshot_id: int) -> None:
+    """Indexes a snapshot's nodes anew, those that were added one by one too; until the new one is in place, searches find none."""
+    _staging(store, snapshot_id)
+    nodes = store.part("nodes", snapshot_id).withColumn("content_hash", F.lit(""))
+    names = {c: F.coalesce(F.col(c), F.lit("")) for c in search.FIELDS}
+    store.replace_index(snapshot_id, lambda path: postings.write(search.index(nodes.withColumns(names)), path))
+
+
 def publish(store: Store, snapshot_id: int, expected_parent=ANY) -> None:
     """Checks a staged snapshot's revisions and keys, and makes it the active one."""
     snapshot = store.one("snapshots", snapshot_id=snapshot_id)

@@ -21,7 +21,7 @@ NODE_COLUMNS = ("node_id", "kind", "sub_kind", "canonical_key", "payload")
 
 def _search(store: Store, query: str, limit: int = 20) -> dict:
     snapshot = store.published()
-    found = search.search_or_fail(store.part("nodes", snapshot["snapshot_id"]), store.part("tokens", snapshot["snapshot_id"]), query, limit)
+    found = search.search_or_fail(store.part("nodes", snapshot["snapshot_id"]), store.index(snapshot["snapshot_id"]), query, limit)
     ref = knowledge.snapshot_ref(snapshot)
     rows = [r.asDict() for r in found.select(*NODE_COLUMNS, "matched_fields", "score", "evidence_id").collect()]
     return {"ok": True, "snapshot_ref": ref, "nodes": [{**r, "payload": json.loads(r["payload"]), "evidence_refs": [x for x in [r.pop("evidence_id")] if x is not None], "snapshot_ref": ref} for r in rows], "degraded": False}
