@@ -38,7 +38,7 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
         raise CodedError("ARTIFACT_CONFLICT", build=build_id)
     found = files.scan(spark, source_root, scope, exclude)
     store.add("builds", {"build_id": build_id, "source_root": source_root, "source_revision": source_revision, "scope": dumps(list(scope)), "exclude": dumps(list(exclude)), "parsers": dumps(registry.summary()), "config_version": config_version})
-    snapshot_id = store.next_id("snapshots", "snapshot_id")
+    snapshot_id = store.lease("snapshots", 1, "snapshot_id") + 1
     revisions = {"source_revision": source_revision, "index_revision": f"bootstrap-{source_revision}", "config_version": config_version}
     store.add("snapshots", {"snapshot_id": snapshot_id, **revisions, "status": "staging"})
     task = found.select(F.concat(F.lit(f"{snapshot_id}:"), "path").alias("task_id"), F.lit(snapshot_id).cast("long").alias("snapshot_id"), "path", F.lit(source_revision).alias("source_revision"), F.lit("running").alias("status"))
@@ -94,11 +94,14 @@ def sync(store: Store, operation_id: str, baseline_ref: int, source_root: str, t
     stale = graph.saved(stale.select("mapping_id"))
     result = build(store, source_root, target_source_revision, config_version, scope, expected_parent=baseline_ref)
     if result["ok"] and not stale.isEmpty():
-        mappings = store.rows("mappings")
-        marked = mappings.join(stale, "mapping_id", "left_semi").withColumn("status", F.lit("stale"))
-        store.put("mappings", mappings.join(stale, "mapping_id", "left_anti").unionByName(marked))
         event = {"dependency_type": "dependency_closure", "old_revision": old, "new_revision": target_source_revision, "reason": "affected by incremental sync", "status": "stale"}
-        store.append("stale_events", stale.select("mapping_id", *(F.lit(v).alias(k) for k, v in event.items())))
+
+        def marked() -> dict:
+            """The rows as they are now, of which another may have changed some since."""
+            held = store.rows("mappings").join(stale, "mapping_id", "left_semi")
+            return {"mappings": held.withColumn("status", F.lit("stale")), "stale_events": stale.select("mapping_id", *(F.lit(v).alias(k) for k, v in event.items()))}
+
+        store.together(marked)
     # ids and changes are part of the result that a caller gets, as one value
     ids = lambda df, c="node_id": sorted(r[0] for r in df.select(c).toLocalIterator())
     result |= {"operation_id": operation_id, "changes": [r.asDict() for r in changes.toLocalIterator()], "affected_node_ids": ids(touched), "closure_node_ids": ids(reached), "stale_mapping_ids": ids(stale, "mapping_id")}

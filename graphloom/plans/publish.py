@@ -18,14 +18,14 @@ from ..sources.store import ANY, Store, dumps
 TRIPLE = ("source_revision", "index_revision", "config_version")
 
 
-def numbered(df: DataFrame, order: list[str], column: str, after: int) -> DataFrame:
-    """Consecutive numbers in the order of ``order``, from ``after`` + 1, without a single-task sort."""
+def numbered(df: DataFrame, order: list[str], column: str) -> tuple[DataFrame, int]:
+    """(numbers from 1 in the order of ``order``, without a single-task sort; how many rows there are)."""
     spread = graph.saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes, before = {}, after
+    sizes, before = {}, 0
     for r in spread.groupBy("__part").count().orderBy("__part").collect():  # one row a partition
         sizes[r["__part"]], before = before, before + r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("__part")) if sizes else F.lit(after)
-    return spread.withColumn(column, offset.cast("long") + F.col("__at") + 1).drop("__part", "__at")
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("__part")) if sizes else F.lit(0)
+    return spread.withColumn(column, offset.cast("long") + F.col("__at") + 1).drop("__part", "__at"), before
 
 
 @F.pandas_udf(T.StringType())
@@ -53,15 +53,20 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     if not rows.duplicate_keys(nodes, "canonical_key").isEmpty() or not nodes.where("canonical_key is null or canonical_key = ''").isEmpty() or not store.part("nodes", snapshot_id).isEmpty():
         raise CodedError("ARTIFACT_CONFLICT")
     stamp = {c: F.lit(snapshot[c]) for c in TRIPLE}
-    first_node, first_edge, first_evidence = store.last_id("nodes", "node_id"), store.last_id("edges", "edge_id"), store.last_id("evidence", "evidence_id")
-    own = numbered(nodes, ["path", "position"], "node_id", first_node).withColumns(stamp)
-    n = own.count()
-    made = numbered(edges.withColumn("file_path", F.col("path")).withColumn("edge_id", F.struct("path", "position")).transform(graph.first_edges), ["path", "position"], "edge_id_", first_edge).drop("edge_id").withColumnRenamed("edge_id_", "edge_id").withColumns(stamp)
+    # numbers from 1 become ids when it is known how many are to be leased
+    own, n = numbered(nodes, ["path", "position"], "at")
+    first_node = store.lease("nodes", n, "node_id")
+    own = own.withColumn("node_id", F.col("at") + first_node).withColumns(stamp)
+    made, e = numbered(edges.withColumn("file_path", F.col("path")).withColumn("edge_id", F.struct("path", "position")).transform(graph.first_edges), ["path", "position"], "at")
+    first_edge = store.lease("edges", e, "edge_id")
+    made = made.withColumn("edge_id", F.col("at") + first_edge).drop("at").withColumns(stamp)
     outside = graph.external_nodes(made, own).join(made.select("edge_id", "path", "start_line", F.col("payload").alias("edge_payload"), "parser", "language"), "edge_id")
-    outside = numbered(outside, ["edge_id", "side"], "node_id", first_node + n).withColumns(stamp).withColumns({"kind": F.lit("external"), "end_line": F.col("start_line"), "payload": F.lit('{"external": true}')})
-    m = outside.count()
+    outside, m = numbered(outside, ["edge_id", "side"], "at")
+    first_outside = store.lease("nodes", m, "node_id")
+    outside = outside.withColumn("node_id", F.col("at") + first_outside).withColumns(stamp).withColumns({"kind": F.lit("external"), "end_line": F.col("start_line"), "payload": F.lit('{"external": true}')})
+    first_evidence = store.lease("evidence", n + m + e, "evidence_id")
     shared = ["node_id", "canonical_key", "kind", "name", "path", "start_line", "end_line", "payload", "parser", "language", *TRIPLE]
-    every = own.select(*shared, F.col("payload").alias("cited")).unionByName(outside.select(*shared, F.col("edge_payload").alias("cited"))).withColumn("evidence_id", F.col("node_id") - first_node + first_evidence)
+    every = own.select(*shared, F.col("payload").alias("cited"), F.col("at").alias("evidence_id")).unionByName(outside.select(*shared, F.col("edge_payload").alias("cited"), (F.col("at") + n).alias("evidence_id"))).withColumn("evidence_id", F.col("evidence_id") + first_evidence)
     every = every.withColumn("parsed", F.col("payload")).withColumn("payload", enveloped("payload", envelope("canonical_key", "name")))
     every = graph.saved(every.withColumn("qualified_name", F.coalesce(F.get_json_object("payload", "$.qualified_name"), F.lit(""))))
     ids = every.select("node_id", F.coalesce(F.when(F.col("kind") == "external", F.expr("substring(canonical_key, 10)")), F.col("canonical_key")).alias("key"))
@@ -81,7 +86,7 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     # the index reads a content hash from payloads, which have none
     postings.write(search.index(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
     store.settle(at, snapshot_id)
-    return {"node_count": n + m, "edge_count": made.count()}
+    return {"node_count": n + m, "edge_count": e}
 
 
 def rebuild_index(store: Store, snapshot_id: int) -> None:
@@ -108,7 +113,7 @@ def publish(store: Store, snapshot_id: int, expected_parent=ANY) -> None:
         raise CodedError("CANONICAL_KEY_REQUIRED")
     if store.active() != snapshot_id:  # else a writer was lost between the swap and the status
         store.swap(snapshot_id, expected_parent)
-    store.upsert("snapshots", ["snapshot_id"], snapshot | {"status": "published"})
+    store.upsert("snapshots", snapshot | {"status": "published"})  # the only change there is to a staged snapshot's row
 
 
 def _staging(store: Store, snapshot_id: int) -> dict:
@@ -121,21 +126,21 @@ def _staging(store: Store, snapshot_id: int) -> dict:
 def add_node(store: Store, snapshot_id: int, kind: str, sub_kind: str, revisions: dict, payload: dict) -> int:
     """Adds one node; what its payload says of key, name and file is read from there."""
     _staging(store, snapshot_id)
-    node_id = store.last_id("nodes", "node_id") + 1
+    node_id = store.lease("nodes", 1, "node_id") + 1
     store.insert(snapshot_id, "nodes", {"node_id": node_id, "kind": kind, "sub_kind": sub_kind, **{c: payload.get(c) for c in ("canonical_key", "name", "qualified_name", "file_path", "evidence_id")}, **{c: revisions[c] for c in TRIPLE}, "payload": dumps(payload)})
     return node_id
 
 
 def add_edge(store: Store, snapshot_id: int, from_node_id: int, to_node_id: int, edge_type: str, revisions: dict, payload: dict) -> int:
     _staging(store, snapshot_id)
-    edge_id = store.last_id("edges", "edge_id") + 1
+    edge_id = store.lease("edges", 1, "edge_id") + 1
     store.insert(snapshot_id, "edges", {"edge_id": edge_id, "from_node_id": from_node_id, "to_node_id": to_node_id, "edge_type": edge_type, "evidence_id": payload.get("evidence_id"), **{c: revisions[c] for c in TRIPLE}, "payload": dumps(payload)})
     return edge_id
 
 
 def add_evidence(store: Store, snapshot_id: int, revisions: dict, file_path: str, start_line: int, end_line: int, snippet_hash: str) -> int:
     _staging(store, snapshot_id)
-    evidence_id = store.last_id("evidence", "evidence_id") + 1
+    evidence_id = store.lease("evidence", 1, "evidence_id") + 1
     store.insert(snapshot_id, "evidence", {"evidence_id": evidence_id, **{c: revisions[c] for c in TRIPLE}, "file_path": file_path, "start_line": start_line, "end_line": end_line, "snippet_hash": snippet_hash})
     return evidence_id
 
