@@ -2,7 +2,8 @@
 
 Edges are (edge_id, from_node_id, to_node_id, edge_type, ...), nodes (node_id, canonical_key, file_path, ...), both
 already of one snapshot.  ``levels`` and ``closure`` are distributed throughout and have no bound on what they
-reach; ``expand`` obeys budgets edge by edge, so it takes at most ``edge_budget`` rows to the driver.
+reach; ``expand`` obeys budgets edge by edge and gives its result as one value, so it takes at most ``edge_budget`` rows to
+the driver; ``expand_frames`` obeys the same budgets with the executors.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CodedError
@@ -140,6 +141,78 @@ def expand(nodes: DataFrame, edges: DataFrame, node_ids: list[int], depth: int =
     return out
 
 
+@dataclass
+class Frames:
+    """An expansion that stays with the executors: ``edges`` with position (from 1) and level, ``nodes`` discovered with position, level
+    and path, how many nodes are covered (seeds among them) and edges met, whether a budget ended it."""
+
+    edges: DataFrame
+    nodes: DataFrame
+    covered: int
+    met: int
+    truncated: bool
+
+
+def counted_before(df: DataFrame, order: str, flags: tuple[str, ...]) -> DataFrame:
+    """``df`` with, for each flag, ``<flag>_before``: how many rows that come before by ``order`` have it.
+
+    Two passes over ranges of ``order``: what each range holds (a row a range goes to the driver), then running counts inside
+    each range from what the ranges before it hold.
+    """
+    dealt = saved(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
+    held = dealt.groupBy("__part").agg(*(F.count_if(f).alias(f) for f in flags)).orderBy("__part").collect()
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out, sums = dealt, dict.fromkeys(flags, 0)
+    offsets = {f: [] for f in flags}
+    for r in held:
+        for f in flags:
+            offsets[f] += [F.lit(r["__part"]), F.lit(sums[f])]
+            sums[f] += r[f]
+    for f in flags:
+        start = F.create_map(*offsets[f])[F.col("__part")] if held else F.lit(0)
+        out = out.withColumn(f"{f}_before", (start + F.coalesce(F.count_if(f).over(inside), F.lit(0))).cast("long"))
+    return out.drop("__part")
+
+
+def expand_frames(edges: DataFrame, seeds: DataFrame, depth: int = 1, node_budget: int = 100, edge_budget: int = 100, direction: str = "out", edge_types: tuple[str, ...] = (), scope: DataFrame | None = None) -> Frames:
+    """``expand`` for budgets of any size: nothing but counts comes to the driver.  ``scope``: node_id of the nodes that are let in.
+
+    In a level, rows are in the order of edge_id.  An edge is kept if its other end was seen before or is in scope, and
+    discovers that end if it is the first kept edge there.  The level ends before the first row that finds the edge budget used
+    up by the kept rows before it, or that discovers a node when the node budget is used up by those before it.
+    """
+    if direction not in DIRECTIONS:
+        raise CodedError("INVALID_DIRECTION")
+    start = saved(seeds.select("node_id").distinct().select("node_id", F.lit(0).cast("long").alias("position"), F.lit(0).alias("level"), F.array("node_id").alias("path")))
+    covered, met, truncated = start.count(), 0, False
+    seen = frontier = start
+    found = steps(edges, start.where("false"), direction).drop("current", "other").select(F.lit(0).cast("long").alias("position"), F.lit(0).alias("level"), "*")
+    for level in range(1, depth + 1):
+        own = saved(steps(edges, frontier, direction, edge_types))
+        ends = own.groupBy("other").agg(F.min("edge_id").alias("__first"))  # ends are looked up once each, however many edges meet there
+        ends = ends.join(seen.select(F.col("node_id").alias("other"), F.lit(True).alias("__seen")), "other", "left")
+        allowed = F.lit(True)
+        if scope is not None:
+            ends, allowed = ends.join(scope.select(F.col("node_id").alias("other"), F.lit(True).alias("__let")).distinct(), "other", "left"), F.coalesce("__let", F.lit(False))
+        ends = ends.select("other", "__first", F.coalesce("__seen", F.lit(False)).alias("__seen"), allowed.alias("__let"))
+        rows = salted(own, ends, "other").withColumn("kept", F.col("__seen") | F.col("__let")).withColumn("new", ~F.col("__seen") & F.col("__let") & (F.col("edge_id") == F.col("__first")))
+        rows = counted_before(rows.drop("__first", "__seen", "__let"), "edge_id", ("kept", "new"))
+        full = (F.col("kept_before") + met >= edge_budget) | (F.col("new") & (F.col("new_before") + covered >= node_budget))
+        end = rows.agg(F.min(F.when(full, F.col("edge_id")))).first()[0]
+        rows = rows.where("kept")
+        rows = rows if end is None else rows.where(F.col("edge_id") < end)
+        own = rows.select((F.col("kept_before") + met + 1).alias("position"), F.lit(level).alias("level"), *edges.columns)
+        new = rows.where("new").select(F.col("other").alias("node_id"), "current", (F.col("new_before") + 1).alias("position"))
+        before = frontier.select(F.col("node_id").alias("current"), F.col("path").alias("__path"))
+        new = saved(salted(new, before, "current").select("node_id", (F.col("position") + covered).alias("position"), F.lit(level).alias("level"), F.concat("__path", F.array("node_id")).alias("path")))
+        found, seen, frontier = found.unionByName(own), seen.unionByName(new), new
+        n, more = rows.count(), new.count()
+        met, covered, truncated = met + n, covered + more, end is not None
+        if truncated or not more:
+            break
+    return Frames(found, seen.where("level > 0"), covered, met, truncated)
+
+
 def salted(big: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
     """An inner join on ``key``, of which ``small`` holds each value once; a value's rows of ``big`` go to ``salts`` tasks."""
     small = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
@@ -164,11 +237,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """``components`` of ``edges`` (a, b), from the labels (node, root) of what they were before edges were added and removed.
+
+    Only the components that lost an edge are computed anew; edges added join labels, as a graph of roots that has an edge
+    for each of them at most.  The rest of the labels is read once and stays.
+    """
+    ends = lambda e: e.where("a <> b").select(F.col("a").alias("node")).union(e.where("a <> b").select(F.col("b").alias("node"))).distinct()
+    torn = saved(labels.join(ends(removed), "node", "left_semi").select("root").distinct())
+    apart = saved(salted(labels, torn, "root").select("node"))
+    inner = edges.join(apart.select(F.col("node").alias("a")), "a", "left_semi").join(apart.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    labels = saved(labels.join(torn, "root", "left_anti").select("node", "root").unionByName(components(inner)))
+    known = ends(added).join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("fresh"))
+    known = saved(known)
+    at = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    bridges = added.where("a <> b").join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    joined = components(bridges.where("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("to")).where("root <> to")
+    labels = labels.unionByName(known.where("fresh").select("node", "root"))
+    return labels.join(joined, "root", "left_anti").select("node", "root").unionByName(salted(labels, joined, "root").select("node", F.col("to").alias("root")))
+
+
+def connected(labels: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node of all that labels (node, root) connect to the seeds (node), themselves included."""
+    roots = labels.join(seeds.select("node"), "node", "left_semi").select("root").distinct()
+    return salted(labels, roots, "root").select("node").union(seeds.select("node")).distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node_id of all that is connected to the seeds (themselves included), direction ignored."""
     labels = components(edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b")))
-    roots = labels.join(seeds.select(F.col("node_id").alias("node")), "node", "left_semi").select("root").distinct()
-    return salted(labels, roots, "root").select(F.col("node").alias("node_id")).union(seeds.select("node_id")).distinct()
+    return connected(labels, seeds.select(F.col("node_id").alias("node"))).select(F.col("node").alias("node_id"))
 
 
 def affected_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:

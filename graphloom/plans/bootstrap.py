@@ -87,9 +87,11 @@ def sync(store: Store, operation_id: str, baseline_ref: int, source_root: str, t
     old = store.one("snapshots", snapshot_id=baseline_ref)["source_revision"]
     if changes is None:
         changes = feed.git_changes(store.spark, source_root, old, target_source_revision, scope)
-    nodes, edges = store.part("nodes", baseline_ref), store.part("edges", baseline_ref)
+    nodes = store.part("nodes", baseline_ref)
     touched = graph.saved(graph.affected_nodes(nodes, changes))
-    reached = graph.closure(edges, touched)
+    keys = publish.node_key(nodes)
+    near = graph.connected(store.part("components", baseline_ref), keys.join(touched, "node_id", "left_semi"))
+    reached = graph.saved(graph.salted(keys, near, "node").select("node_id"))
     stale = graph.affected_mappings(store.rows("mappings").where(F.col("snapshot_id") == baseline_ref), reached)
     stale = graph.saved(stale.select("mapping_id"))
     result = build(store, source_root, target_source_revision, config_version, scope, expected_parent=baseline_ref)

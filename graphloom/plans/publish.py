@@ -83,12 +83,32 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     store.stage(at, "edges", made)
     store.stage(at, "evidence", evidence)
     store.stage(at, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
+    store.stage(at, "components", components(store, made.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")).distinct()))
     # the index reads a content hash from payloads, which have none
     postings.write(search.index(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
     store.settle(at, snapshot_id)
     return {"node_count": n + m, "edge_count": e}
 
 
+def links(edges: DataFrame) -> DataFrame:
+    """(a, b): the keys that a snapshot's edges connect."""
+    return edges.select(F.get_json_object("payload", "$.source_key").alias("a"), F.get_json_object("payload", "$.target_key").alias("b")).distinct()
+
+
+def node_key(nodes: DataFrame) -> DataFrame:
+    """(node_id, node): a snapshot's nodes by the keys that ``links`` has, which are the same in all snapshots."""
+    return nodes.select("node_id", F.when(F.col("sub_kind") == "external", F.expr("substring(canonical_key, 10)")).otherwise(F.col("canonical_key")).alias("node"))
+
+
+def components(store: Store, ends: DataFrame) -> DataFrame:
+    """The connected components of a snapshot to be, from those of the active one where there are any."""
+    at = store.active()
+    if at is None or store.part("components", at).isEmpty():
+        return graph.components(ends)
+    ends, before = graph.saved(ends), links(store.part("edges", at))
+    return graph.relabelled(store.part("components", at), ends, ends.subtract(before), before.subtract(ends))
+
+
 def rebuild_index(store: Store, snapshot_id: int) -> None:
     """Indexes a snapshot's nodes anew, those that were added one by one too; until the new one is in place, searches find none."""
     _staging(store, snapshot_id)

@@ -134,6 +134,37 @@ def closure_undirected(spark, d):
     return graph.closure(edges, turns.where("turn = 1").select(at.alias("node_id")))
 
 
+@query(f"""WITH {G_SQL}, l1 AS (SELECT e.*, row_number() OVER (ORDER BY edge_id) AS i FROM g_edges e WHERE from_node_id IN (0, 4) AND to_node_id % 12 <> 1),
+l2 AS (SELECT e.*, row_number() OVER (ORDER BY edge_id) AS i, count(*) OVER (ORDER BY edge_id) + 2 + (SELECT count(*) FROM l1) AS covered FROM g_edges e WHERE from_node_id IN (SELECT to_node_id FROM l1) AND to_node_id % 12 <> 1)
+SELECT i AS position, 1 AS level, edge_id, from_node_id || '>' || to_node_id AS path FROM l1
+UNION ALL SELECT l2.i + (SELECT count(*) FROM l1), 2, l2.edge_id, l1.from_node_id || '>' || l2.from_node_id || '>' || l2.to_node_id FROM l2 JOIN l1 ON l1.to_node_id = l2.from_node_id WHERE covered <= (SELECT count(*) / 3 FROM customer)""")
+def expand_node_budget(spark, d):
+    """A budget of a third as many nodes as there are customers, which stops the second level; no node of every third is let in."""
+    budget = table(spark, d, "customer").count() // 3
+    scope = g_nodes(spark, d).where("node_id % 12 <> 1").select("node_id")
+    found = graph.expand_frames(g_edges(spark, d), ids(spark, 0, 4), 2, node_budget=budget, edge_budget=10**9, scope=scope)
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")
+    return found.edges.join(found.nodes.select(F.col("node_id").alias("to_node_id"), path), "to_node_id").select("position", "level", "edge_id", "path")
+
+
+CHANGED_SQL = """t AS (SELECT DISTINCT conv_id, turn FROM conversations),
+e AS (SELECT a.conv_id * 1000 + a.turn AS a, a.conv_id * 1000 + a.turn + 1 AS b, a.conv_id % 5 = 0 AND a.turn = 0 AS gone FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+more AS (SELECT a.conv_id * 1000 AS a, b.conv_id * 1000 AS b FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 AND a.turn = 0 AND b.turn = 0 WHERE a.conv_id % 7 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {CHANGED_SQL}, now AS (SELECT a, b FROM e WHERE NOT gone UNION SELECT a, b FROM more), ab AS (SELECT a, b FROM now UNION SELECT b, a FROM now),
+r AS (SELECT DISTINCT a AS root, a AS node FROM ab UNION SELECT root, b FROM r JOIN ab ON a = node) SELECT node, min(root) AS root FROM r GROUP BY node""")
+def components_changed(spark, d):
+    """Labels of conversations' turns after some edges went and others came, from the labels before."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    chain = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select(at.alias("a"), (at + 1).alias("b"), ((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0)).alias("gone"))
+    first = turns.where("turn = 0")
+    added = first.where("conv_id % 7 = 0").join(first.select((F.col("conv_id") - 1).alias("conv_id")), "conv_id").select((F.col("conv_id") * 1000).alias("a"), ((F.col("conv_id") + 1) * 1000).alias("b"))
+    old, removed, stay = chain.select("a", "b"), chain.where("gone").select("a", "b"), chain.where("not gone").select("a", "b")
+    return graph.relabelled(graph.components(old), stay.unionByName(added), added, removed).select("node", "root")
+
+
 @query(f"WITH {G_SQL} SELECT node_id FROM g_nodes WHERE file_path IN (SELECT 'nation/' || n_name || '.py' FROM nation WHERE n_nationkey % 3 = 0) OR file_path IN (SELECT 'region/' || r_name || '.py' FROM region WHERE r_regionkey = 1)")
 def impact_nodes(spark, d):
     n = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.lit("M").alias("status"), F.concat(F.lit("nation\\"), "n_name", F.lit(".py")).alias("path"), F.lit(None).cast("string").alias("old_path"))
