@@ -17,7 +17,7 @@ Queries go to the shards in blocks: every task holds one shard and one block of
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths are no
 candidates of each other; ties go to the smaller id; rows of the query's own id are not its candidates; repeated rows
-are candidates each, and repeated query rows ask once.  An empty table gives an empty one.  Other columns are ignored.
+are candidates each; of query rows that repeat an id the one of the least vector asks, entry by entry.  An empty table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def among(sound: DataFrame, dimension: int, total: int, asking: int, k: int, bit
     shards, blocks = -(-total // shard), -(-asking // block)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = sound.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "id", "v")
-    asked = sound.where("q").groupBy("id").agg(F.first("v").alias("v")).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), "id", "v")
+    asked = sound.where("q").groupBy("id").agg(F.min("v").alias("v")).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), "id", "v")
 
     def probe(own: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]

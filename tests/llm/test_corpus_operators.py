@@ -693,3 +693,17 @@ def test_questions_come_back_in_their_order():
     places = common.Places(keys)
     some = rng.choice(keys, 5000)
     assert (keys[places.of(some)] == some).all() and len(places.of(keys[:0])) == 0
+
+
+def test_a_repeated_query_asks_with_its_least_vector(spark):
+    """Whatever the partitions, of a query id's vectors the least is looked for."""
+    rng = np.random.default_rng(17)
+    own = [(i, (rng.standard_normal(8)).tolist()) for i in range(300)]
+    own += [(0, (own[0][1][0] + d, *own[0][1][1:])) for d in (-3.0, 2.0, -1.0)]
+    least = np.array(min(tuple(v) for i, v in own if i == 0))
+    others = sorted((float(np.sqrt(((np.array(v) - least) ** 2).sum())), i) for i, v in own if i)[:10]
+    df = spark.createDataFrame([(i, list(v)) for i, v in own], "vec_id long, embedding array<double>")
+    for parts in (1, 3, 7):
+        found = mih.search(df.repartition(parts), F.col("vec_id") == 0).orderBy("rank").collect()
+        assert len(found) == 10 and found[0].score == pytest.approx(others[0][0])
+        assert len({r.vec_id for r in found} & {i for _, i in others}) >= 9
