@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text
 from ..functions.parsers import Registry
@@ -20,26 +23,64 @@ SCHEMA = f"path string, parser_id string, parser_version string, language string
 FIELDS = ("symbol", "resolution", "language", "module", "import", "import_source", "imported_symbol", "alias")
 
 
+def recorded(registry: Registry, path: str, source: str | None) -> tuple:
+    """A file's row of SCHEMA; a null source counts as empty."""
+    parser, found = registry.detect(path), registry.parse(path, source or "")
+    for x in (*found.nodes, *found.edges):
+        x["payload"] = text.canonical_json(x["payload"])
+    for x in found.diagnostics:
+        x["detail"] = text.canonical_json(x["detail"])
+    language = None if parser is None else getattr(parser, "language_of", lambda _: parser.language)(path)
+    return path, parser and parser.parser_id, parser and parser.version, language, found.nodes, found.edges, found.diagnostics
+
+
 def parsed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     """One row for each file: SCHEMA. A null source counts as empty."""
     registry = registry or Registry.default()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, source in zip(batch["path"], batch["source"], strict=True):
-                parser, found = registry.detect(path), registry.parse(path, source or "")
-                for x in (*found.nodes, *found.edges):
-                    x["payload"] = text.canonical_json(x["payload"])
-                for x in found.diagnostics:
-                    x["detail"] = text.canonical_json(x["detail"])
-                language = None if parser is None else getattr(parser, "language_of", lambda _, p=parser: p.language)(path)
-                out.append((path, parser and parser.parser_id, parser and parser.version, language, found.nodes, found.edges, found.diagnostics))
+            out = [recorded(registry, path, source) for path, source in zip(batch["path"], batch["source"], strict=True)]
             yield pd.DataFrame(out, columns=["path", "parser_id", "parser_version", "language", "nodes", "edges", "diagnostics"])
 
     return files.select("path", "source").mapInPandas(run, SCHEMA)
 
 
+#: what the table function gives rows of, by the name asked for
+RECORDS = {"nodes": NODE, "edges": EDGE, "diagnostics": DIAGNOSTIC}
+
+
+def row_type(fields: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "int": T.IntegerType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+def register(spark: SparkSession, name: str = "parse_source", registry: Registry | None = None) -> None:
+    """A table function for SQL: ``SELECT f.path, x.* FROM files f, LATERAL parse_source(f.path, f.source, 'nodes') x``.
+
+    Its columns are those of the records asked for: nodes, edges or diagnostics.  ``registry`` may hold parsers of a user's own;
+    they go to the workers with the function.
+    """
+    registry = registry or Registry.default()
+    spark.udtf.register(name, table_function(registry))
+
+
+def table_function(registry: Registry):
+    class ParseSource:
+        @staticmethod
+        def analyze(path: AnalyzeArgument, source: AnalyzeArgument, records: AnalyzeArgument) -> AnalyzeResult:
+            if records.value not in RECORDS:
+                raise ValueError(f"parse_source gives {', '.join(RECORDS)}, not {records.value}")
+            return AnalyzeResult(schema=T.StructType([T.StructField("parser_id", T.StringType()), T.StructField("language", T.StringType()), *row_type(RECORDS[records.value])]))
+
+        def eval(self, path: str, source: str, records: str) -> Iterator[tuple]:
+            _, parser_id, _, language, *found = recorded(registry, path, source)
+            for x in found[list(RECORDS).index(records)]:
+                yield parser_id, language, *(x[f.split()[0]] for f in RECORDS[records].split(", "))
+
+    return udtf(ParseSource)
+
+
 def nodes(found: DataFrame) -> DataFrame:
     """(path, position, NODE, language, module_identity, package_identity) of parsed files."""
     out = found.select("path", F.posexplode("nodes").alias("position", "x")).select("path", "position", "x.*")

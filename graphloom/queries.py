@@ -521,69 +521,140 @@ def active_published(spark, d):
 
 
 #: a file of each language for each nation (<k>) and its region (<r>), and the edges (type, source, target, line) it is to give, where $ stands for its identity
-#: (a method without a body has the next braces' content for one, as the code surveyed has it)
 FILES = {
-    "python": ("pkg/n<k>.py", "pkg.n<k>", "import os\nfrom .regions import r<r> as h\n\nclass A<k>:\n    def run(self):\n        return h(len([]))\n\ndef go():\n    return A<k>()\n", """
-imports module:$ module:os 1
-imports module:$ module:pkg.regions 2
-contains module:$ class:$.A<k> 4
-contains class:$.A<k> function:$.A<k>.run 5
-calls function:$.A<k>.run import:pkg.regions.r<r> 6
-calls function:$.A<k>.run unresolved:len 6
-contains module:$ function:$.go 8
-calls function:$.go class:$.A<k> 9"""),
-    "java": ("src/N<k>.java", "demo.r<r>@src/N<k>.java", "package demo.r<r>;\nimport java.util.List;\ninterface Greeter { void greet(); }\nclass Base {}\nclass N<k> extends Base implements Greeter {\n    // class Fake {}\n    public void greet() { Helper.run(\"new No()\"); new Worker(); }\n}\n", """
-contains package:$ interface:$.Greeter 3
-contains interface:$.Greeter method:$.Greeter.greet 3
-contains package:$ class:$.Base 4
-contains package:$ class:$.N<k> 5
-contains class:$.N<k> method:$.N<k>.greet 7
-imports package:$ import:$.java.util.List 2
-extends class:$.N<k> class:$.Base 5
-implements class:$.N<k> interface:$.Greeter 5
-calls method:$.N<k>.greet external:Worker 7
-calls method:$.N<k>.greet external:Helper.run 7"""),
-    "go": ("cmd/n<k>.go", "r<r>@cmd/n<k>.go", "package r<r>\nimport \"fmt\"\nimport (\n    alias \"net/http\"\n)\ntype User<k> struct { Name string }\ntype Runner interface { Run() }\nfunc main() { fmt.Println(\"hi\") }\nfunc (u User<k>) Run() { main() }\n", """
-contains package:$ struct:$.User<k> 6
-contains package:$ interface:$.Runner 7
-contains package:$ function:$.main 8
-contains package:$ method:$.Run 9
-imports package:$ import:$.fmt 2
-imports package:$ import:$.net/http 4
-calls function:$.main external:fmt.Println 8
-calls method:$.Run function:$.main 9"""),
-    "script": ("src/n<k>.ts", "src.n<k>@src/n<k>.ts", "import { helper as h<r> } from './helper';\nexport interface Service { run(): void }\nexport class App<k> implements Service {\n    run() { h<r>(); obj[method](); }\n}\nexport function start() { new App<k>().run(); }\n", """
-contains module:$ interface:$.Service 2
-contains interface:$.Service method:$.Service.run 2
-contains module:$ class:$.App<k> 3
-contains class:$.App<k> method:$.App<k>.run 4
-contains module:$ function:$.start 6
-imports module:$ import:$../helper 1
-implements class:$.App<k> interface:$.Service 3
-calls method:$.Service.run external:h<r> 2
-calls method:$.Service.run method:$.Service.run 2
-calls method:$.Service.run unresolved:obj[method] 2
-calls method:$.App<k>.run external:h<r> 4
-calls method:$.App<k>.run unresolved:obj[method] 4
-calls function:$.start class:$.App<k> 6
-calls function:$.start method:$.Service.run 6
-defines export:$.Service interface:$.Service 2
-defines export:$.run method:$.Service.run 2
-defines export:$.App<k> class:$.App<k> 3
-defines export:$.start function:$.start 6"""),
+    "python": ("pkg/n<k>.py", "pkg.n<k>", "import json\nfrom .depot import weigh<r> as scale\n\nclass Cart<k>:\n    def load(self):\n        return scale(str(1))\n\ndef pack():\n    return Cart<k>()\n", """
+imports module:$ module:json 1
+imports module:$ module:pkg.depot 2
+contains module:$ class:$.Cart<k> 4
+contains class:$.Cart<k> function:$.Cart<k>.load 5
+calls function:$.Cart<k>.load import:pkg.depot.weigh<r> 6
+calls function:$.Cart<k>.load unresolved:str 6
+contains module:$ function:$.pack 8
+calls function:$.pack class:$.Cart<k> 9"""),
+    "java": ("src/N<k>.java", "depot.r<r>@src/N<k>.java", """package depot.r<r>;
+import java.time.Clock;
+/* class Ghost {} */
+enum Grade { LOW, HIGH }
+interface Weigher { double weigh(Crate c); }
+abstract class Shelf {
+    protected int slots = count(3);
+    abstract void fill();
 }
+public class Crate<k> extends Shelf implements Weigher, java.io.Closeable {
+    Crate<k>() { reset(); }
+    public double weigh(Crate c) { return new Scale(c).read() + log("class Fake {}"); }
+    void reset() { gauges[slot](); weigh(null); }
+}
+""", """
+imports package:$ import:$.java.time.Clock 2
+contains package:$ enum:$.Grade 4
+contains package:$ interface:$.Weigher 5
+contains interface:$.Weigher method:$.Weigher.weigh 5
+contains package:$ class:$.Shelf 6
+contains class:$.Shelf method:$.Shelf.fill 8
+contains package:$ class:$.Crate<k> 10
+extends class:$.Crate<k> class:$.Shelf 10
+implements class:$.Crate<k> interface:$.Weigher 10
+implements class:$.Crate<k> external:java.io.Closeable 10
+contains class:$.Crate<k> method:$.Crate<k>.Crate<k> 11
+calls method:$.Crate<k>.Crate<k> method:$.Crate<k>.reset 11
+contains class:$.Crate<k> method:$.Crate<k>.weigh 12
+calls method:$.Crate<k>.weigh external:Scale 12
+calls method:$.Crate<k>.weigh external:read 12
+calls method:$.Crate<k>.weigh external:log 12
+contains class:$.Crate<k> method:$.Crate<k>.reset 13
+calls method:$.Crate<k>.reset unresolved:gauges[slot] 13
+calls method:$.Crate<k>.reset method:$.Weigher.weigh 13"""),
+    "go": ("cmd/n<k>.go", "r<r>@cmd/n<k>.go", """package r<r>
+
+import "strings"
+import (
+	t "time"
+	_ "embed"
+)
+
+type Belt<k> struct { Name string }
+type Mover interface { Move(int) error }
+
+func pack(xs []string) (out interface{}, err error) {
+	return strings.Join(xs, "func no() {}"), check(err)
+}
+
+func (b *Belt<k>) Move(n int) error { pack(nil); return steps[n]() }
+""", """
+imports package:$ import:$.strings 3
+imports package:$ import:$.time 5
+imports package:$ import:$.embed 6
+contains package:$ struct:$.Belt<k> 9
+contains package:$ interface:$.Mover 10
+contains package:$ function:$.pack 12
+calls function:$.pack external:strings.Join 12
+calls function:$.pack external:check 12
+contains package:$ method:$.Move 16
+calls method:$.Move function:$.pack 16
+calls method:$.Move unresolved:steps[n] 16"""),
+    "script": ("src/n<k>.ts", "src.n<k>@src/n<k>.ts", """import { weigh as scale<r> } from '../tools/scale';
+import Rack from "./rack";
+// function ghost() {}
+export interface Bin { empty(): boolean; }
+export default class Cart<k> extends Rack implements Bin {
+  private load = (x) => x;
+  empty(): boolean { return scale<r>(this.load(1)); }
+  static async fill<T>(xs: T[]) { const put = function inner(x) { place(x); }; lids[0](); put(1); }
+}
+function drain() { if (ready()) { new Cart<k>().empty(); } }
+export async function start() { drain(); }
+""", """
+imports module:$ import:$.../tools/scale 1
+imports module:$ import:$../rack 2
+contains module:$ interface:$.Bin 4
+contains interface:$.Bin method:$.Bin.empty 4
+defines export:$.Bin interface:$.Bin 4
+contains module:$ class:$.Cart<k> 5
+extends class:$.Cart<k> external:Rack 5
+implements class:$.Cart<k> interface:$.Bin 5
+defines export:$.Cart<k> class:$.Cart<k> 5
+contains class:$.Cart<k> method:$.Cart<k>.empty 7
+calls method:$.Cart<k>.empty external:scale<r> 7
+calls method:$.Cart<k>.empty external:this.load 7
+contains class:$.Cart<k> method:$.Cart<k>.fill 8
+calls method:$.Cart<k>.fill unresolved:lids[0] 8
+calls method:$.Cart<k>.fill external:put 8
+contains class:$.Cart<k> function:$.Cart<k>.inner 8
+calls function:$.Cart<k>.inner external:place 8
+contains module:$ function:$.drain 10
+calls function:$.drain external:ready 10
+calls function:$.drain class:$.Cart<k> 10
+calls function:$.drain method:$.Bin.empty 10
+contains module:$ function:$.start 11
+defines export:$.start function:$.start 11
+calls function:$.start function:$.drain 11"""),
+}
+
+
+def fill(x: str):
+    """A text with a nation's numbers in it."""
+    return F.replace(F.replace(F.lit(x), F.lit("<k>"), F.col("n_nationkey").cast("string")), F.lit("<r>"), F.col("n_regionkey").cast("string"))
+
+
+def filled(x: str, identity: str = "") -> str:
+    """SQL of the same, with $ for the identity."""
+    return f"replace(replace(replace({x}, '$', '{identity}'), '<k>', CAST(n_nationkey AS VARCHAR)), '<r>', CAST(n_regionkey AS VARCHAR))"
+
+
+def sources(spark: SparkSession, d: str, languages=tuple(FILES)) -> DataFrame:
+    """The files (path, source) of some languages, one of each for each nation."""
+    each = F.explode(F.array(*(F.struct(fill(FILES[x][0]).alias("path"), fill(FILES[x][2]).alias("source")) for x in languages)))
+    return table(spark, d, "nation").select(each.alias("f")).select("f.path", "f.source")
 
 
 def extracted(language: str):
-    path, identity, source, edges = FILES[language]
-    filled = lambda x: f"replace(replace(replace({x}, '$', '{identity}'), '<k>', CAST(n_nationkey AS VARCHAR)), '<r>', CAST(n_regionkey AS VARCHAR))"
+    path, identity, _, edges = FILES[language]
     values = ", ".join("('{}', '{}', '{}', {})".format(*line.split()) for line in edges.strip().splitlines())
-    sql = f"""SELECT edge_type, {filled("source_key")} AS source_key, {filled("target_key")} AS target_key, {filled(f"'{path}'")} AS path, start_line FROM nation, (VALUES {values}) AS t(edge_type, source_key, target_key, start_line)"""
+    sql = f"""SELECT edge_type, {filled("source_key", identity)} AS source_key, {filled("target_key", identity)} AS target_key, {filled(f"'{path}'")} AS path, start_line FROM nation, (VALUES {values}) AS t(edge_type, source_key, target_key, start_line)"""
 
     def run(spark, d):
-        fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("<k>"), F.col("n_nationkey").cast("string")), F.lit("<r>"), F.col("n_regionkey").cast("string"))
-        found = extract.parsed(table(spark, d, "nation").select(fill(path).alias("path"), fill(source).alias("source")))
-        return extract.edges(found).select("edge_type", "source_key", "target_key", "path", "start_line")
+        return extract.edges(extract.parsed(sources(spark, d, (language,)))).select("edge_type", "source_key", "target_key", "path", "start_line")
 
     run.__name__ = f"extract_{language}_graph"
     return query(sql)(run)
@@ -591,3 +662,47 @@ def extracted(language: str):
 
 for _language in FILES:
     extracted(_language)
+
+
+def node_rows() -> str:
+    """SQL rows (path, identity, kind, key) of the nodes of all files: their own, what they contain and export (by its kind), what they import."""
+    own = {"python": "module", "java": "package", "go": "package", "script": "module"}
+    rows = []
+    for language, (path, identity, _, edges) in FILES.items():
+        rows.append((path, identity, own[language], f"{own[language]}:$", 1))
+        for kind, source, target, line in map(str.split, edges.strip().splitlines()):
+            new = {"contains": target, "defines": source, "imports": target if language != "python" else None}.get(kind)
+            if new:
+                rows.append((path, identity, new.partition(":")[0], new, line))
+    return ", ".join("('{}', '{}', '{}', '{}', {})".format(*r) for r in rows)
+
+
+@query(f"SELECT {filled('path')} AS path, kind, {filled('replace(k, chr(36), identity)')} AS canonical_key, start_line, kind = 'import' AS is_import FROM nation, (VALUES {node_rows()}) AS t(path, identity, kind, k, start_line)")
+def parse_source_nodes(spark, d):
+    """The nodes of all files by the table function."""
+    extract.register(spark)
+    found = spark.sql("SELECT f.path, x.kind, x.canonical_key, x.start_line, get_json_object(x.payload, '$.import') IS NOT NULL AS is_import FROM {files} f, LATERAL parse_source(f.path, f.source, 'nodes') x", files=sources(spark, d))
+    return found
+
+
+class Failing:
+    """A user's parser, which fails."""
+
+    parser_id, version, language, suffixes = "zig-none", "1", "zig", (".zig",)
+
+    def parse(self, path: str, source: str):
+        raise ValueError(f"cannot read {path}")
+
+
+@query("""WITH f AS (SELECT unnest([{'p': '.md', 'c': 'UNSUPPORTED_FILE_SUFFIX', 'm': 'no parser for suffix .md'}, {'p': '.py', 'c': 'PYTHON_SYNTAX_ERROR', 'm': NULL}, {'p': '.java', 'c': 'HEURISTIC_PARSE_PARTIAL', 'm': 'unbalanced delimiters; declarations are partial'}, {'p': '.zig', 'c': 'PARSER_ERROR', 'm': 'cannot read b'}]) AS x, n_nationkey FROM nation)
+SELECT 'b' || n_nationkey || x.p AS path, x.c AS code, CASE x.p WHEN '.zig' THEN x.m || n_nationkey || x.p ELSE x.m END AS message, CASE x.p WHEN '.py' THEN '1' END AS line, CASE x.p WHEN '.py' THEN 'python-ast' WHEN '.java' THEN 'java-heuristic' WHEN '.zig' THEN 'zig-none' END AS parser_id FROM f""")
+def parse_source_diagnostics(spark, d):
+    """What goes wrong with broken files, and with a user's own parser, by the table function."""
+    broken = {".md": "# x", ".py": "def (:\n", ".java": "class A {", ".zig": "x", ".go": "package good\n"}
+    each = F.explode(F.create_map(*(F.lit(x) for kv in broken.items() for x in kv))).alias("suffix", "source")
+    files = table(spark, d, "nation").select("n_nationkey", each).select(F.concat(F.lit("b"), F.col("n_nationkey").cast("string"), "suffix").alias("path"), "source")
+    registry = extract.Registry.default()
+    registry.register(Failing())
+    extract.register(spark, "parse_source_of_user", registry)
+    found = spark.sql("SELECT f.path, x.code, x.message, get_json_object(x.detail, '$.line') AS line, x.parser_id FROM {files} f, LATERAL parse_source_of_user(f.path, f.source, 'diagnostics') x", files=files)
+    return found.withColumn("message", F.when(F.col("code") != "PYTHON_SYNTAX_ERROR", F.col("message")))  # whose words are the interpreter's
