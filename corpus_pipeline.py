@@ -5,7 +5,7 @@ Each stage works on all that its predecessor kept.  A stage's result is written
 1. ``language``: documents of no learned language go: those without a letter (null and empty texts among them), and
    those of whose letter n-grams the best language holds under ``LEAST_SHARE`` of what it holds of its own labelled
    documents' (their median).  A document is judged by what the other ``FOLDS`` - 1 parts of the documents teach, by crc32 of its
-   id, so its own label doesn't let it in; of a language that no other part has labelled nothing is known.
+   id, so its own label doesn't let it in; nothing is known of a language that no other part has labelled.
 2. ``lines``: runs of lines that some document has had before go; documents stay.
 3. ``near``: one document of each group of near duplicates stays, that of least id.
 4. ``substrings``: words covered by a run of 35 words that occurs elsewhere too go; documents stay.
@@ -42,11 +42,8 @@ def shaped(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    fold, found = F.coalesce(common.remainder("doc_id", FOLDS), F.lit(0)), None
-    for part in range(FOLDS):
-        own = langid.identify(docs, learn=fold != part, keep=COLUMNS, stored=False).where((fold == part) & (F.col("lang_pred") != langid.UNDETERMINED))
-        found = own if found is None else found.unionByName(own)
-    found = common.stored(found)
+    fold = F.coalesce(common.remainder("doc_id", FOLDS), F.lit(0))
+    found = common.stored(langid.identify(docs, keep=COLUMNS, stored=False, fold=fold).where(F.col("lang_pred") != langid.UNDETERMINED))
     usual = found.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
     found = found.join(F.broadcast(usual), "lang_pred", "left")  # a row for each learned language
     return shaped(found.where(F.col("score") >= LEAST_SHARE * F.coalesce("usual", F.lit(1.0))))

@@ -120,7 +120,7 @@ class BitSliced:
     false_share: np.ndarray  # of each language
 
     @classmethod
-    def of(cls, members: dict[str, np.ndarray], hashes: int = HASHES) -> BitSliced:
+    def of(cls, members: dict[object, np.ndarray], hashes: int = HASHES) -> BitSliced:
         """From the keys of each language's n-grams, with ``PER_MEMBER`` slots for each of the largest language."""
         slot_bits = (max([64, *map(len, members.values())]) * PER_MEMBER - 1).bit_length()
         languages = sorted(members)
@@ -195,20 +195,23 @@ class Asked:
         return total, hits
 
 
-def identify(docs: DataFrame, language: str = "lang", text: str = "text", learn: Column | None = None, keep: tuple[str, ...] = ("doc_id",), orders: tuple[int, ...] = ORDERS, least: float = LEAST, stored: bool = True) -> DataFrame:
+def identify(docs: DataFrame, language: str = "lang", text: str = "text", learn: Column | None = None, keep: tuple[str, ...] = ("doc_id",), orders: tuple[int, ...] = ORDERS, least: float = LEAST, stored: bool = True, fold: Column | None = None) -> DataFrame:
     """``keep`` columns, lang_pred, score (share of the text's n-grams that the language holds, corrected, 0 to 1),
     n_grams, and margin (by how much of the n-grams it leads the next language), learned from all rows that ``learn``
-    selects and whose language is not null.  ``stored``: see ``common.Bundles``."""
+    selects and whose language is not null.  ``stored``: see ``common.Bundles``.  With ``fold``, a number for each row, a row
+    is judged by filters of the other folds' rows alone, the one that holds most for each language."""
     new = {"lang_pred": T.StringType(), "score": T.DoubleType(), "n_grams": T.LongType(), "margin": T.DoubleType()}
     keep = tuple(c for c in keep if c not in new)
     taught = F.when(F.lit(True) if learn is None else learn, F.col(language).cast("string"))
-    rows = docs.select(*keep, F.col(text).alias("__text"), taught.alias("__taught"))
+    apart, part = fold is not None, F.lit(0) if fold is None else fold.cast("int")
+    rows = docs.select(*keep, F.col(text).alias("__text"), taught.alias("__taught"), part.alias("__fold"))
     bundles = common.Bundles(rows, "__text", stored=stored)
-    names = [x[0] for x in rows.where("__taught is not null").select("__taught").distinct().orderBy("__taught").collect()]  # the labels' values
-    number, n_shards = {x: i for i, x in enumerate(names)}, exchange.shards(bundles.bytes())
+    named = rows.where("__taught is not null").select("__taught", "__fold").distinct().orderBy("__taught", "__fold").collect()  # the labels' values
+    names, folds = [x[0] for x in named], np.array([x[1] for x in named], np.int64)
+    number, n_shards = {tuple(x): i for i, x in enumerate(named)}, exchange.shards(bundles.bytes())
 
     def asked(table: pa.Table) -> Asked:
-        taught = np.array([number.get(x, -1) for x in table.column("__taught").to_pylist()], np.int64)
+        taught = np.array([number.get(x, -1) for x in zip(table.column("__taught").to_pylist(), table.column("__fold").to_pylist(), strict=True)], np.int64)
         return Asked([x or "" for x in table.column("__text").to_pylist()], taught, len(names), n_shards, orders)
 
     questions = exchange.dealt(bundles.map(lambda number, table: exchange.rows(number, asked(table).questions()), exchange.SCHEMA))
@@ -234,8 +237,11 @@ def identify(docs: DataFrame, language: str = "lang", text: str = "text", learn:
     def answer(shard: int, numbers_: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
         own, every, count = together(data)
         share = count / np.maximum(totals, 1)
-        member = (count > 0) & (share >= least * share.max(axis=1, initial=0)[:, None])
-        model = BitSliced.of({x: every[member[:, i]] for i, x in enumerate(names)})
+        best = np.zeros_like(share)
+        for f in np.unique(folds):  # of the filters of one fold
+            best[:, folds == f] = share[:, folds == f].max(axis=1, initial=0)[:, None]
+        member = (count > 0) & (share >= least * best)
+        model = BitSliced.of({i: every[member[:, i]] for i in range(len(names))})
         for b, keys in zip(numbers_, own, strict=True):
             yield exchange.batch([(shard, b, exchange.dump(numbers(model.languages_of(keys), len(names)), model.false_share))])
 
@@ -244,9 +250,20 @@ def identify(docs: DataFrame, language: str = "lang", text: str = "text", learn:
     def judge(found: pa.Table, table: pa.Table) -> pa.Table:
         n, hits = asked(table).hits(exchange.told(found))
         share = np.clip(np.concatenate([hits / np.maximum(n, 1)[:, None], np.zeros((len(n), 2))], axis=1), 0, 1)  # two columns at least
+        known = np.ones(len(n), bool)
+        if apart:
+            other = folds != table.column("__fold").to_numpy()[:, None]
+            share[:, : len(names)] = np.where(other, share[:, : len(names)], -1)
+            for name in dict.fromkeys(names):  # a language's folds are one candidate
+                own = np.flatnonzero([x == name for x in names])
+                top = own[np.argmax(share[:, own], axis=1)]
+                rest = own[None, :] != top[:, None]
+                share[:, own] = np.where(rest, -1, share[:, own])
+            known = other.any(axis=1)
         best = np.argmax(share, axis=1) if names else np.zeros(len(n), np.int64)
-        two = np.sort(share, axis=1)[:, -2:]
-        found = [names[b] if m and names else UNDETERMINED for b, m in zip(best.tolist(), n.tolist(), strict=True)]
+        two = np.maximum(np.sort(share, axis=1)[:, -2:], 0)
+        known &= share[np.arange(len(n)), best] >= 0
+        found = [names[b] if m and names and k and b < len(names) else UNDETERMINED for b, m, k in zip(best.tolist(), n.tolist(), known.tolist(), strict=True)]
         columns = [pa.array(found, pa.string()), pa.array(np.where(n > 0, two[:, 1], 0.0)), pa.array(n), pa.array(np.where(n > 0, two[:, 1] - two[:, 0], 0.0))]
         return pa.table([*(table.column(c) for c in keep), *columns], names=kind.names)
 
