@@ -13,12 +13,15 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text
 from ..functions.parsers import Registry
+from . import rows
 
 NODE = "canonical_key string, kind string, name string, start_line int, end_line int, payload string"
 EDGE = "edge_type string, source_key string, target_key string, start_line int, payload string"
 DIAGNOSTIC = "code string, message string, detail string"
 SCHEMA = f"path string, parser_id string, parser_version string, language string, nodes array<struct<{NODE.replace(' string', ':string').replace(' int', ':int')}>>, edges array<struct<{EDGE.replace(' string', ':string').replace(' int', ':int')}>>, diagnostics array<struct<{DIAGNOSTIC.replace(' string', ':string')}>>"
 
+#: what a snapshot keeps of its files, for the next to take over
+KEPT = f"{SCHEMA}, source_hash string"
 #: payload fields of edges that binding reads
 FIELDS = ("symbol", "resolution", "language", "module", "import", "import_source", "imported_symbol", "alias")
 
@@ -46,6 +49,23 @@ def parsed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     return files.select("path", "source").mapInPandas(run, SCHEMA)
 
 
+def reused(files: DataFrame, known: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """``parsed`` of files (path, source), with source_hash, of which those that ``known`` (of the same columns) has are taken from there.
+
+    A file is known by its path, the hash of its source, and the parser and version that would read it, so a new version
+    reads all of its files again.  Only the others' sources go to a parser.
+    """
+    registry = registry or Registry.default()
+    files = files.select("path", "source", F.sha2(F.coalesce("source", F.lit("")), 256).alias("source_hash"))
+    chosen = rows.longest_suffix(files.select("path"), registry.suffixes(files.sparkSession)).select("path", F.col("parser_id").alias("own_id"), F.col("parser_version").alias("own_version"))
+    files = files.join(chosen, "path")
+    same = (F.col("parser_id").eqNullSafe(F.col("own_id"))) & (F.col("parser_version").eqNullSafe(F.col("own_version")))
+    held = known.join(files.select("path", "source_hash", "own_id", "own_version"), ["path", "source_hash"]).where(same).select(*known.columns)
+    rest = files.join(held.select("path"), "path", "left_anti")
+    hashes = rest.select("path", "source_hash")
+    return held.unionByName(parsed(rest, registry).join(hashes, "path").select(*known.columns))
+
+
 #: what the table function gives rows of, by the name asked for
 RECORDS = {"nodes": NODE, "edges": EDGE, "diagnostics": DIAGNOSTIC}
 

@@ -77,10 +77,17 @@ def evidence_links(mappings: DataFrame) -> DataFrame:
 
 
 def longest_suffix(paths: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """(path, suffix) of the longest of ``suffixes`` (a few rows) that a path's name ends with, in any case; null if none does."""
-    low = F.lower(F.col("path"))
-    hit = paths.join(F.broadcast(suffixes), low.endswith(F.col("suffix")), "left")  # parsers' suffixes are a fixed few
-    return hit.groupBy("path").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+    """(path, and the columns of ``suffixes``) of the longest suffix that a path's name ends with, in any case; null if none does.
+
+    A suffix begins at a dot, so a name's candidates are what begins at its dots, and the longest known is an equal join.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    parts = F.split(name, r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
+    each = paths.where(F.size(parts) > 1).select("path", F.explode(ends).alias("suffix"))
+    rest = [c for c in suffixes.columns if c != "suffix"]
+    best = each.join(F.broadcast(suffixes), "suffix").groupBy("path").agg(F.max_by(F.struct("suffix", *rest), F.length("suffix")).alias("best"))  # parsers' suffixes are a fixed few
+    return paths.join(best, "path", "left").select("path", *(F.col(f"best.{c}").alias(c) for c in ("suffix", *rest)))
 
 
 def expired(tokens: DataFrame, now: int) -> DataFrame:

@@ -46,7 +46,9 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
     bad = found.where("not valid").orderBy("path").limit(1).collect()
     if bad:
         return _reject(store, snapshot_id, "PARSE_FAILED", diagnostics=[{"code": "PARSE_FAILED", "path": bad[0].path, "message": "not UTF-8", "detail": {}}])
-    parsed = graph.saved(extract.parsed(found, registry))
+    parent = store.active()
+    known = store.part("parsed", parent) if parent is not None else spark.createDataFrame([], extract.KEPT)
+    parsed = graph.saved(extract.reused(found, known, registry))
     supported = F.col("parser_id").isNotNull()
     n = parsed.agg(F.count("*").alias("files"), F.count_if(supported).alias("supported_files"), F.count_if(~supported).alias("unsupported_files"), F.coalesce(F.sum(F.size("diagnostics")), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~supported, F.size("diagnostics"))), F.lit(0)).alias("unsupported")).first()
     by = lambda key: {r[0]: r[1] for r in parsed.where(supported).groupBy(key).count().collect()}  # noqa: E731  languages and parsers are few
@@ -65,7 +67,7 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
     edges = extract.edges(parsed).join(parser, "path").withColumn("edge_id", F.struct("path", "position"))
     bound = graph.saved(binding.bind(edges, nodes).drop("edge_id"))
     try:
-        persisted = publish.persist(store, snapshot_id, nodes, bound)
+        persisted = publish.persist(store, snapshot_id, nodes, bound, parsed)
         publish.publish(store, snapshot_id, expected_parent)
     except CodedError as e:
         return _reject(store, snapshot_id, e.code, active_snapshot=store.active())

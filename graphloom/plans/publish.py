@@ -39,11 +39,11 @@ def envelope(key: str, name: str, *more: str):
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame) -> dict[str, int]:
+def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame, parsed: DataFrame | None = None) -> dict[str, int]:
     """Writes nodes (extract.nodes) and edges (extract.edges, bound) with ids, evidence, manifests and the token index.
 
     Ids follow (path, position); nodes made for ends that no node has come after the others in the order of the
-    edges that ask for them.  Nothing is in place unless everything is.
+    edges that ask for them.  ``parsed``: what the files gave, kept for the next build.  Nothing is in place unless everything is.
     """
     snapshot = store.one("snapshots", snapshot_id=snapshot_id)
     if snapshot is None:
@@ -86,6 +86,8 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame)
     store.stage(at, "components", components(store, made.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")).distinct()))
     # the index reads a content hash from payloads, which have none
     postings.write(search.index(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
+    if parsed is not None:
+        store.stage(at, "parsed", parsed)
     store.settle(at, snapshot_id)
     return {"node_count": n + m, "edge_count": e}
 
