@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import binding, evaluate, extract, graph, postings, rows, search
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -451,6 +452,18 @@ def scoped_files(spark, d):
     return d_files(spark, d).where(text.under(F.col("path"), ["src1", "src2/en/"]) & ~text.under(F.col("path"), ["src1/de"])).select("path")
 
 
+@query("""WITH t AS (SELECT coalesce(nullif(source, ''), '__HIVE_DEFAULT_PARTITION__') AS source, coalesce(nullif(lang, ''), '__HIVE_DEFAULT_PARTITION__') AS lang, coalesce(text, '') AS text FROM documents)
+SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(sum(len(text) + 1) AS BIGINT) AS chars FROM t GROUP BY source, lang""")
+def tree_files(spark, d):
+    """What is in the folders of a tree of files that Spark writes, a folder for each source and language."""
+    root = f"{graph.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    documents = table(spark, d, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    documents.write.partitionBy("source", "lang").text(root)
+    found = files.scan(spark, root, ["."], ["_SUCCESS"]).where("valid and not path like '%.crc'")
+    found = found.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return found.groupBy("folder").agg(F.sum(F.octet_length("source").cast("long")).alias("bytes"), F.sum(F.length("source").cast("long")).alias("chars"))
+
+
 @query(f"WITH {FILES_SQL} SELECT path, CASE WHEN path LIKE '%.py' THEN '.py' WHEN lower(path) LIKE '%.d.ts' THEN '.d.ts' WHEN path LIKE '%.ts' THEN '.ts' END AS suffix FROM f")
 def parser_selection(spark, d):
     return rows.longest_suffix(d_files(spark, d).select("path"), spark.createDataFrame([(".py",), (".ts",), (".d.ts",)], "suffix string"))
