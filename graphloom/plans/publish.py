@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import CodedError
 from ..functions import text
-from ..operators import graph, postings, rows, search
+from ..operators import graph, lookups, postings, rows, search
 from ..sources.store import ANY, Store, dumps
 
 TRIPLE = ("source_revision", "index_revision", "config_version")
@@ -79,7 +79,9 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame,
         evidence = part if evidence is None else evidence.unionByName(part)
     at = uuid.uuid4().hex
     stored = every.select("*", F.col("path").alias("file_path"), F.col("kind").alias("sub_kind")).withColumn("kind", F.lit("Graph"))
-    store.stage(at, "nodes", stored)
+    parts = max(1, -(-(n + m) // lookups.ROWS))
+    store.cluster(at, "nodes", stored, "canonical_key", "node_ranges", parts)
+    store.cluster(at, "node_ids", every, "node_id", "id_ranges", parts)
     store.stage(at, "edges", made)
     store.stage(at, "evidence", evidence)
     store.stage(at, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
@@ -185,11 +187,47 @@ def _first(df: DataFrame) -> dict | None:
     return found[0] | {"payload": json.loads(found[0]["payload"])} if found else None
 
 
+def by_key(store: Store, snapshot_id: int) -> lookups.Clustered:
+    """A snapshot's nodes, to be looked up by canonical key."""
+    return store.clustered("nodes", snapshot_id, "canonical_key", "node_ranges")
+
+
+def by_id(store: Store, snapshot_id: int) -> lookups.Clustered:
+    """The keys of a snapshot's nodes, to be looked up by id."""
+    return store.clustered("node_ids", snapshot_id, "node_id", "id_ranges")
+
+
+def nodes_of(store: Store, snapshot_id: int, canonical_keys: list[str]) -> DataFrame:
+    """The nodes of some canonical keys in a snapshot, from the files that can hold them."""
+    return by_key(store, snapshot_id).rows(canonical_keys).withColumn("snapshot_id", F.lit(snapshot_id).cast("long"))
+
+
+def known_keys(store: Store, snapshot_id: int, canonical_keys: list[str]) -> list[str]:
+    """Which of some canonical keys a snapshot has nodes of, in order."""
+    return [r[0] for r in nodes_of(store, snapshot_id, canonical_keys).select("canonical_key").distinct().orderBy("canonical_key").collect()]
+
+
 def node(store: Store, node_id: int) -> dict | None:
-    """The node of an id, of whatever snapshot, with its payload as a dict."""
-    return _first(store.every("nodes").where(F.col("node_id") == node_id))
+    """The node of an id, of whatever snapshot, with its payload as a dict.
+
+    The ranges of ids tell the snapshots and the file that has its key, and the key the file that has it; if none does, it may
+    be among the nodes that were added one by one.
+    """
+    within = (F.col("first") <= node_id) & (F.col("last") >= node_id)
+    held = [r[0] for r in store.every("id_ranges").where(within).select("snapshot_id").distinct().orderBy("snapshot_id").collect()]
+    for at in held:
+        keys = [r[0] for r in by_id(store, at).rows([node_id]).select("canonical_key").collect()]
+        found = _first(nodes_of(store, at, keys).where(F.col("node_id") == node_id)) if keys else None
+        if found:
+            return found
+    for at in store.snapshots():
+        nodes = by_key(store, at)
+        found = _first(nodes.read(nodes.loose()).where(F.col("node_id") == node_id).withColumn("snapshot_id", F.lit(at).cast("long")))
+        if found:
+            return found
+    return None
 
 
 def node_of(store: Store, snapshot_id: int, canonical_key: str) -> dict | None:
     """The node of a canonical key in a snapshot."""
-    return _first(store.part("nodes", snapshot_id).withColumn("snapshot_id", F.lit(snapshot_id).cast("long")).where(F.col("canonical_key") == canonical_key))
+    return _first(nodes_of(store, snapshot_id, [canonical_key]))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import binding, evaluate, extract, graph, postings, rows, search
+from .operators import binding, evaluate, extract, graph, lookups, postings, rows, search
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,6 +525,18 @@ def node_scope(spark, d):
     return graph.in_scope(g_nodes(spark, d), [f"nation:{first}", "region:AFRICA"], [f"nation/{first}.py"])
 
 
+@query(f"WITH {G_SQL} SELECT node_id, canonical_key, file_path FROM g_nodes WHERE kind IN ('nation', 'region')")
+def node_lookup(spark, d):
+    """The nodes of all nations and regions from a table of nodes that is clustered by key."""
+    at = f"{graph.shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes = g_nodes(spark, d).select("node_id", "canonical_key", "file_path")
+    lookups.write(nodes, f"{at}/nodes", f"{at}/ranges", "canonical_key", 16)
+    ranges = spark.read.schema(lookups.ranges_of("string")).parquet(f"{at}/ranges")
+    stored = lookups.Clustered(spark, f"{at}/nodes", ranges, "canonical_key", "node_id long, canonical_key string, file_path string", [])
+    names = table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_name")).union(table(spark, d, "region").select(F.concat(F.lit("region:"), "r_name")))
+    return stored.rows([r[0] for r in names.collect()])  # what a caller asks for
+
+
 @query("SELECT o_orderstatus AS status, max_by(o_orderkey, o_orderkey) AS snapshot_id, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def active_published(spark, d):
     snapshots = table(spark, d, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderstatus").alias("status"))
