@@ -20,22 +20,29 @@ def judged(samples: DataFrame) -> DataFrame:
     })
 
 
-def metrics(samples: DataFrame, mode: str = "technical") -> DataFrame:
-    """One row: samples, passed, accuracy, precision, recall.
+def measures(samples: DataFrame) -> DataFrame:
+    """One row: samples, passed, accuracy, precision, business_precision, recall.
 
-    Precision divides by what was returned, in business mode by what was expected (one at least a sample); with
-    nothing to divide by, precision and recall are 1.
+    Precision divides by what was returned, business precision by what was expected (one at least a sample); with
+    nothing to divide by, they and recall are 1.
     """
-    below = F.sum("asked" if mode == "business" else "returned")
+    found = lambda below: F.coalesce(F.try_divide(F.sum("hits"), F.sum(below)), F.lit(1.0))
     return judged(samples).agg(
         F.count("*").alias("samples"),
         F.count_if("passed").alias("passed"),
         F.avg(F.col("passed").cast("int")).alias("accuracy"),
-        F.coalesce(F.try_divide(F.sum("hits"), below), F.lit(1.0)).alias("precision"),
-        F.coalesce(F.try_divide(F.sum("hits"), F.sum("relevant")), F.lit(1.0)).alias("recall"),
+        found("returned").alias("precision"),
+        found("asked").alias("business_precision"),
+        found("relevant").alias("recall"),
     )
 
 
+def metrics(samples: DataFrame, mode: str = "technical") -> DataFrame:
+    """``measures`` with the precision of the mode alone."""
+    precision = "business_precision" if mode == "business" else "precision"
+    return measures(samples).select("samples", "passed", "accuracy", F.col(precision).alias("precision"), "recall")
+
+
 def gate(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(metric, value, threshold) of thresholds that aren't reached; a metric not measured counts as 0."""
     out = thresholds.join(measured, "metric", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

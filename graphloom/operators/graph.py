@@ -22,10 +22,14 @@ SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a local one only where it names none."""
+    """The checkpoint folder that the session names.  One of its own has only a session of a single machine; a cluster that names none
+    is CHECKPOINT_DIR_REQUIRED, as its executors share no folder of the driver."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise CodedError("CHECKPOINT_DIR_REQUIRED", master=context.master)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return context.getCheckpointDir()
 
 

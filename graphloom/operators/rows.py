@@ -45,9 +45,21 @@ def differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).union(b.join(a, key, "left_anti").withColumn("side", F.lit("unexpected")))
 
 
-def coverage(files: DataFrame, language: str = "language") -> DataFrame:
-    """(language, files, supported, parsed): ``files`` has booleans supported and failed."""
-    return files.groupBy(language).agg(F.count("*").alias("files"), F.count_if("supported").alias("supported"), F.count_if(F.col("supported") & ~F.col("failed")).alias("parsed"))
+def keyless(rows: DataFrame, key: Column | str, gated: Column | str | None = None) -> DataFrame:
+    """(missing, n): how many rows that a gate is for have no key, of how many."""
+    of = F.lit(True) if gated is None else F.coalesce(gated, F.lit(False))
+    key = F.col(key) if isinstance(key, str) else key
+    return rows.agg(F.count_if(of & key.isNull()).alias("missing"), F.count_if(of).alias("n"))
+
+
+def coverage(files: DataFrame, by: Column | str = "language") -> DataFrame:
+    """(by, files, supported, parsed): ``files`` has booleans supported and failed."""
+    return files.groupBy(by).agg(F.count("*").alias("files"), F.count_if("supported").alias("supported"), F.count_if(F.col("supported") & ~F.col("failed")).alias("parsed"))
+
+
+def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:
+    """(total, unsupported, parse_errors) of diagnostics, of which ``supported`` says whether their file has a parser."""
+    return diagnostics.agg(F.count("*").alias("total"), F.count_if(~F.col("supported")).alias("unsupported"), F.count_if("supported").alias("parse_errors"))
 
 
 def resolved(routes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -58,9 +70,15 @@ def resolved(routes: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("query", F.col("candidates").cast("long").alias("candidates"), status.alias("status"))
 
 
-def document(rows: DataFrame, key: str, line: Column, order: str) -> DataFrame:
-    """(key, body): the lines of each key in order, joined by newlines."""
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x")).select(key, F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
+def document(rows: DataFrame, keys: list[str], line: Column, order: str, cites: Column | str | None = None) -> DataFrame:
+    """(keys, body, refs): the lines of each key in order, joined by newlines, and the distinct ids that ``cites`` has, in order.
+
+    Without keys it is one document, of no lines if there are no rows.
+    """
+    cites = F.lit(None).cast("long") if cites is None else cites
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x")
+    made = rows.groupBy(*keys).agg(lines, F.array_sort(F.collect_set(cites)).alias("refs"))
+    return made.select(*keys, F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"), "refs")
 
 
 def confirmed(mappings: DataFrame, requests: DataFrame) -> DataFrame:

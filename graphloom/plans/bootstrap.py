@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CodedError
 from ..functions.parsers import Registry
-from ..operators import binding, extract, graph
+from ..operators import binding, extract, graph, rows
 from ..sources import changes as feed
 from ..sources import files
 from ..sources.store import Store, dumps
@@ -50,15 +50,18 @@ def build(store: Store, source_root: str, source_revision: str, config_version:
     known = store.part("parsed", parent) if parent is not None else spark.createDataFrame([], extract.KEPT)
     parsed = graph.saved(extract.reused(found, known, registry))
     supported = F.col("parser_id").isNotNull()
-    n = parsed.agg(F.count("*").alias("files"), F.count_if(supported).alias("supported_files"), F.count_if(~supported).alias("unsupported_files"), F.coalesce(F.sum(F.size("diagnostics")), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~supported, F.size("diagnostics"))), F.lit(0)).alias("unsupported")).first()
-    by = lambda key: {r[0]: r[1] for r in parsed.where(supported).groupBy(key).count().collect()}  # noqa: E731  languages and parsers are few
-    versions = by(F.concat_ws("-", "parser_id", "parser_version"))
-    coverage = {"files": n.files, "supported_files": n.supported_files, "unsupported_files": n.unsupported_files, "parsed_files": n.supported_files, "languages": by("language"), "parsers": versions}
+    covered = parsed.withColumns({"supported": supported, "failed": F.lit(False)})
+    of = lambda key: rows.coverage(covered, key.alias("key")).collect()  # noqa: E731  languages and parsers are few
+    by = lambda counts: {r.key: r.supported for r in counts if r.supported}
+    languages, versions = of(F.col("language")), by(of(F.when(supported, F.concat_ws("-", "parser_id", "parser_version"))))
+    total = {c: sum(r[c] for r in languages) for c in ("files", "supported", "parsed")}
+    coverage = {"files": total["files"], "supported_files": total["supported"], "unsupported_files": total["files"] - total["supported"], "parsed_files": total["parsed"], "languages": by(languages), "parsers": versions}
+    told_of = rows.diagnostic_counts(covered.select("supported", F.explode("diagnostics"))).first()
     listed = parsed.where(F.size("diagnostics") > 0).select("path", supported.alias("supported"), "diagnostics").orderBy("path")  # in a file as found
     every = [(r.supported, {"code": x.code, "path": r.path, "message": x.message, "detail": json.loads(x.detail)}) for r in listed.toLocalIterator() for x in r.diagnostics]
     told = [x for _, x in every]  # all of them are part of the result
-    diagnostics = {"total": n.total, "unsupported": n.unsupported, "parse_errors": n.total - n.unsupported, "details": told}
-    if not n.supported_files:
+    diagnostics = {**told_of.asDict(), "details": told}
+    if not total["supported"]:
         return _reject(store, snapshot_id, "COVERAGE_GATE_FAILED", coverage=coverage, diagnostics=told, diagnostic_counts=diagnostics)
     if diagnostics["parse_errors"]:
         return _reject(store, snapshot_id, "PARSE_FAILED", coverage=coverage, diagnostics=[x for known, x in every if known], diagnostic_counts=diagnostics)

@@ -133,7 +133,7 @@ def publish(store: Store, snapshot_id: int, expected_parent=ANY) -> None:
     for part in (nodes, store.part("edges", snapshot_id)):
         if not rows.revision_mismatches(part.withColumn("snapshot_id", F.lit(snapshot_id)), own).isEmpty():
             raise CodedError("REVISION_MISMATCH")
-    if not nodes.where("kind = 'Graph' and canonical_key is null").isEmpty():
+    if rows.keyless(nodes, "canonical_key", F.col("kind") == "Graph").first().missing:
         raise CodedError("CANONICAL_KEY_REQUIRED")
     if store.active() != snapshot_id:  # else a writer was lost between the swap and the status
         store.swap(snapshot_id, expected_parent)

@@ -220,7 +220,7 @@ def revision_mismatch_gate(spark, d):
 
 @query("SELECT count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS missing, count(*) AS n FROM events")
 def null_key_gate(spark, d):
-    return table(spark, d, "events").agg(F.count_if(F.get_json_object("props", "$.k").isNull()).alias("missing"), F.count("*").alias("n"))
+    return rows.keyless(table(spark, d, "events"), F.get_json_object("props", "$.k"))
 
 
 SEARCH_SQL = r"""docs AS (SELECT p_partkey AS node_id, regexp_extract_all(strip_accents(lower(p_name)), '[\p{L}\p{N}]+') AS a, regexp_extract_all(strip_accents(lower(p_type)), '[\p{L}\p{N}]+') AS b FROM part)"""
@@ -316,8 +316,8 @@ def coverage_by_language(spark, d):
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE source = 'src0') AS unsupported, count(*) FILTER (WHERE source <> 'src0' AND n_chars < 200) AS parse_errors FROM documents WHERE source = 'src0' OR n_chars < 200")
 def diagnostics_summary(spark, d):
-    own = table(spark, d, "documents").select(F.when(F.col("source") == "src0", "UNSUPPORTED_FILE_SUFFIX").when(F.col("n_chars") < 200, "PARSER_ERROR").alias("code")).where("code is not null")
-    return own.agg(F.count("*").alias("total"), F.count_if(F.col("code") == "UNSUPPORTED_FILE_SUFFIX").alias("unsupported"), F.count_if(F.col("code") == "PARSER_ERROR").alias("parse_errors"))
+    own = table(spark, d, "documents").where("source = 'src0' or n_chars < 200")  # a diagnostic each
+    return rows.diagnostic_counts(own.select((F.col("source") != "src0").alias("supported")))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -347,9 +347,7 @@ def evaluate_accuracy(spark, d):
 
 @query(f"WITH {GOLDEN_SQL}, s AS (SELECT len(list_distinct(expected)) AS r, len(list_distinct(actual)) AS n, len(list_intersect(list_distinct(expected), list_distinct(actual))) AS h, greatest(len(expected), 1) AS q FROM g) SELECT sum(h) / sum(n) AS precision, sum(h) / sum(r) AS recall, sum(h) / sum(q) AS business_precision FROM s")
 def precision_recall(spark, d):
-    g = golden(spark, d)
-    judged, divided = evaluate.judged(g), lambda c: F.coalesce(F.try_divide(F.sum("hits"), F.sum(c)), F.lit(1.0))
-    return judged.agg(divided("returned").alias("precision"), divided("relevant").alias("recall"), divided("asked").alias("business_precision"))
+    return evaluate.measures(golden(spark, d)).select("precision", "recall", "business_precision")
 
 
 @query("WITH m AS (SELECT o_orderpriority AS metric, avg(o_totalprice) AS value FROM orders GROUP BY 1), t AS (SELECT DISTINCT o_orderpriority AS metric, 250000.0 AS threshold FROM orders UNION ALL SELECT 'absent', 0.5) SELECT t.metric, round(coalesce(value, 0.0), 4) AS value, threshold FROM t LEFT JOIN m USING (metric) WHERE coalesce(value, 0.0) < threshold")
@@ -369,12 +367,13 @@ def route_resolve(spark, d):
 
 @query(f"WITH {G_SQL} SELECT kind, string_agg('- ' || canonical_key, chr(10) ORDER BY node_id) AS body FROM g_nodes GROUP BY kind")
 def knowledge_document(spark, d):
-    return rows.document(g_nodes(spark, d), "kind", F.concat(F.lit("- "), "canonical_key"), "node_id")
+    return rows.document(g_nodes(spark, d), ["kind"], F.concat(F.lit("- "), "canonical_key"), "node_id").drop("refs")
 
 
 @query(f"WITH {G_SQL} SELECT kind, array_to_string(list_sort(list(DISTINCT node_id % 100)), ',') AS evidence_refs FROM g_nodes GROUP BY kind")
 def evidence_refs(spark, d):
-    return g_nodes(spark, d).groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.col("node_id") % 100)), lambda x: x.cast("string")), ",").alias("evidence_refs"))
+    made = rows.document(g_nodes(spark, d), ["kind"], F.lit("-"), "node_id", F.col("node_id") % 100)
+    return made.select("kind", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("evidence_refs"))
 
 
 def b_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -503,7 +502,7 @@ def failure_cases(spark, d):
 @query(f"""WITH {G_SQL}, b AS (SELECT kind, '---' || chr(10) || '{{"kind": "' || kind || '"}}' || chr(10) || '---' || chr(10) || chr(10) || string_agg('- ' || node_id || ' ' || name, chr(10) ORDER BY node_id) || chr(10) AS content FROM g_nodes GROUP BY kind)
 SELECT 'technical:' || kind || ':1' AS document_id, content, sha256(content) AS content_hash FROM b""")
 def document_artifacts(spark, d):
-    body = rows.document(g_nodes(spark, d), "kind", F.concat(F.lit("- "), F.col("node_id").cast("string"), F.lit(" "), "name"), "node_id")
+    body = rows.document(g_nodes(spark, d), ["kind"], F.concat(F.lit("- "), F.col("node_id").cast("string"), F.lit(" "), "name"), "node_id")
     content = F.concat_ws("\n", F.lit("---"), F.concat(F.lit('{"kind": "'), "kind", F.lit('"}')), F.lit("---"), F.lit(""), "body", F.lit(""))
     return body.select(F.concat_ws(":", F.lit("technical"), "kind", F.lit("1")).alias("document_id"), content.alias("content")).withColumn("content_hash", F.sha2("content", 256))
 

@@ -186,3 +186,31 @@ def test_stream(spark, tmp_path, g):
     run = stream.affected(stream.lines(spark, str(tmp_path / "in")), g[0]).writeStream.format("memory").queryName("hit").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     run.awaitTermination(60)
     assert sorted(r.node_id for r in spark.table("hit").collect()) == [3, 4]
+
+
+def test_a_cluster_names_its_checkpoint_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda name, usual: usual)})()
+
+    with pytest.raises(CodedError) as refused:
+        graph.shared_folder(Session())
+    assert refused.value.code == "CHECKPOINT_DIR_REQUIRED"
+    assert graph.shared_folder(spark)
+
+
+def test_documents_and_gates_of_no_rows(spark):
+    none = spark.createDataFrame([], "kind string, n long, at long")
+    line = none["n"].cast("string")
+    assert [tuple(r) for r in rows.document(none, [], line, "n", "at").collect()] == [("", [])] and rows.document(none, ["kind"], line, "n").isEmpty()
+    assert tuple(rows.keyless(none, "kind").first()) == (0, 0)
+    some = spark.createDataFrame([("a", 2, 7), ("a", 1, 7), (None, 3, None)], "kind string, n long, at long")
+    assert [tuple(r) for r in rows.document(some, [], some["n"].cast("string"), "n", "at").collect()] == [("1\n2\n3", [7])]
+    assert tuple(rows.keyless(some, "kind").first()) == (1, 3) and tuple(rows.keyless(some, "kind", some["n"] < 3).first()) == (0, 2)
+    assert tuple(rows.diagnostic_counts(spark.createDataFrame([(True,), (False,), (True,)], "supported boolean")).first()) == (3, 1, 2)
