@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import dealt
 from . import common
 
 SPAN = 2
@@ -92,11 +93,11 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep:
     first = F.min(F.struct("__id", "__row", "number")).alias("first")
     salt = F.pmod(F.xxhash64("__row", "number"), F.lit(SALTS))
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    again = found.withColumn("salt", salt).join(groups, ["h1", "h2", "salt"])
+    again = found.withColumn("salt", salt).join(dealt(groups), ["h1", "h2", "salt"])
     again = again.select("h1", "h2", "__id", "__row", "number", (F.struct("__id", "__row", "number") == F.col("first")).alias("stays"))
     again = common.checkpointed(again.dropDuplicates(["__row", "number"]))
     marked = again.groupBy("__row").agg(F.collect_list(F.struct("number", "h1", "h2")).alias("__marked"))
-    carried = rows.select("__row", "__id", F.col(text).alias("__text")).dropDuplicates(["__row"]).join(marked, "__row")
+    carried = rows.select("__row", "__id", F.col(text).alias("__text")).dropDuplicates(["__row"]).join(dealt(marked), "__row")
 
     def pieces(distinct: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", keep:
         gone = gone.union(other.select("__row", "number"))
     gone = gone.groupBy("__row").agg(F.collect_set("number").alias("__gone"))
     own = [c for c in keep if c != text]
-    out = rows.select(*own, F.col(text).alias("__text"), "__row").join(gone, "__row", "left").drop("__row")
+    out = rows.select(*own, F.col(text).alias("__text"), "__row").join(dealt(gone), "__row", "left").drop("__row")
     kind = T.StructType([*(docs.schema[c] for c in own), T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

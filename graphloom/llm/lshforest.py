@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import components, salted
+from ..operators.graph import components, dealt, salted
 from . import common
 
 WORDS = 5
@@ -160,7 +160,7 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     shared = levels.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
     matched = salted(levels, shared, "at").groupBy("node", "depth").agg(F.count("*").alias("trees")).where(F.col("trees") >= enough())
     reached = matched.groupBy("node").agg(F.max("depth").alias("reached"))
-    levels = levels.join(reached, "node", "left").withColumn("reached", F.coalesce("reached", F.lit(prefix)))
+    levels = levels.join(dealt(reached), "node", "left").withColumn("reached", F.coalesce("reached", F.lit(prefix)))
     tops = levels.groupBy("at", "depth").agg(F.min("node").alias("top"), F.min("reached").alias("least"), F.count("*").alias("n")).where("n > 1 and least <= depth").select("at", "top")
     # in each tree a class hangs on the top of the shortest prefix that some class there has come down to
     hung = salted(levels.select("at", "node", F.col("at.trie").alias("trie")), tops, "at").groupBy("trie", "node").agg(F.min_by("top", "at.depth").alias("top"))
@@ -169,8 +169,8 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     each = F.greatest(F.lit(min(block, SMALL)), F.least(F.lit(block), F.col("n") / 16))
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
     placed = salted(clusters, sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("node", "__row"), "node")
-    texts = rows.select("__row", "__text").dropDuplicates(["__row"]).join(placed, "__row").select("__text", "root", "node", "own", "blocks")
+    placed = placed.join(dealt(classes.select("node", "__row")), "node")
+    texts = rows.select("__row", "__text").dropDuplicates(["__row"]).join(dealt(placed), "__row").select("__text", "root", "node", "own", "blocks")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +227,7 @@ def groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words
     found = common.checkpointed(found)
     links = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     near = components(contracted(found.select(F.col("node").alias("a"), F.col("top").alias("b"))))
-    grouped = classes.join(near, "node", "left").join(links, "node", "left").select("node", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    grouped = classes.join(dealt(near), "node", "left").join(dealt(links), "node", "left").select("node", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     root = [F.col("root").alias("__root")] if roots else []
     grouped = salted(grouped, least, "root").select("node", "class_id", "copy_id", "n_copies", "n_links", *root)
@@ -247,4 +247,4 @@ def kept(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **optio
     stay = found.where(alone).select("__row").union(first)
     rows = docs.withColumn("__row", F.unhex(F.md5(key)))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return rows.where(~wordless).join(stay.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(wordless))
+    return rows.where(~wordless).join(dealt(stay.distinct()), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(wordless))

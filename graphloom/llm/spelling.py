@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import dealt
 from . import common
 
 ERROR = 97
@@ -278,7 +279,7 @@ def near(counted: DataFrame) -> DataFrame:
     each = F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.col("m") / 16))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / each).cast("int").alias("blocks"))
     salt = F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")
-    met = spread.withColumn("salt", salt).join(sizes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["bucket", "salt"])
+    met = spread.withColumn("salt", salt).join(dealt(sizes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))), ["bucket", "salt"])
     own = F.pmod(F.xxhash64("word", F.lit(1)), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # of two sides every block of one meets every block of the other; else blocks meet each other, and themselves, once
@@ -298,7 +299,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         salted = ends.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
         onward = ends.select(F.col("word").alias("root"), F.col("root").alias("next")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        ends = common.checkpointed(salted.join(onward, ["root", "salt"], "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        ends = common.checkpointed(salted.join(dealt(onward), ["root", "salt"], "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if ends.where("moved").isEmpty():
             return ends.select("word", "root")
         ends = ends.select("word", "root")

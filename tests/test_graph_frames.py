@@ -103,3 +103,12 @@ def test_only_what_changed_is_computed_anew(spark, monkeypatch):
     found = {r.node: r.root for r in new.collect()}
     assert len(found) == 10_000 and found[504] == 500 and found[509] == 505 and found[39] == 20 and found[999] == 990
     assert sorted(r.node for r in graph.connected(new, spark.createDataFrame([(31,), (10**6,)], "node long")).collect()) == [*range(20, 40), 10**6]
+
+
+def test_salted_keys_are_never_broadcast(spark):
+    small = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").alias("value"))
+    big = spark.range(20000).select(F.sha2((F.col("id") % 6000).cast("string"), 256).alias("key"), "id")
+    found = graph.salted(big.repartition(4), small.groupBy("key").agg(F.max("value").alias("value")), "key")
+    rows = found.collect()
+    assert len(rows) == sum(i % 6000 < 5000 for i in range(20000)) and all(r.value == r.id % 6000 for r in rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # as run: it is adaptive
