@@ -21,7 +21,7 @@ def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return segment.sample(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), emit_ids=False)
+    return segment.sample(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:

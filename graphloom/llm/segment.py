@@ -377,7 +377,8 @@ def sample(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(columns[1:7], (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
                 if emit_ids:
-                    arrays.append(pa.array(list(columns[7]), pa.list_(pa.int32())))
+                    upto = np.cumsum([0, *map(len, columns[7])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(columns[7]).astype(np.int32))))
                 where = pa.array(columns[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in range(len(keep))), *arrays], kind.names)
 

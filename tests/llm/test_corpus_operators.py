@@ -707,3 +707,10 @@ def test_a_repeated_query_asks_with_its_least_vector(spark):
         found = mih.search(df.repartition(parts), F.col("vec_id") == 0).orderBy("rank").collect()
         assert len(found) == 10 and found[0].score == pytest.approx(others[0][0])
         assert len({r.vec_id for r in found} & {i for _, i in others}) >= 9
+
+
+def test_the_query_gives_the_pieces_of_each_segmentation(spark):
+    from graphloom.llm import queries
+
+    rows = queries.op2_gumbel_segmentations(spark, "/root/testdata/sf0.001").where("doc_id < 40").collect()
+    assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
