@@ -126,12 +126,16 @@ class Bundles:
 
     def answered(self, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], kind: T.StructType) -> DataFrame:
         """What ``f`` makes of each bundle's answers and rows."""
+        return self.met(answers, lambda _, found, rows: f(found, rows), kind)
+
+    def met(self, told: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], kind: T.StructType) -> DataFrame:
+        """What ``f`` makes of each bundle's number, what it is told, and its rows."""
 
         def run(found: pa.Table, bundle: pa.Table) -> pa.Table:
-            out = [f(found, unpack(x.as_buffer())) for x in bundle.column("payload")]
+            out = [f(number.as_py(), found, unpack(x.as_buffer())) for number, x in zip(bundle.column("bundle"), bundle.column("payload"), strict=True)]
             return pa.concat_tables(out) if out else arrow_schema(kind).empty_table()
 
-        return answers.groupBy("bundle").cogroup(self.held.groupBy("bundle")).applyInArrow(run, kind)
+        return told.groupBy("bundle").cogroup(self.held.groupBy("bundle")).applyInArrow(run, kind)
 
 
 def unpack(payload: bytes) -> pa.Table:

@@ -1,7 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of byte n-grams.
 
-The model is trained on trusted texts, a sample of at most ``TRUSTED`` of the documents named (by hash of their
-ids).  An n-gram is packed like a pair of ``ppm``, and its tables (counts of the highest order, continuation counts of
+The model is trained on the texts of all documents named.  Which these are is found by a join of ids: bundles give the ids of
+their rows, and get back the places of those named, once with the text to ask and once with the answers.  An n-gram is packed like a pair of ``ppm``, and its tables (counts of the highest order, continuation counts of
 the lower ones, totals and numbers of followers by context) are sharded by the nearest ``BASE`` + 1 bytes of context.
 Each bundle asks the shards about its distinct n-grams and tells them how often its trusted texts have these
 (``exchange``); a shard joins the counts of all bundles, works out the probability of each n-gram order by order, and
@@ -22,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import dealt
 from . import common, exchange, ppm, rules
 
 ORDER = 5  # bytes of an n-gram
 BASE = ppm.BASE
-TRUSTED = 20_000
 MIN_GROUP = 200
 SYMBOLS = 256
 
@@ -76,24 +77,35 @@ def raised(levels: list, d: list[list[float]], p: np.ndarray | float, link: np.n
     return p
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", id_column: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, most: int = TRUSTED, stored: bool = True) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", id_column: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, stored: bool = True) -> DataFrame:
     """``keep`` columns, is_trusted, n_bytes and perplexity of every whole text; ``trusted`` holds ids to learn from.
     ``stored``: see ``common.Bundles``."""
     new = {"is_trusted": T.BooleanType(), "n_bytes": T.LongType(), "perplexity": T.DoubleType()}
     keep, context, spark = tuple(c for c in keep if c not in new), order - 1, docs.sparkSession
-    named = trusted.select(F.col(id_column).alias("id")).where("id is not null").distinct()
-    chosen = spark.sparkContext.broadcast({x.id for x in named.orderBy(F.xxhash64("id"), "id").limit(most).collect()})
+    named = dealt(trusted.select(F.col(id_column).alias("id")).where("id is not null").distinct())
     rows = docs.select(*keep, F.col(text).alias("__text"), F.col(id_column).alias("__id"))
-    bundles = common.Bundles(rows, "__text", stored=stored, level=6)
+    bundles = common.Bundles(rows, "__text", stored=stored, level=9)
     n_shards = exchange.shards(bundles.bytes())
 
-    def learned(table: pa.Table) -> np.ndarray:
-        return np.array([x in chosen.value for x in table.column("__id").to_pylist()], bool)
+    def places(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table.column("__id").combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(np.arange(len(ids), dtype=np.int32)), ids], ["bundle", "row", "id"])
 
-    def asked(table: pa.Table) -> ppm.Asked:
-        return ppm.Asked(common.texts(table.column("__text")), learned(table), n_shards, context, tokens=False)
+    at = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("id", docs.schema[id_column].dataType)])
+    chosen = common.checkpointed(bundles.map(places, at).join(named, "id").select("bundle", "row"))
 
-    questions = exchange.dealt(bundles.map(lambda number, table: exchange.rows(number, asked(table).questions()), exchange.SCHEMA))
+    def asked(table: pa.Table, learned: np.ndarray) -> ppm.Asked:
+        return ppm.Asked(common.texts(table.column("__text")), learned, n_shards, context, tokens=False)
+
+    def learned(rows: pa.ChunkedArray, table: pa.Table) -> np.ndarray:
+        out = np.zeros(len(table), bool)
+        out[rows.drop_null().to_numpy()] = True
+        return out
+
+    def ask(number: int, found: pa.Table, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(exchange.rows(number, asked(table, learned(found.column("row"), table)).questions()), exchange.ARROW)
+
+    questions = exchange.dealt(bundles.met(chosen, ask, exchange.KIND))
 
     def summary(_: int, __: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
         """(order, n-gram or count, n): how many n-grams of the higher orders occur 1 to 4 times, and the counts of those of BASE + 1 bytes."""
@@ -123,13 +135,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col
     kind = T.StructType([f for f in rows.schema.fields if not f.name.startswith("__")] + [T.StructField(c, t) for c, t in new.items()])
 
     def judge(found: pa.Table, table: pa.Table) -> pa.Table:
-        own = asked(table)
-        logs = own.logs(exchange.told(found))
+        own, answers = asked(table, use := learned(found.column("row"), table)), found.filter(pc.is_valid(found.column("shard")))
+        logs = own.logs(exchange.told(answers))
         value = [10 ** (-x / (len(t) + 1)) if t.strip() else None for x, t in zip(logs.tolist(), own.texts, strict=True)]
-        columns = [pa.array(learned(table)), pa.array(list(map(len, own.texts)), pa.int64()), pa.array(value, pa.float64())]
+        columns = [pa.array(use), pa.array(list(map(len, own.texts)), pa.int64()), pa.array(value, pa.float64())]
         return pa.table([*(table.column(c) for c in keep), *columns], names=kind.names)
 
-    return bundles.answered(exchange.each(questions, answer), judge, kind)
+    told = exchange.each(questions, answer).unionByName(chosen, allowMissingColumns=True)
+    return bundles.answered(told, judge, kind)
 
 
 #: see rules.MEASURES

@@ -714,3 +714,9 @@ def test_the_query_gives_the_pieces_of_each_segmentation(spark):
 
     rows = queries.op2_gumbel_segmentations(spark, "/root/testdata/sf0.001").where("doc_id < 40").collect()
     assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_kneser_ney_learns_from_all_that_are_trusted(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text")).repartition(4)
+    found = kneser_ney.perplexities(docs, docs.where("doc_id <> 7").unionByName(docs.where("doc_id < 3")).select("doc_id"))
+    assert {(r.is_trusted, r["count"]) for r in found.groupBy("is_trusted").count().collect()} == {(True, 20_999), (False, 1)}
