@@ -25,15 +25,22 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def ascii_only(text: Column) -> Column:
+    """Whether each character is a byte."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def folded(text: Column) -> Column:
     """Lower case without accents, in the JVM."""
     source, target = _folding()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{Mn}", "")
+    low = F.lower(text)
+    return F.when(ascii_only(text), low).otherwise(F.regexp_replace(F.translate(low, source, target), r"\p{Mn}", ""))
 
 
 def tokens(text: Column) -> Column:
     """The runs of letters and digits of folded text, in order; null gives none."""
-    return F.regexp_extract_all(F.coalesce(folded(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    runs = lambda x, letters: F.regexp_extract_all(x, F.lit(f"[{letters}]+"), F.lit(0))
+    return F.when(ascii_only(text), runs(F.lower(text), "a-z0-9")).otherwise(runs(F.coalesce(folded(text), F.lit("")), r"\p{L}\p{N}"))
 
 
 def fold(text: str) -> list[str]:

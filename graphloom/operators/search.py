@@ -22,10 +22,15 @@ from .postings import Stored, matching
 FIELDS = ("name", "qualified_name", "file_path", "content_hash")
 
 
+def words(nodes: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "node_id") -> DataFrame:
+    """(node_id, field, words) of the text fields, words in their order."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.tokens(F.col(f)).alias("words")) for f in fields)))
+    return nodes.select(F.col(key).alias("node_id"), each.alias("x")).select("node_id", "x.field", "x.words")
+
+
 def index(nodes: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "node_id") -> DataFrame:
     """(node_id, field, pos, token) of the text fields."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.tokens(F.col(f)).alias("words")) for f in fields)))
-    return nodes.select(F.col(key).alias("node_id"), each.alias("x")).select("node_id", "x.field", F.posexplode("x.words").alias("pos", "token"))
+    return words(nodes, fields, key).select("node_id", "field", F.posexplode("words").alias("pos", "token"))
 
 
 @dataclass(frozen=True)

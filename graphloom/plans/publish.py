@@ -87,7 +87,7 @@ def persist(store: Store, snapshot_id: int, nodes: DataFrame, edges: DataFrame,
     store.stage(at, "manifests", every.withColumn("content_hash", F.sha2("payload", 256)))
     store.stage(at, "components", components(store, made.select(F.col("source_key").alias("a"), F.col("target_key").alias("b")).distinct()))
     # the index reads a content hash from payloads, which have none
-    postings.write(search.index(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
+    postings.write(search.words(stored.withColumn("content_hash", F.lit(""))), f"{store.root}/_staged/{at}")
     if parsed is not None:
         store.stage(at, "parsed", parsed)
     store.settle(at, snapshot_id)
@@ -118,7 +118,7 @@ def rebuild_index(store: Store, snapshot_id: int) -> None:
     _staging(store, snapshot_id)
     nodes = store.part("nodes", snapshot_id).withColumn("content_hash", F.lit(""))
     names = {c: F.coalesce(F.col(c), F.lit("")) for c in search.FIELDS}
-    store.replace_index(snapshot_id, lambda path: postings.write(search.index(nodes.withColumns(names)), path))
+    store.replace_index(snapshot_id, lambda path: postings.write(search.words(nodes.withColumns(names)), path))
 
 
 def publish(store: Store, snapshot_id: int, expected_parent=ANY) -> None:

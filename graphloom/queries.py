@@ -240,12 +240,12 @@ def stored_index(spark: SparkSession, d: str, name: str, tokens: DataFrame) -> p
 
 
 def document_index(spark: SparkSession, d: str) -> postings.Stored:
-    return stored_index(spark, d, "documents", search.index(table(spark, d, "documents").withColumnRenamed("text", "name"), ("name",), "doc_id"))
+    return stored_index(spark, d, "documents", search.words(table(spark, d, "documents").withColumnRenamed("text", "name"), ("name",), "doc_id"))
 
 
 def parts(spark: SparkSession, d: str) -> tuple[DataFrame, postings.Stored]:
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_type").alias("qualified_name"), F.lit(None).cast("string").alias("file_path"), F.lit("").alias("content_hash"))
-    return nodes, stored_index(spark, d, "part", search.index(nodes))
+    return nodes, stored_index(spark, d, "part", search.words(nodes))
 
 
 def found(spark: SparkSession, d: str, text_: str) -> DataFrame:

@@ -70,3 +70,13 @@ def test_an_empty_index(spark, nodes, tmp_path):
     postings.write(search.index(nodes.where("false")), str(tmp_path / "none"))
     none = postings.Stored(spark, str(tmp_path / "none"))
     assert none.isEmpty() and search.matches(none, search.parse("a*")).isEmpty()
+
+
+def test_tasks_make_blocks_of_words_before_they_are_dealt(spark, nodes, tmp_path):
+    own = search.words(nodes.orderBy(F.desc("node_id")).coalesce(1))
+    made = own.select("words", "field", "node_id").mapInArrow(postings.packed, postings.POSTINGS.removesuffix(", part int"))
+    assert made.count() < search.index(nodes).count() / 2 and made.where(F.size("nodes") > postings.ENTRIES).isEmpty()
+    postings.write(own, str(tmp_path / "words"), parts=5)
+    stored = spark.read.schema(postings.POSTINGS).parquet(f"{tmp_path}/words/postings")
+    every = stored.select("token", "field", "node", "place", F.inline(F.arrays_zip("nodes", "places"))).select((F.col("node") + F.col("nodes")).alias("node_id"), "field", (F.col("place") + F.col("places")).alias("pos"), "token")
+    assert every.exceptAll(search.index(nodes)).isEmpty() and search.index(nodes).exceptAll(every).isEmpty()
