@@ -720,3 +720,62 @@ def test_kneser_ney_learns_from_all_that_are_trusted(spark):
     docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text")).repartition(4)
     found = kneser_ney.perplexities(docs, docs.where("doc_id <> 7").unionByName(docs.where("doc_id < 3")).select("doc_id"))
     assert {(r.is_trusted, r["count"]) for r in found.groupBy("is_trusted").count().collect()} == {(True, 20_999), (False, 1)}
+
+
+def spoken(rng, n):
+    return " ".join("".join(rng.choice("aaeeinorstué日 ") for _ in range(rng.randint(1, 9))) for _ in range(n)).encode()
+
+
+def test_segmentations_of_a_text_are_the_same_wherever_it_stands(model):
+    rng, v = random.Random(5), segment.vocabulary_of(model)
+    texts = [b"", *(spoken(rng, rng.choice([1, 3, 40, 2000])) for _ in range(40))]
+    seeds = np.arange(len(texts)).astype(np.uint64) * np.uint64(7919)
+    lattice = segment.Lattice(texts, v)
+    among = [[(*x[:3], lattice.ids[x[3]].tolist()) for x in found] for found in lattice.samples(seeds, 3)]
+    assert among == [[(*x[:3], lattice.ids[x[3]].tolist()) for x in found] for a in (0, 25) for found in lattice.samples(seeds[a : a + 25], 3, a)]
+    for i, text in enumerate(texts):
+        own = segment.Lattice([text], v)
+        assert [(*x[:3], own.ids[x[3]].tolist()) for x in own.samples(seeds[i : i + 1], 3)[0]] == among[i]
+
+
+def test_malformed_texts_are_segmented_whole(model):
+    v = segment.vocabulary_of(model)
+    texts = [b"\xff\xfe a b", b"ab\xf0", b"\x80\x80 x", b"a\xe2\x96", b"\xf0\xe2 the"]
+    lattice = segment.Lattice(texts, v)
+    for text, found in zip(texts, lattice.samples(np.arange(len(texts)).astype(np.uint64), 3), strict=True):
+        assert all(v.decode(lattice.ids[x[3]]) == text for x in found)
+
+
+def test_words_of_runs_of_texts_are_built_once(model):
+    rng, v = random.Random(6), segment.vocabulary_of(model)
+    text = spoken(rng, 60_000)
+    texts = [text] * (segment.SHARED // len(text))
+    found = list(segment.sampled(texts, np.arange(len(texts)).astype(np.uint64), v, 1))
+    assert len(texts) > 3 and len(found) > 1 and len({id(lattice) for _, lattice, _ in found}) == 1
+    assert [i for own, *_ in found for i in range(own.start, own.stop)] == list(range(len(texts)))
+    assert all(v.decode(lattice.ids[made[0][3]]) == text for _, lattice, its in found for made in its)
+
+
+def test_the_best_regions_are_among_the_candidates(model, monkeypatch):
+    """Against regions at every place, for texts far longer than the bound and vocabularies of sharp and flat weights."""
+    rng = random.Random(7)
+    texts = [spoken(rng, n) for n in (1, 5, 50, 500, 3000, 3000, 3000)] + [b"e " * 4000, "é".encode() * 900]
+    for alpha in (0.2, 1.0, 3.0):
+        v = segment.Vocabulary(model, alpha)
+        lattice = segment.Lattice(texts, v)
+        for seed in range(6):
+            seeds = common.mixed(np.arange(len(texts)).astype(np.uint64) + np.uint64(100 * seed))
+            found = [[(*x[:3], x[3].tolist()) for x in its] for its in lattice.samples(seeds, 5)]
+            with monkeypatch.context() as m:
+                m.setattr(segment.Lattice, "_candidates", lambda self, flat, before, start, size, t, most: (np.arange(len(flat)), size))
+                assert found == [[(*x[:3], x[3].tolist()) for x in its] for its in lattice.samples(seeds, 5)]
+
+
+def test_the_double_array_finds_every_piece(model):
+    rng, v = random.Random(8), segment.vocabulary_of(model)
+    pieces = {x: i for i, x in enumerate(v.bytes) if x and i >= 259}
+    text = b" the international Zusammenarbeit \xe6\x97\xa5\xe6\x9c\xac 12345 \n\t" + spoken(rng, 300)
+    data = np.append(np.frombuffer(text, np.uint8).astype(np.int32), np.int32(segment.STOP))
+    found = {(p, n): i for n, at, ids in v.matches(data) for p, i in zip(at.tolist(), ids.tolist(), strict=True)}
+    longest = max(map(len, pieces))
+    assert found == {(p, n): pieces[text[p : p + n]] for p in range(len(text)) for n in range(1, min(longest, len(text) - p) + 1) if text[p : p + n] in pieces}
